@@ -127,8 +127,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
         found = found.withColumn("runs", _found(text, RUN, text.rlike(RUN)))
         found = found.withColumn("random", F.filter(F.filter("runs", lambda x: ~F.exists(known, lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))), secret))
-    tagged = [F.transform(k, lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("kind"), x["e"].alias("e"), x["t"].alias("t"))) for i, k in enumerate(KINDS)]
-    return found.select("doc_id", "text", F.array_sort(F.concat(*tagged)).alias("spans"))
+    return found.select("doc_id", "text", F.array_sort(F.concat(*(_tagged(k) for k in KINDS))).alias("spans"))
+
+
+def _tagged(kind: str) -> Column:
+    """The spans of a kind with its number, ready to sort by start and kind."""
+    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), x["e"].alias("e"), x["t"].alias("t")))
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: str = "<SECRET>") -> DataFrame:
