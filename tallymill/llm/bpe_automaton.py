@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Caches are emptied at these sizes: words, and states of the deterministic automaton.
-CACHED, STATES = 150_000, 60_000
+CACHED, STATES = 150_000, 200_000
 FINAL = 256
 
 SPACE = r"[\t-\r \x85\xa0  -     　]"
