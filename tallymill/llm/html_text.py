@@ -38,6 +38,9 @@ SECTIONS = frozenset("article main section nav aside footer header form div body
 ELEMENT = {"article": 4.0, "main": 3.0, "nav": -7.0, "menu": -7.0, "aside": -6.0, "footer": -7.0, "form": -6.0, "dialog": -6.0, "header": -5.0, "blockquote": 0.5, "address": -1.0}
 GOOD_WORDS = frozenset("article articlebody content main post entry story text body prose".split())
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended more newsletter subscribe subscription signup login search searchbox widget toolbar pagination pager tags copyright disclaimer legal".split())
+#: Bad only by themselves: an article-header is none of the page's headers.
+WEAK_WORDS = frozenset("header footer more tags legal side search discussion".split())
+STATES = frozenset("has with no is without".split())
 GOOD, BAD = 2.0, -6.0
 BIAS, LENGTH, LINKS, HEADING, SENTENCE = -0.5, 0.5, -3.0, 0.5, 0.5
 #: Smoothness: the tie of two blocks, divided by one more than their distance in the tree.
@@ -65,11 +68,26 @@ class Block:
 def section_weight(tag: str, attrs: str, in_article: bool) -> float:
     weight = 0.0 if tag == "header" and in_article else ELEMENT.get(tag, 0.0)
     if attrs and tag not in ("html", "body"):
-        words = {w for m in NAMED.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        weight += BAD if words & BAD_WORDS else GOOD if words & GOOD_WORDS else 0.0
+        weight += min((name_weight(n) for m in NAMED.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").lower().split()), key=lambda x: (x >= 0, -x), default=0.0)
     return weight
 
 
+def name_weight(name: str) -> float:
+    """Of a class, id or role; what only says that a page has something doesn't count."""
+    words = set(WORD.findall(name))
+    if words & STATES:
+        return 0.0
+    good = words & GOOD_WORDS
+    if bad := words & BAD_WORDS:
+        return 0.0 if good and bad <= WEAK_WORDS else BAD
+    return GOOD if good else 0.0
+
+
+def inside(around: float, weight: float) -> float:
+    """Weight of a section within others: boilerplate inside an article is boilerplate."""
+    return weight + (min(0.0, around) if weight < 0 else around)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with visible text, in page order."""
     out: list[Block] = []
@@ -120,7 +138,7 @@ def blocks(page: str) -> list[Block]:
                 number += 1
                 around = open_[-1][2] if open_ else 0.0
                 in_article = any(t in ("article", "main") for t, _, _ in open_)
-                open_.append((tag, number, around + section_weight(tag, m["attrs"], in_article)))
+                open_.append((tag, number, inside(around, section_weight(tag, m["attrs"], in_article))))
     if at < len(page) and not hidden:
         parts.append((page[at:], links > 0))
     end_block()

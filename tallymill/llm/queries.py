@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe_automaton, chunk_dedup, exact_dedup, html_text, jaccard_join, line_dedup, packing, secrets, vector_topk
+from tallymill.llm import bpe_automaton, chunk_dedup, exact_dedup, html_text, jaccard_join, line_dedup, packing, secrets, toxicity, vector_topk
 from tallymill.llm.storage import workers_can_import
 
 
@@ -23,10 +23,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """One row per piece; the ids as their CRC-32."""
     import public_tokenizers
 
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    pieces = packing.pack(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -35,6 +36,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.LEAST).cast("int").alias("predicted"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
@@ -108,7 +119,7 @@ FROM keyed WINDOW same AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_topk, op4_html_extraction, op6_line_dedup, op7_jaccard_join, op8_exact_dedup, op9_bpe_round_trip, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_topk, op4_html_extraction, op5_toxicity, op6_line_dedup, op7_jaccard_join, op8_exact_dedup, op9_bpe_round_trip, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

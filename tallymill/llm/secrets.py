@@ -53,18 +53,21 @@ def _found(text: Column, pattern: str, when: Column, group: int = 0) -> Column:
     return F.when(when, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
-def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the arrays assign, access and hex of (s, e, t)."""
+def base_spans(docs: DataFrame, id_col: str, text_col: str, passed: list[str] | None = None) -> DataFrame:
+    """doc_id, text, no_text, passed (other columns) and the arrays assign, access and hex of (s, e, t)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lower = F.lower(text)
+    lower = F.lower("text")
     named = lower.contains(ASSIGN_WORDS[0])
     for word in ASSIGN_WORDS[1:]:
         named = named | lower.contains(word)
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    other = F.struct(*(F.col(c) for c in passed)) if passed else F.lit(None)
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(text_col).isNull().alias("no_text"), other.alias("passed"))
     text = F.col("text")
     return base.select(
         "doc_id",
         "text",
+        "no_text",
+        "passed",
         F.filter(_found(text, ASSIGN, named, 2), lambda x: F.length(x["t"]) >= 6).alias("assign"),
         _found(text, ACCESS, text.contains("AKIA")).alias("access"),
         _found(text, HEX, text.rlike(HEX)).alias("hex"),
@@ -110,10 +113,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return ratio
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """doc_id, text and spans: array of (kind, s, e, t), by start and then by kind as listed."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, least_ratio: float = LEAST_RATIO, passed: list[str] | None = None) -> DataFrame:
+    """doc_id, text, no_text, passed and spans: array of (kind, s, e, t), by start and then by kind as listed."""
     ratio = train(docs, id_col, text_col, sample_docs)
-    found = base_spans(docs, id_col, text_col)
+    found = base_spans(docs, id_col, text_col, passed)
     if ratio is None:
         found = found.withColumn("random", F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)"))
     else:
@@ -127,7 +130,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
         found = found.withColumn("runs", _found(text, RUN, text.rlike(RUN)))
         found = found.withColumn("random", F.filter(F.filter("runs", lambda x: ~F.exists(known, lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))), secret))
-    return found.select("doc_id", "text", F.array_sort(F.concat(*(_tagged(k) for k in KINDS))).alias("spans"))
+    return found.select("doc_id", "text", "no_text", "passed", F.array_sort(F.concat(*(_tagged(k) for k in KINDS))).alias("spans"))
 
 
 def _tagged(kind: str) -> Column:
@@ -135,16 +138,23 @@ def _tagged(kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), x["e"].alias("e"), x["t"].alias("t")))
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: str = "<SECRET>") -> DataFrame:
-    """doc_id and text with every span replaced; overlapping spans become one."""
+def masked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>") -> DataFrame:
+    """The documents with every span replaced in their text; overlapping spans become one.
+
+    The columns other than id and text go along; a null text stays null.
+    """
+    passed = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = scan(docs, id_col, text_col, passed=passed)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column, text: Column) -> Column:
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(with_text))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        more = F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("spans", start, lambda acc, x: step(acc, x, F.col("text")), lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scan(docs, id_col, text_col).select("doc_id", F.when(F.size("spans") > 0, done).otherwise(F.col("text")).alias("text"))
+    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") > 0, whole).when(~F.col("no_text"), F.col("text"))
+    out = {id_col: F.col("doc_id"), text_col: text} | {c: F.col(f"passed.{c}") for c in passed}
+    return found.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def span_text(spans: Column) -> Column:
