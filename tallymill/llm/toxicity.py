@@ -38,7 +38,7 @@ WINDOW = 6
 SAMPLE, LONGEST = {1: 2400, 0: 5000}, 20_000
 #: Of the sample, the share of rows for the dictionaries; the others calibrate.
 FOR_DICTIONARIES = 0.45
-STEM, CONTEXTS, RATIO = 5, 8, 4.0
+STEM, CONTEXTS, RATIO = 5, 4, 4.0
 COMMON, OWN, SAMPLES = 20_000, 4_000, 60_000
 STEPS = (-3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8, 10)
 LEAST = 0.7
