@@ -163,21 +163,26 @@ def _ordered_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _short_lists(sets: DataFrame) -> DataFrame:
-    """(key, id, size) of each set's short lists: all its keys but the T - 1 most frequent ones."""
+    """(key, id, rank, size, shared) of each set's short lists: all but the T - 1 most frequent keys.
+
+    A set that has little to itself is near the middle of its group and makes a good hub.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, sizes = [], [], []
+            keys, ids, sizes, common = [], [], [], []
             for i, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 shared = np.frombuffer(own, "<i8")
                 short = shared[: max(0, len(shared) - needed(n) + 1)]
                 keys.append(short)
                 ids.append(np.full(len(short), i))
                 sizes.append(np.full(len(short), n))
+                common.append(np.full(len(short), len(shared)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, ids, sizes)], ["key", "id", "size"])
+                k, i, n, s = (np.concatenate(x).astype(np.int64) for x in (keys, ids, sizes, common))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, i, n - s, n, s)], ["key", "id", "rank", "size", "shared"])
 
-    return sets.mapInArrow(run, "key long, id long, size long")
+    return sets.mapInArrow(run, "key long, id long, rank long, size long, shared long")
 
 
 def overlap_at_least(short: np.ndarray, rest: np.ndarray, other: np.ndarray, least: int) -> bool:
@@ -243,7 +248,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(_ordered_sets(left, words), "sets")
     lists = written(_short_lists(sets), "short-lists")
     share, whole = THRESHOLD
-    possible = f"a_size * {whole} >= b_size * {share} AND b_size * {whole} >= a_size * {share}"
+    most = "least(a_shared, b_shared)"  # the overlap can't exceed what each has in common with any
+    possible = f"{most} * {whole} >= (a_size + b_size - {most}) * {share}"
     labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, sets))
     first = twins.where("first < last").select("same", "first")
     rows = counted.join(first, "same", "left").withColumn("id", F.coalesce("first", "doc_id"))

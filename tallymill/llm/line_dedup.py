@@ -119,7 +119,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST)
 
 
 def _lists(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
-    """(key, id, size) of the keys that two lines or more have, one of them stored."""
+    """(key, id, rank, size, shared) of the keys that two lines or more have, one of them stored."""
     n_buckets = postings.buckets(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +166,10 @@ def _lists(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
         sizes = np.diff(np.append(edges, len(keys)))
         stored = np.add.reduceat((notes & STORED).astype(np.int64), edges) > 0
         keep = np.repeat((sizes > 1) & stored, sizes)
-        return pa.table([keys[keep].astype(np.int64), owners[keep], (notes[keep] >> 2).astype(np.int64)], ["key", "id", "size"])
+        sizes = (notes[keep] >> 2).astype(np.int64)
+        return pa.table([keys[keep].astype(np.int64), owners[keep], owners[keep], sizes, sizes], ["key", "id", "rank", "size", "shared"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(pack, postings.PACKED).groupBy("bucket").applyInArrow(share, "key long, id long, size long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(pack, postings.PACKED).groupBy("bucket").applyInArrow(share, "key long, id long, rank long, size long, shared long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:

@@ -4,7 +4,8 @@ Two members can only be linked if some list holds both. A list of many members t
 linked (a group of near copies) needs few comparisons to be seen as one component, so lists are
 worked off in rounds:
 
-- first, every list's hub (its smallest member) is compared with the other members;
+- lists with the same members are one list;
+- first, every list's hub (the member of lowest rank) is compared with the other members;
 - then only members of different components are compared: all such pairs in lists of up to
   ``SMALL`` members, and in longer ones those with another hub each round;
 - after ``HUBS`` rounds, all pairs of different components that are left in long lists.
@@ -43,36 +44,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """Of the lists with equal members one, told by their number and 128 bits of their ids' hashes."""
+    members = lists.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return lists.join(kept, "key", "left_semi")
+
+
 def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Components (id, component) of all linked members, and the links (a, b) that were found.
 
-    lists: (key, id, size), each id once per key, written before. possible: SQL over a_size and
-    b_size that every link fulfils. verify: of (a, b) pairs, those that are linked.
+    lists: (key, id, rank, size, shared), each id once per key, written before. possible: SQL over
+    a_size, a_shared, b_size and b_shared, the same for (a, b) as for (b, a), that every link
+    fulfils. verify: of (a, b) pairs, those that are linked.
     """
     spark = lists.sparkSession
     pairs_schema = "a long, b long"
     labels = spark.createDataFrame([], "id long, component long")
     links = spark.createDataFrame([], pairs_schema)
     tested = spark.createDataFrame([], pairs_schema)
+    lists = written(_distinct_lists(lists), "lists")
     step = 0
     while True:
-        at = lists.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c"))
-        rank = F.xxhash64("id", F.lit(step)) if step else F.col("id")
-        heads = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(rank.alias("r"), "id", "size", "c")).alias("hub"))
-        heads = heads.where("low < high").select("key", "n", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.c").alias("hub_c"))
+        at = lists.join(labels, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("c"))
+        rank = F.xxhash64("id", F.lit(step)) if step else F.col("rank")
+        hub = F.min(F.struct(rank.alias("r"), "id", "size", "shared", "c")).alias("hub")
+        heads = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high").select("key", "n", "hub")
         left = written(at.join(heads, "key"), "lists")
         if not left.limit(1).count():
             break
         whole = F.lit(step > HUBS) | ((F.col("n") <= SMALL) & F.lit(step > 0))
-        hubs = left.where(~whole & (F.col("c") != F.col("hub_c"))).select(F.col("hub").alias("x"), F.col("hub_size").alias("x_size"), F.col("id").alias("y"), F.col("size").alias("y_size"))
-        short = left.where(whole)
-        x, y = (short.select("key", *(F.col(c).alias(f"{side}{suffix}") for c, suffix in (("id", ""), ("size", "_size"), ("c", "_c")))) for side in "xy")
-        every = x.join(y, "key").where("x < y AND x_c != y_c").select("x", "x_size", "y", "y_size")
-        pairs = (hubs.unionByName(every) if step else hubs).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y"), "a_size": F.when(F.col("x") < F.col("y"), F.col("x_size")).otherwise(F.col("y_size")), "b_size": F.when(F.col("x") < F.col("y"), F.col("y_size")).otherwise(F.col("x_size"))})
-        pairs = written(pairs.where(possible).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        side = lambda s, of: [F.col(of + c).alias(f"{s}{suffix}") for c, suffix in (("id", ""), ("size", "_size"), ("shared", "_shared"), ("c", "_c"))]
+        pairs = left.where(~whole).select(*side("a", "hub."), *side("b", ""))
+        if step:
+            short = left.where(whole)
+            every = short.select("key", *side("a", "")).join(short.select("key", *side("b", "")), "key").where(f"a < b AND a_c != b_c AND ({possible})")
+            pairs = pairs.unionByName(every.drop("key"))
+        pairs = pairs.where(f"a_c != b_c AND ({possible})").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = written(verify(pairs), "links")
         # a list is done with when every pair of its members has been compared or is connected
-        lists = written(left.where(~whole).select("key", "id", "size"), "lists")
+        lists = written(left.where(~whole).select(*lists.columns), "lists")
         tested = tested.unionByName(pairs)
         if found.limit(1).count():
             links = links.unionByName(found)
