@@ -7,7 +7,8 @@ a 128-bit digest (its second half by 32 bits), and neighbouring repeated chunks
 
 The occurrence with the smallest (document, start) is the first one; the others repeat it. A task
 first compares the chunks of its own batch and sends on one posting for each digest, so a passage
-that a third of all documents share stays a few postings per task.
+that a third of all documents share stays a few postings per task. What repeats a chunk of its own
+batch names that batch's first document with it as its source, all else the first of all.
 
 Spans are in bytes of the text's UTF-8 form. Cases: null and empty texts have no chunks; null ids
 are left out; repeated rows repeat each other like any copies but are reported under one id, so not

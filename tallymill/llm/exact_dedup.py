@@ -55,6 +55,6 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; rows without an id can't be named and stay."""
     gone = exact_copies(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")

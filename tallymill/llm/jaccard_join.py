@@ -185,10 +185,10 @@ def _short_lists(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "key long, id long, rank long, size long, shared long")
 
 
-def overlap_at_least(short: np.ndarray, rest: np.ndarray, other: np.ndarray, least: int) -> bool:
-    """Do ``short`` and ``rest`` together have ``least`` of the ascending ``other``?
+def overlap(short: np.ndarray, rest: np.ndarray, other: np.ndarray, least: int) -> int:
+    """How many of ``short`` and ``rest`` the ascending ``other`` has.
 
-    The short lists come first; the long ones are probed in blocks while it can still be reached.
+    The short lists come first; the long ones are probed in blocks, while ``least`` can be reached.
     """
 
     def probe(keys: np.ndarray) -> int:
@@ -196,17 +196,20 @@ def overlap_at_least(short: np.ndarray, rest: np.ndarray, other: np.ndarray, lea
         return int(np.count_nonzero(other[np.minimum(at, len(other) - 1)] == keys))
 
     if not len(other):
-        return False
+        return 0
     got = probe(short)
     for i in range(0, len(rest), 256):
-        if got >= least or got + len(rest) - i < least:
+        if got + len(rest) - i < least:
             break
         got += probe(rest[i : i + 256])
-    return got >= least
+    return got
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets overlap enough. A document in many pairs is spread over tasks."""
+    """The pairs with their overlap and whether it is enough; NULL where it is far from that.
+
+    A document in many pairs is spread over tasks.
+    """
     spread = F.pmod(F.xxhash64("a", "b"), F.lit(16)).cast("int")
     often = pairs.groupBy("a").count().where("count > 2000").select("a")
     often = written(often, "hubs")
@@ -220,17 +223,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, np.ndarray] = (b"", np.empty(0, "<u8"))
         for batch in batches:
-            keep = []
+            found, enough = [], []
             for a_n, a_keys, b_n, b_keys in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 least = -(-share * (a_n + b_n) // (share + whole))
                 if held[0] != b_keys:
                     held = (b_keys, np.sort(np.frombuffer(b_keys, "<u8")))
                 keys = np.frombuffer(a_keys, "<u8")
                 short = max(0, len(keys) - needed(a_n) + 1)
-                keep.append(overlap_at_least(keys[:short], keys[short:], held[1], least))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                got = overlap(keys[:short], keys[short:], held[1], least // 2)
+                found.append(got if got >= least // 2 else None)
+                enough.append(got >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64()), pa.array(enough, pa.bool_())], ["a", "b", "overlap", "linked"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, overlap long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -250,7 +255,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share, whole = THRESHOLD
     most = "least(a_shared, b_shared)"  # the overlap can't exceed what each has in common with any
     possible = f"{most} * {whole} >= (a_size + b_size - {most}) * {share}"
-    labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, sets))
+    through_hub = "least(a_overlap, b_overlap) + least(a_shared - a_overlap, b_shared - b_overlap)"
+    bound = f"({through_hub}) * {whole} >= (a_size + b_size - ({through_hub})) * {share}"
+    labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, sets), bound)
     first = twins.where("first < last").select("same", "first")
     rows = counted.join(first, "same", "left").withColumn("id", F.coalesce("first", "doc_id"))
     return rows.join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

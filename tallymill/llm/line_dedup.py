@@ -4,8 +4,8 @@ Segment-partition join (edit distance up to TAU): a line of length l is cut into
 even length; a line within TAU edits of it must hold at least one of them unchanged, near the same
 place. Each line stores its segments under (length, segment number, content), and probes, for each
 length from its own down to TAU less, the substrings that a multi-match-aware position range allows.
-Keys are hashed and exchanged in packed form; keys held by one line only are dropped at once. What
-is left becomes inverted lists; members are compared by a banded bit-parallel edit distance (given
+Keys are hashed and exchanged in packed form; keys held by one line only are dropped at once, and
+pairs of lines whose character pairs differ in more hashes than TAU edits can change. What is left becomes inverted lists; members are compared by a banded bit-parallel edit distance (given
 up once TAU can't be kept), hub by hub as in `links`.
 
 A class is a connected component of such links. Its first occurrence by (document, line) stays and
@@ -108,6 +108,14 @@ def within(a: str, b: str, tau: int = TAU) -> bool:
     return distance <= tau
 
 
+def parities(line: str) -> int:
+    """64 bits: is the number of character pairs of each hash odd? An edit flips four at most."""
+    bits = 0
+    for pair in zip(line, line[1:], strict=False):
+        bits ^= 1 << ((ord(pair[0]) * 31 + ord(pair[1])) * 0x9E3779B1 >> 20 & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _trimmed(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.btrim(x, F.lit(WHITE)))
 
@@ -175,11 +183,11 @@ def _lists(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(x, y, tau) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            near = [within(x, y, tau) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(near), pa.int64()), pa.array(near, pa.bool_())], ["a", "b", "overlap", "linked"])
 
     side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long, overlap long, linked boolean")
 
 
 def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
@@ -190,8 +198,16 @@ def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU, least:
         wanted = F.broadcast(wanted)
     line = docs.select(F.explode(_trimmed(F.split(F.col(text_col), "\n", -1))).alias("line")).where(F.length("line") >= least)
     texts = line.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    texts = written(texts, "line-texts")
-    labels, _ = linked_components(lists, f"abs(a_size - b_size) <= {tau}", lambda pairs: _verified(pairs, texts, tau))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [parities(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["id", "line", "mark"])
+
+    texts = written(texts.mapInArrow(sign, "id long, line string, mark long"), "line-texts")
+    lists = written(lists.drop("shared").join(texts.select("id", F.col("mark").alias("shared")), "id").select("key", "id", "rank", "size", "shared"), "line-lists")
+    possible = f"abs(a_size - b_size) <= {tau} AND bit_count(a_shared ^ b_shared) <= {4 * tau}"
+    labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, texts, tau))
     return labels.select(F.col("id").alias("line_id"), F.col("component").alias("class_id"))
 
 

@@ -10,6 +10,10 @@ worked off in rounds:
   ``SMALL`` members, and in longer ones those with another hub each round;
 - after ``HUBS`` rounds, all pairs of different components that are left in long lists.
 
+The overlap of each member with its list's first hub bounds that of any two members: what they
+share lies in the hub, at most the smaller of both overlaps, or outside it. Pairs that the bound
+rules out are not compared.
+
 No link between different components is lost: whatever a round leaves out stands in the same
 component already, or is compared later. Each comparison is verified exactly by the caller.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.storage import written
 
-SMALL, HUBS = 24, 4
+SMALL, HUBS = 24, 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,41 +55,55 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
     return lists.join(kept, "key", "left_semi")
 
 
-def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFrame], DataFrame], bound: str = "true") -> tuple[DataFrame, DataFrame]:
     """Components (id, component) of all linked members, and the links (a, b) that were found.
 
     lists: (key, id, rank, size, shared), each id once per key, written before. possible: SQL over
     a_size, a_shared, b_size and b_shared, the same for (a, b) as for (b, a), that every link
-    fulfils. verify: of (a, b) pairs, those that are linked.
+    fulfils. verify: (a, b, overlap, linked) of (a, b) pairs; overlap may be NULL. bound: like
+    possible, over a_overlap and b_overlap too, what either has in common with its list's first hub.
     """
     spark = lists.sparkSession
     pairs_schema = "a long, b long"
     labels = spark.createDataFrame([], "id long, component long")
     links = spark.createDataFrame([], pairs_schema)
     tested = spark.createDataFrame([], pairs_schema)
-    lists = written(_distinct_lists(lists), "lists")
+    lists = written(_distinct_lists(lists).withColumn("overlap", F.lit(None).cast("long")), "lists")
+    sides = (("id", ""), ("size", "_size"), ("shared", "_shared"), ("overlap", "_overlap"), ("c", "_c"))
+    side = lambda s, of: [F.col(of + c).alias(f"{s}{suffix}") for c, suffix in sides]
     step = 0
     while True:
         at = lists.join(labels, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("c"))
         rank = F.xxhash64("id", F.lit(step)) if step else F.col("rank")
-        hub = F.min(F.struct(rank.alias("r"), "id", "size", "shared", "c")).alias("hub")
+        hub = F.min(F.struct(rank.alias("r"), "id", "size", "shared", "overlap", "c")).alias("hub")
         heads = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high").select("key", "n", "hub")
         left = written(at.join(heads, "key"), "lists")
         if not left.limit(1).count():
             break
         whole = F.lit(step > HUBS) | ((F.col("n") <= SMALL) & F.lit(step > 0))
-        side = lambda s, of: [F.col(of + c).alias(f"{s}{suffix}") for c, suffix in (("id", ""), ("size", "_size"), ("shared", "_shared"), ("c", "_c"))]
-        pairs = left.where(~whole).select(*side("a", "hub."), *side("b", ""))
-        if step:
+        pairs = left.where(~whole).select(*side("a", "hub."), *side("b", "")).where("a_c != b_c")
+        if step:  # the first hubs are compared with all members, whatever their sizes: the overlaps are needed
+            worth = f"a_c != b_c AND ({possible}) AND coalesce({bound}, true)"
             short = left.where(whole)
-            every = short.select("key", *side("a", "")).join(short.select("key", *side("b", "")), "key").where(f"a < b AND a_c != b_c AND ({possible})")
-            pairs = pairs.unionByName(every.drop("key"))
-        pairs = pairs.where(f"a_c != b_c AND ({possible})").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            if step > HUBS:  # of the long lists that hold both, a pair is taken from one; no member has more than its short lists
+                short = short.join(short.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+            else:
+                short = short.withColumn("keys", F.array("key"))
+            x, y = (short.select("key", *side(s, ""), F.col("keys").alias(f"{s}_keys")) for s in "ab")
+            every = x.join(y, "key").where(f"a < b AND {worth} AND array_min(array_intersect(a_keys, b_keys)) = key")
+            pairs = pairs.where(worth).unionByName(every.drop("key", "a_keys", "b_keys"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(verify(pairs), "links")
-        # a list is done with when every pair of its members has been compared or is connected
-        lists = written(left.where(~whole).select(*lists.columns), "lists")
+        scored = written(verify(pairs), "scored")
+        # a list is done with when every pair of its members has been compared, ruled out or connected
+        rest = left.where(~whole)
+        if not step:
+            met = scored.select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("overlap").alias("met"))
+            rest = rest.withColumns({"low": F.least("id", "hub.id"), "high": F.greatest("id", "hub.id")}).join(met, ["low", "high"], "left")
+            rest = rest.withColumn("overlap", F.when(F.col("id") == F.col("hub.id"), F.col("shared")).otherwise(F.col("met")))
+        lists = written(rest.select(*lists.columns), "lists")
         tested = tested.unionByName(pairs)
+        found = scored.where("linked").select("a", "b")
         if found.limit(1).count():
             links = links.unionByName(found)
             labels = components(links)

@@ -33,6 +33,9 @@ KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS = 2000
 #: Letters, digits and the other token characters; one more class stands for the rest.
 CLASSES = 128
+#: Weight of a character's own frequency against that of its transition: a character that ordinary
+#: words rarely have says little about the next one, and stays rare itself.
+PRIOR = 500.0
 #: Log-likelihood ratio per transition from which a run counts as a secret.
 LEAST_RATIO = 1.0
 
@@ -94,8 +97,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     random = found.where(F.size("assign") + F.size("access") + F.size("hex") > 0).orderBy(*order).limit(sample_docs)
     random = random.select(F.explode(F.transform(F.concat("assign", "access", "hex"), lambda x: x["t"])).alias("token"))
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(*order).limit(sample_docs)
-    plain = plain.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token")).where(~F.col("token").rlike(f"^({HEX}|{ACCESS})$"))
+    rest = F.col(text_col)
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, pattern, " ")
+    plain = docs.select(F.col(id_col).alias("doc_id"), rest.alias("text")).orderBy(*order).limit(sample_docs)
+    plain = plain.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token"))
     both = random.withColumn("random", F.lit(1)).unionByName(plain.withColumn("random", F.lit(0)))
     pairs = both.where(F.length("token") >= 2).select("random", F.explode(_transitions(F.col("token"))).alias("pair"))
     counts: dict[int, dict[int, int]] = {0: {}, 1: {}}
@@ -105,10 +111,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         return None
     used = sorted({p // CLASSES for c in counts.values() for p in c} | {p % CLASSES for c in counts.values() for p in c})
     ratio = [0.0] * CLASSES**2
+    alone = {k: {b: sum(c.get(a * CLASSES + b, 0) for a in used) for b in used} for k, c in counts.items()}
+    after = {k: {a: sum(c.get(a * CLASSES + b, 0) for b in used) for a in used} for k, c in counts.items()}
     for a in used:
-        total = {k: sum(c.get(a * CLASSES + b, 0) for b in used) for k, c in counts.items()}
         for b in used:
-            p = {k: (c.get(a * CLASSES + b, 0) + 0.5) / (total[k] + 0.5 * len(used)) for k, c in counts.items()}
+            p = {}
+            for k, c in counts.items():  # a transition seen rarely goes by how often its second character is seen at all
+                usual = (alone[k][b] + 0.5) / (sum(alone[k].values()) + 0.5 * len(used))
+                p[k] = (c.get(a * CLASSES + b, 0) + PRIOR * usual) / (after[k][a] + PRIOR)
             ratio[a * CLASSES + b] = math.log(p[1] / p[0])
     return ratio
 

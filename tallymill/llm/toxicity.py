@@ -7,9 +7,11 @@ closer to. A text is described by how many of its windows, and what share of the
 of the thresholds ``STEPS``; a logistic model of these numbers, fitted on labelled rows that the
 dictionaries have not seen, calibrates the score.
 
-Toxic text, in a labelled document, is what stands out in it: words whose stem has at least
-``CONTEXTS`` different contexts in toxic documents and is ``RATIO`` times as frequent there as in
-ordinary ones. (Different contexts, so that one document's copies don't count.)
+Toxic text, in a labelled document, is what stands out in it: words whose stem is ``RATIO`` times as
+frequent in toxic documents as in ordinary ones, and has at least ``CONTEXTS`` different contexts
+there, and one more for each ``DOCUMENTS`` of them. (Different contexts, so that one document's
+copies don't count.) Each such word stands in the toxic dictionary once, the frequent ones nearest
+to the shared part; the ordinary content is what zstandard's own training selects.
 
 The fit reads a bounded sample: of each label at most ``SAMPLE`` rows, by a hash of their id, with
 texts of up to ``LONGEST`` characters. Scoring reads every whole text and shuffles nothing.
@@ -23,7 +25,7 @@ result; columns other than id and text are ignored, label columns among them.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 WINDOW = 6
 SAMPLE, LONGEST = {1: 2400, 0: 5000}, 20_000
 #: Of the sample, the share of rows for the dictionaries; the others calibrate.
-FOR_DICTIONARIES = 0.45
-STEM, CONTEXTS, RATIO = 5, 4, 4.0
+FOR_DICTIONARIES = 0.6
+STEM, CONTEXTS, DOCUMENTS, RATIO, RIDGE = 5, 4, 200, 10.0, 5.0
 COMMON, OWN, SAMPLES = 20_000, 4_000, 60_000
 STEPS = (-3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8, 10)
 LEAST = 0.7
@@ -98,8 +100,9 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weights[0] + x @ self.weights[1:]))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights by Newton's method, the constant first."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton's method, the constant first; all others are held small by a ridge."""
+    ridge = 1e-3 + RIDGE / len(y)
     x = np.column_stack([np.ones(len(x)), x])
     penalty = ridge * np.append(0.0, np.ones(x.shape[1] - 1))
     w = np.zeros(x.shape[1])
@@ -125,16 +128,15 @@ def fit(texts: list[str], labels: list[int]) -> Model | float:
     ordinary = [t for t, k, f in zip(texts, labels, first, strict=True) if f and k == 0]
     seen, usual = _contexts(toxic), _contexts(ordinary)
     here, there = sum(seen.values()) or 1, sum(usual.values()) or 1
-    marks = {s for s, n in seen.items() if n >= CONTEXTS and n / here > RATIO * (usual.get(s, 0) + 1) / there}
+    least = CONTEXTS + len(toxic) // DOCUMENTS
+    marks = {s for s, n in seen.items() if n >= least and n / here > RATIO * (usual.get(s, 0) + 1) / there}
     words = [w for t in toxic for w in WORD.findall(t.lower()) if w[:STEM] in marks] or [w for t in toxic for w in WORD.findall(t.lower())]
-    spread = np.random.default_rng(0).permutation
-    words = [words[i] for i in spread(len(words))]
-    own = [f" {' '.join(words[i : i + 4])} ".encode() for i in range(0, len(words), 4)]
+    own = "".join(f" {w} " for w, _ in reversed(Counter(words).most_common())).encode()[-OWN:]
     plain = sorted({w[len(LEAD) :] for t in ordinary for w in windows(t)})
-    plain = [plain[i] for i in spread(len(plain))]
+    plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))]
     half = min(SAMPLES, -(-3 * len(plain) // 4))
-    common = _content(plain[:half], COMMON)
-    dictionaries = [_content(part, OWN) + common + LEAD for part in (plain[half : half + SAMPLES] or plain, own[:SAMPLES])]
+    common = _content(plain[:half], COMMON) + LEAD
+    dictionaries = [_content(plain[half : half + SAMPLES] or plain, OWN)[-len(own) :] + common, own + common]
     x = np.array([features(t, *dictionaries) for t, f in zip(texts, first, strict=True) if not f])
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     return Model(*dictionaries, middle, scale, _logistic((x - middle) / scale, y[~first]))
