@@ -161,6 +161,23 @@ FROM orders_c o FULL JOIN statements_c s ON o.order_id = s.order_id GROUP BY ALL
 , c AS (SELECT order_id, key % 6 AS k, count(*) AS n FROM items_c GROUP BY ALL)
 SELECT CASE WHEN k = 0 OR (k = 1 AND n = 1) THEN 'NEW' WHEN k = 1 THEN 'UNSAFE' WHEN k = 2 THEN 'CONFLICT' ELSE 'EXACT_DUPLICATE' END AS verdict, count(*) AS n_orders, sum(n)::BIGINT AS n_rows FROM c GROUP BY ALL""",
 }
+BODIES |= {
+    "upsert_changes": _SNAPSHOT + """
+SELECT market, order_id, new.status, CASE WHEN old.key IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS action FROM new LEFT JOIN old USING (market, order_id) WHERE old.key IS NULL OR old.status <> new.status""",
+    "statement_compare": """
+, j AS (SELECT final_c, released_c, CASE WHEN o.order_id IS NULL THEN 'NOT_IN_ORDERS' WHEN s.order_id IS NULL THEN 'NOT_IN_STATEMENT' WHEN abs(final_c - released_c) <= 2 THEN 'MATCHED' ELSE 'DIFFERENT' END AS outcome
+        FROM orders_c o FULL JOIN statements_c s ON o.order_id = s.order_id)
+SELECT outcome, count(*) AS n_orders, sum(final_c) / 100.0 AS ours, sum(released_c) / 100.0 AS theirs FROM j GROUP BY outcome""",
+    "order_coverage": """
+SELECT market, count(*) AS n_orders, count(*) FILTER (order_id IN (SELECT order_id FROM items_c)) AS with_items, count(*) FILTER (order_id IN (SELECT order_id FROM components_c)) AS with_components,
+       count(*) FILTER (order_id IN (SELECT order_id FROM statements_c)) AS with_statement, count(*) FILTER (order_id IN (SELECT order_id FROM statements_c) AND order_id IN (SELECT order_id FROM items_c)) AS with_all
+FROM orders_c GROUP BY market""",
+    "invoice_totals_by_day": """
+SELECT market, created, count(*) AS n_orders, sum(final_c) / 100.0 AS final_amount, sum(sum(final_c)) OVER (PARTITION BY market ORDER BY created) / 100.0 AS so_far, row_number() OVER (PARTITION BY market ORDER BY created) AS day_no
+FROM orders_c GROUP BY market, created""",
+    "adjustment_matches": """
+SELECT kind, date_trunc('month', day)::DATE AS month, order_id IN (SELECT order_id FROM orders_c) AS has_order, count(*) AS n_events, sum(amount_c) / 100.0 AS amount, count(DISTINCT order_id) AS n_orders FROM adjustments_c GROUP BY ALL""",
+}
 BODIES["incremental_facts"] = BODIES["order_facts"]
 
 SQL = {name: CANONICAL + body for name, body in BODIES.items()}

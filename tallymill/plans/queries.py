@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import casts, text
-from tallymill.operators import allocation, analysis, changes, guards, products
+from tallymill.operators import allocation, analysis, changes, guards, matching, products
 from tallymill.sources import canonical as c
+from tallymill.workers import find_library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 START = date(1995, 3, 10)
@@ -21,6 +22,7 @@ START = date(1995, 3, 10)
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def as_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+        find_library(spark)
         out = f(spark, sf_dir)
         return out.select(*(F.col(f"`{n}`").cast("double").alias(n) if t.startswith("decimal") else F.col(f"`{n}`") for n, t in out.dtypes))
 
@@ -309,3 +311,52 @@ def incremental_facts(spark: SparkSession, d: str) -> DataFrame:
     from tallymill.streaming import facts
 
     return facts.replayed(c.components(spark, d), c.adjustments(spark, d))
+
+
+@query
+def upsert_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What an upsert of the incoming snapshot inserts and updates."""
+    current, incoming = _incoming(spark, d)
+    return matching.upsert_changes(current, incoming, ["market", "order_id"]).select("market", "order_id", "status", "action")
+
+
+@query
+def statement_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Final order amounts against released ones, order by order."""
+    return matching.statement_compare(c.orders(spark, d), c.statements(spark, d)).groupBy("outcome").agg(F.count("*").alias("n_orders"), F.sum("ours").alias("ours"), F.sum("theirs").alias("theirs"))
+
+
+@query
+def identity_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Items per order and return flag, told apart by their amounts to ten units of money, one row a perfect group.
+
+    The statement side has the items' amounts; every item of the same flag within the tolerance is a
+    candidate for it.
+    """
+    both = c.items(spark, d).select("order_id", F.col("flag").alias("product_key"), "item_index", F.col("subtotal").alias("amount"))
+    return matching.resolve(both.withColumnRenamed("item_index", "row_no"), both, "10.00")
+
+
+@query
+def order_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Orders per market: with items, with components, with a statement, with all of them."""
+    o = c.orders(spark, d).select("market", "order_id")
+    mark = lambda rows, name: rows.select("order_id").distinct().withColumn(name, F.lit(1))
+    rows = o.join(mark(c.items(spark, d), "i"), "order_id", "left").join(mark(c.components(spark, d), "p"), "order_id", "left").join(mark(c.statements(spark, d), "s"), "order_id", "left")
+    return rows.groupBy("market").agg(F.count("*").alias("n_orders"), F.count("i").alias("with_items"), F.count("p").alias("with_components"), F.count("s").alias("with_statement"), F.count_if(F.col("i").isNotNull() & F.col("p").isNotNull() & F.col("s").isNotNull()).alias("with_all"))
+
+
+@query
+def invoice_totals_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Running amounts of each market's orders by day."""
+    per_day = c.orders(spark, d).groupBy("market", "created").agg(F.count("*").alias("n_orders"), F.sum("final_amount").alias("final_amount"))
+    so_far = Window.partitionBy("market").orderBy("created")
+    return per_day.select("*", F.sum("final_amount").over(so_far).alias("so_far"), F.row_number().over(so_far).cast("long").alias("day_no"))
+
+
+@query
+def adjustment_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Adjustments by kind and month, with and without an order."""
+    known = c.orders(spark, d).select("order_id", F.lit(True).alias("known"))
+    rows = c.adjustments(spark, d).join(known, "order_id", "left")
+    return rows.groupBy("kind", F.trunc("day", "month").cast("date").alias("month"), F.coalesce("known", F.lit(False)).alias("has_order")).agg(F.count("*").alias("n_events"), F.sum("amount").alias("amount"), F.countDistinct("order_id").alias("n_orders"))

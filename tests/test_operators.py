@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymill.functions import casts, text
-from tallymill.operators import allocation, analysis, changes, guards, products
+from tallymill.operators import allocation, analysis, changes, guards, matching, products
 
 ORDER = "market string, order_id string, status string, created date, final_amount decimal(18,2)"
 COMPONENT = "order_id string, name string, amount decimal(18,2)"
@@ -137,3 +137,30 @@ def test_a_feed_of_changes_gives_the_facts_of_one_pass(spark, tmp_path):
     changes_ = spark.createDataFrame([("1", 1), ("1", 3)], "order_id string, revision long")
     assert [r[0] for r in facts.coverage_gaps(changes_, 1, 3).collect()] == [2]
     assert facts.pending(changes_).first()["revision"] == 3
+
+
+def test_perfect_matchings_are_counted():
+    import random
+    from itertools import permutations
+
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randint(0, 5)
+        edges = [{j for j in range(n) if r.random() < 0.6} for _ in range(n)]
+        assert matching.perfect_matchings(edges, n) == sum(all(p[i] in edges[i] for i in range(n)) for p in permutations(range(n)))
+    assert matching.perfect_matchings([{0}], 2) == 0
+
+
+def test_rows_are_resolved_to_items_or_groups(spark):
+    schema = "order_id string, product_key string, {} int, amount decimal(18,2)"
+    rows = spark.createDataFrame([("1", "p", 1, D("5.00")), ("1", "p", 2, D("9.00")), ("2", "p", 1, D("5.00")), ("2", "p", 2, D("5.00")), ("3", "p", 1, D("5.00")), ("4", "p", 1, D("5.03"))], schema.format("row_no"))
+    items = spark.createDataFrame([("1", "p", 0, D("9.01")), ("1", "p", 1, D("5.02")), ("2", "p", 0, D("5.00")), ("2", "p", 1, D("5.00")), ("4", "p", 0, D("5.00"))], schema.format("item_index"))
+    got = {r["order_id"]: (r["outcome"], r["n_matchings"]) for r in matching.resolve(rows, items).collect()}
+    assert got == {"1": ("ITEM", 1), "2": ("GROUP", 2), "3": ("UNRESOLVED", 0), "4": ("UNRESOLVED", 0)}
+
+
+def test_a_second_upsert_changes_nothing(spark):
+    old = spark.createDataFrame([("1", None), ("2", "x")], "k string, v string")
+    new = spark.createDataFrame([("1", None), ("2", "y"), ("3", None)], "k string, v string")
+    assert {(r["k"], r["action"]) for r in matching.upsert_changes(old, new, ["k"]).collect()} == {("2", "UPDATE"), ("3", "INSERT")}
+    assert matching.upsert_changes(changes.merge(old, new, ["k"]), new, ["k"]).count() == 0
