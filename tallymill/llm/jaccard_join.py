@@ -37,6 +37,7 @@ from tallymill.llm.storage import written
 WORDS, THRESHOLD = 5, (75, 100)
 #: Ids that are broadcast to pick documents (16 bytes each, so 16 MB); beyond it a shuffle does.
 FEW_IDS = 1_000_000
+PER_BUCKET = 200
 #: Words whose hash a worker keeps.
 CACHED = 400_000
 
@@ -124,9 +125,12 @@ def _shared_counts(texts: DataFrame, words: int) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("same").alias("same"), F.sum("shared").alias("shared"), F.count("n").alias("rows"))
 
 
-def _ordered_sets(texts: DataFrame, words: int) -> DataFrame:
-    """id, n and keys: what others have of the set, rarest first; only sets that may have links."""
-    n_buckets = postings.buckets(texts.sparkSession)
+def _ordered_sets(texts: DataFrame, words: int, n_texts: int) -> DataFrame:
+    """id, n and keys: what others have of the set, rarest first; only sets that may have links.
+
+    A bucket gets the keys of about PER_BUCKET texts, so that packed rows stay few and full.
+    """
+    n_buckets = min(postings.buckets(texts.sparkSession), 1 + n_texts // PER_BUCKET)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,12 +249,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = counted.where((F.col("n") > 0) & (F.col("shared") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0]))
     twins = written(alive.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "twins")
     chosen = twins.select(F.col("first").alias("doc_id"))
-    if chosen.count() <= FEW_IDS:
+    if (n_chosen := chosen.count()) <= FEW_IDS:
         chosen = F.broadcast(chosen)
     left = texts.join(chosen, "doc_id", "left_semi")
     if counted.where("rows > 1").limit(1).count():
         left = left.dropDuplicates(["doc_id"])
-    sets = written(_ordered_sets(left, words), "sets")
+    sets = written(_ordered_sets(left, words, n_chosen), "sets")
     lists = written(_short_lists(sets), "short-lists")
     share, whole = THRESHOLD
     most = "least(a_shared, b_shared)"  # the overlap can't exceed what each has in common with any
