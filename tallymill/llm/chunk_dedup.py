@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import postings
+from tallymill.llm.storage import partitions
 
 WINDOW, BITS, SHIFT = 16, 5, 18
 #: Cuts closer than LEAST to the one before don't count; chunks are split at MOST bytes.
@@ -83,11 +84,11 @@ def _repeats(owners: np.ndarray, notes: np.ndarray, order: np.ndarray, first: np
 def repeated_spans(docs: DataFrame, least_bytes: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span: doc_id, start, n_bytes, sources (ids of earlier documents with it)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    n_buckets = postings.buckets(docs.sparkSession)
+    n_buckets, n_owners = postings.buckets(docs.sparkSession), partitions(docs.sparkSession)
 
     def to_owner(owners: np.ndarray, notes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Repeats go to buckets below 0, by document."""
-        bucket = postings.bucket_of(postings.mixed(owners.astype(np.uint64)), n_buckets)
+        bucket = postings.bucket_of(postings.mixed(owners.astype(np.uint64)), n_owners)
         for batch in postings.packed(bucket, owners, np.zeros(len(owners), np.uint8), notes):
             negative = pa.array(-1 - np.array(batch.column(0)), pa.int32())
             yield pa.RecordBatch.from_arrays([negative, *batch.columns[1:]], postings.NAMES)
