@@ -6,9 +6,10 @@ the same places in every copy of a passage, whatever was inserted before it. Chu
 a 128-bit digest (its second half by 32 bits), and neighbouring repeated chunks are joined into spans.
 
 The occurrence with the smallest (document, start) is the first one; the others repeat it. A task
-first compares the chunks of its own batch and sends on one posting for each digest, so a passage
-that a third of all documents share stays a few postings per task. What repeats a chunk of its own
-batch names that batch's first document with it as its source, all else the first of all.
+first compares the chunks of its own batch and sends on, for each digest, the postings of the first
+document with it only, so a passage that a third of all documents share stays a few postings per
+task. What repeats a chunk of its own batch names that batch's first document with it as its source,
+all else the first of all. Which chunks are repeats doesn't depend on the batches.
 
 Spans are in bytes of the text's UTF-8 form. Cases: null and empty texts have no chunks; null ids
 are left out; repeated rows repeat each other like any copies but are reported under one id, so not
@@ -85,6 +86,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = SPAN, id_col: str = "doc_
     """One row per repeated span: doc_id, start, n_bytes, sources (ids of earlier documents with it)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     n_buckets, n_owners = postings.buckets(docs.sparkSession), partitions(docs.sparkSession)
+    most_held = postings.BATCH // 2
 
     def to_owner(owners: np.ndarray, notes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Repeats go to buckets below 0, by document."""
@@ -108,7 +110,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = SPAN, id_col: str = "doc_
             keys = digests[:, 0]
             order, first = _first_of_each(owners, keys, notes)
             yield from to_owner(*_repeats(owners, notes, order, first))
-            mine = np.sort(order[first == np.arange(len(order))])
+            mine = np.sort(order[owners[order[first]] == owners[order]])  # all of the first document's: another batch may have an earlier one
             yield from postings.packed(postings.bucket_of(keys[mine], n_buckets), owners[mine], keys[mine], notes[mine])
 
         for batch in batches:
@@ -120,7 +122,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = SPAN, id_col: str = "doc_
                 at = ends.tolist()
                 held.append((doc_id, ends, b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *at], at, strict=False)])))
                 count += len(at)
-                if count >= postings.BATCH // 2:
+                if count >= most_held:
                     yield from flush()
                     held, count = [], 0
         if held:

@@ -177,3 +177,21 @@ def test_repeats_against_brute_force(spark):
         assert covered == r["n_bytes"]
     assert got == want
     assert chunk_dedup.repeated_spans(docs.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("batch", [2, 60, 2_000_000])
+def test_repeats_do_not_depend_on_batches(make, words, monkeypatch, batch):
+    monkeypatch.setattr(chunk_dedup.postings, "BATCH", batch)
+    passage, other = " ".join(words(77, 60)), " ".join(words(78, 60))
+    own = lambda i: " ".join(words(100 + i, 40))
+    texts = [f"{own(3 * i)} {' '.join([passage, own(3 * i + 1)] * (1 + i % 3))} {other if i > 4 else ''} {other if i % 4 == 1 else ''} {own(3 * i + 2)}" for i in range(12)]
+    owner, want = {}, set()
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        ends = chunk_dedup.chunk_ends(raw).tolist()
+        want |= {(i, x) for a, b in zip([0, *ends], ends, strict=False) if owner.setdefault(raw[a:b], i) != i for x in range(a, b)}
+    spans = chunk_dedup.repeated_spans(make(texts), 1).collect()
+    assert {(r["doc_id"], x) for r in spans for x in range(r["start"], r["start"] + r["n_bytes"])} == want
+    cut = {r["doc_id"]: r["text"] for r in chunk_dedup.without_repeats(make(texts)).select("doc_id", "text").collect()}
+    inner = passage[80:-80]
+    assert inner in cut[0] and all(inner not in cut[i] for i in range(1, 12))
