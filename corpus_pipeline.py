@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workers_can_import(spark)
     before = docs.select(*COLUMNS, (F.length(F.btrim("text", F.lit(line_dedup.WHITE))) > 0).alias("_had_text"))
-    after = line_dedup.drop_repeated_lines(before)
+    after = line_dedup.drop_repeated_lines(before, least_copy=1)
     empty = F.length(F.btrim("text", F.lit(line_dedup.WHITE))) == 0
     return _with_text(after.where(~F.coalesce(F.col("_had_text") & empty, F.lit(False))))
 

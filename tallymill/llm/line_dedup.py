@@ -9,8 +9,9 @@ pairs of lines whose character pairs differ in more hashes than TAU edits can ch
 up once TAU can't be kept), hub by hub as in `links`.
 
 A class is a connected component of such links. Its first occurrence by (document, line) stays and
-every other one is removed. Lines are compared without white space at their ends; lines of fewer
-than ``LEAST`` characters are no evidence of copying and always stay.
+every other one is removed. Lines are compared without white space at their ends. Lines of fewer
+than ``LEAST`` characters take no part in the edit join; from ``least_copy`` characters on each is a
+class of its own with its exact copies. With ``least_copy=1`` every line that isn't empty takes part.
 
 Cases: null and empty texts have no lines to remove; a repeated row's lines are copies under one id
 and equal places, of which all stay; null ids are left out of the decisions and keep their lines;
@@ -211,10 +212,13 @@ def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU, least:
     return labels.select(F.col("id").alias("line_id"), F.col("component").alias("class_id"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no, line_id, class_id, first_doc_id, first_line_no of every line that goes."""
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, least_copy: int = LEAST) -> DataFrame:
+    """doc_id, line_no, line_id, class_id, first_doc_id, first_line_no of every line that goes.
+
+    Lines of ``least`` characters and more go by edit distance, those of ``least_copy`` and more as exact copies.
+    """
     classes = written(line_classes(docs, text_col, tau, least), "line-classes")
-    at = occurrences(docs, id_col, text_col, least).join(classes, "line_id", "left").withColumn("class_id", F.coalesce("class_id", "line_id"))
+    at = occurrences(docs, id_col, text_col, min(least, least_copy)).join(classes, "line_id", "left").withColumn("class_id", F.coalesce("class_id", "line_id"))
     at = written(at, "lines")
     first = at.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = written(first, "first-lines")
@@ -222,17 +226,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.select("doc_id", "line_no", "line_id", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, least_copy: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers), source_ids."""
-    gone = removed_lines(docs, id_col, text_col, tau, least).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.sort_array(F.collect_set("first_doc_id")).alias("source_ids"))
+    gone = removed_lines(docs, id_col, text_col, tau, least, least_copy).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.sort_array(F.collect_set("first_doc_id")).alias("source_ids"))
     n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
     every = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
     return every.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none("int")).alias("removed"), F.coalesce("source_ids", none("bigint")).alias("source_ids"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, least_copy: int = LEAST) -> DataFrame:
     """The documents, with all their columns, without the lines that go."""
-    gone = removed_lines(docs, id_col, text_col, tau, least).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list("line_no").alias("_gone"))
+    gone = removed_lines(docs, id_col, text_col, tau, least, least_copy).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list("line_no").alias("_gone"))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return docs.join(gone, id_col, "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")

@@ -135,6 +135,19 @@ def test_lines(make, words):
         assert after[i] == (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if (i, n) not in want))
 
 
+def test_short_lines_go_as_exact_copies(spark, make, tmp_path):
+    import corpus_pipeline
+    from tallymill.llm import queries
+
+    texts = ["All rights reserved.\nx\n\nonly here", "  All rights reserved.\t\nx\n\nAll rights reserved!\nx", None, "", "x\nAll rights reserved.", "own line"]
+    make(texts).select(DOCUMENT.replace(" long", "").replace(" string", "").split(", ")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    report = {r["doc_id"]: (r["removed"], r["source_ids"]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert report == {0: ([], []), 1: ([0, 1, 4], [0]), 2: ([], []), 3: ([], []), 4: ([0, 1], [0]), 5: ([], [])}
+    after = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()}
+    assert after == {0: texts[0], 1: "\nAll rights reserved!", 2: None, 3: "", 5: "own line"}
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.line_report(spark.createDataFrame([], DOCUMENT)).count() == 0
 
