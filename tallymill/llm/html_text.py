@@ -9,9 +9,11 @@ leaves the minimum unchanged; the rest is solved by augmenting along shortest pa
 
 The cut is per page, so a page is one task's work and nothing is shuffled.
 
-Cases: null and empty pages have empty text; unclosed tags end with their section; a tag cut off at
-the page's end is dropped; references are decoded once; repeated rows are done each by itself; an
-empty table gives an empty result; columns other than id, url and html are ignored.
+Cases: null and empty pages have empty text; unclosed tags end with their section; elements without
+visible text hide what is inside up to their end tag or the end of a section around them, and
+where the page has no end tag for them, up to the next block; a tag cut off at the page's end is
+dropped; references are decoded once; repeated rows are done each by itself; an empty table gives
+an empty result; columns other than id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +32,14 @@ from pyspark.sql import functions as F
 #: Elements by what they do to the text.
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+#: These can't stand inside themselves, so another start tag ends them.
+ALONE = frozenset("option button select".split())
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "h1": {"p"}, "h2": {"p"}, "h3": {"p"}, "ul": {"p"}, "ol": {"p"}, "div": {"p"}, "table": {"p"}, "article": {"p"}, "section": {"p"}, "footer": {"p"}, "nav": {"p"}, "aside": {"p"}, "header": {"p"}, "form": {"p"}, "main": {"p"}}
 SECTIONS = frozenset("article main section nav aside footer header form div body table ul ol dl blockquote dialog menu".split())
+#: Where one of these starts or ends, svg and math without an end tag are over.
+BLOCKS = SECTIONS | frozenset(CLOSES) | frozenset("h4 h5 h6 pre figure address center details fieldset html".split())
 #: Weights of the classifier, in log-odds for content. A section counts by its element and by the
 #: words of its class, id and role.
 ELEMENT = {"article": 4.0, "main": 3.0, "nav": -7.0, "menu": -7.0, "aside": -6.0, "footer": -7.0, "form": -6.0, "dialog": -6.0, "header": -5.0, "blockquote": 0.5, "address": -1.0}
@@ -47,8 +54,10 @@ BIAS, LENGTH, LINKS, HEADING, SENTENCE = -0.5, 0.5, -3.0, 0.5, 0.5
 TIE = 1.5
 SCALE = 1000
 
+#: An svg that holds no other one is passed over as a whole, if it has an end tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(?:(?!<svg\b).)*?</svg\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -88,12 +97,41 @@ def inside(around: float, weight: float) -> float:
     return weight + (min(0.0, around) if weight < 0 else around)
 
 
+def is_empty(tag: str, attrs: str) -> bool:
+    return tag in VOID or (tag in FOREIGN and attrs.endswith("/"))
+
+
+def ended(page: str) -> set[int]:
+    """Where the tags of UNSEEN elements start that have an end tag of their own."""
+    out: set[int] = set()
+    begun: dict[str, list[int]] = {}
+    for m in TOKEN.finditer(page):
+        tag = (m["tag"] or "").lower()
+        if tag not in UNSEEN:
+            continue
+        same = begun.setdefault(tag, [])
+        if not m["end"]:
+            if tag in ALONE:
+                same.clear()
+            if not is_empty(tag, m["attrs"]):
+                same.append(m.start())
+        elif same:
+            at = same.pop()
+            out.add(at)
+            for others in begun.values():
+                while others and others[-1] > at:
+                    others.pop()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with visible text, in page order."""
     out: list[Block] = []
     open_: list[tuple[str, int, float]] = []  # tag, number, weight with all around it
+    hidden: list[tuple[str, int, bool]] = []  # tag, sections around it, has an end tag
     parts: list[tuple[str, bool]] = []
-    number = hidden = links = 0
+    number = links = 0
+    has_end = ended(page)
 
     def end_block() -> None:
         if parts:
@@ -104,6 +142,13 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, tuple(n for _, n, _ in open_), weight, linked, any(t[0] == "h" and t[1:].isdigit() for t, _, _ in open_[-1:])))
             parts.clear()
 
+    def unhide(tag: str) -> None:
+        """Ends the innermost hidden element of this tag, with all that is open inside."""
+        for i in range(len(hidden) - 1, -1, -1):
+            if hidden[i][0] == tag:
+                del open_[hidden[i][1] :], hidden[i:]
+                break
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at and not hidden:
@@ -114,19 +159,25 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in UNSEEN:
-            if tag not in VOID:
-                hidden = max(0, hidden + (-1 if m["end"] else 1))
             end_block()
+            if m["end"] or tag in ALONE:
+                unhide(tag)
+            if not m["end"] and not is_empty(tag, m["attrs"]):
+                hidden.append((tag, len(open_), m.start() in has_end))
         elif tag == "br":
             parts.append((" ", links > 0))
         elif tag in INLINE:
             if tag == "a":
                 links = 0 if m["end"] else 1
+        elif hidden and hidden[-1][0] in FOREIGN and not hidden[-1][2] and tag not in BLOCKS:
+            continue
         else:
             end_block()
             links = 0
             if tag == "body":
-                hidden = 0
+                hidden.clear()
+            while hidden and not hidden[-1][2] and tag not in VOID:
+                hidden.pop()
             if m["end"]:
                 for i in range(len(open_) - 1, -1, -1):
                     if open_[i][0] == tag:
@@ -135,6 +186,9 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID:
                 while open_ and open_[-1][0] in CLOSES.get(tag, ()):
                     open_.pop()
+            while hidden and hidden[-1][1] > len(open_):
+                hidden.pop()
+            if not m["end"] and tag not in VOID:
                 number += 1
                 around = open_[-1][2] if open_ else 0.0
                 in_article = any(t in ("article", "main") for t, _, _ in open_)

@@ -146,6 +146,35 @@ def test_main_text_of_a_page():
     assert html_text.main_text("<article><p>Some text that goes on for a while &amp;lt; here.<p clas") == "Some text that goes on for a while &lt; here."
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<select><option>One<option>Two</select>",
+        "<div><select><optgroup><option>One<optgroup><option>Two</select></div>",
+        "<form><select><option>One<option>Two</form>",
+        "<div><button>Menu</div><div><button>Other</button></div>",
+        "<div><button>Menu</div><button>Other",
+        "<object data=a><param name=b>",
+        "<audio src=a><source src=b>",
+        "<video src=a>",
+        "<div><video src=a><p>Not seen</div></video>",
+        "<canvas>",
+        "<svg class='a'/>",
+        '<svg viewBox="0 0 1 1" />',
+        "<svg><title>Icon</title><path d=M0/><text>Icon</text>",
+        "<math/>",
+        "<svg><text>Icon</text></svg><object><video>Old</video> browser</object>",
+    ],
+)
+def test_elements_without_an_end_tag_hide_no_article(before):
+    article = "<h1>A title</h1><p>First paragraph of the text, long enough.<p>Second paragraph of the text, long enough."
+    want = "A title First paragraph of the text, long enough. Second paragraph of the text, long enough."
+    for icon in ("", "<svg><path d=M1></path></svg>"):
+        page = f"<html><head><title>T</title></head><body>{before}<article>{article}</article>{icon}</body></html>"
+        assert html_text.main_text(page) == want
+        assert html_text.main_text(f"<html><head><title>T</title><meta name=a><div>{before}</div><article>{article}</article>{icon}") == want
+
+
 def test_the_cut_is_minimal():
     r = random.Random(6)
     for _ in range(200):
