@@ -207,9 +207,13 @@ def first_adjustments(spark: SparkSession, d: str) -> DataFrame:
 def event_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Count, nearest-rank median and 95th percentile, and sum per kind."""
     rows = c.adjustments(spark, d)
-    ranked = rows.select("kind", "amount", F.row_number().over(Window.partitionBy("kind").orderBy("amount")).alias("rank"), F.count("*").over(Window.partitionBy("kind")).alias("n"))
-    at = lambda percent: F.max(F.when(F.col("rank") == F.ceil(F.col("n") * percent / 100), F.col("amount")))
-    return ranked.groupBy("kind").agg(F.count("*").alias("n_events"), at(50).alias("median"), at(95).alias("p95"), F.sum("amount").alias("amount"))
+    amounts = rows.groupBy("kind", "amount").agg(F.count("*").alias("n_equal"), F.sum("amount").alias("total"))  # no window holds a kind's raw rows
+    kind = Window.partitionBy("kind")
+    upto = F.sum("n_equal").over(kind.orderBy("amount").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = amounts.select("*", upto.alias("upto"), F.sum("n_equal").over(kind).alias("n"))
+    rank = lambda percent: F.ceil(F.col("n") * percent / 100)
+    at = lambda percent: F.max(F.when((F.col("upto") >= rank(percent)) & (F.col("upto") - F.col("n_equal") < rank(percent)), F.col("amount")))
+    return ranked.groupBy("kind").agg(F.sum("n_equal").alias("n_events"), at(50).alias("median"), at(95).alias("p95"), F.sum("total").alias("amount"))
 
 
 @query

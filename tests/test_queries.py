@@ -44,3 +44,18 @@ def test_entry_runs_without_the_optional_subpackage(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_percentiles_window_over_distinct_amounts(spark, monkeypatch):
+    from decimal import Decimal
+
+    from tallymill.plans import queries
+
+    amounts = {"few": [None, 3, 1, 2, 2], "one": [7], "none": [None], "many": [i % 10 for i in range(1000)]}
+    made = spark.createDataFrame([(k, None if x is None else Decimal(x)) for k, xs in amounts.items() for x in xs], "kind string, amount decimal(18,2)")
+    monkeypatch.setattr(queries.c, "adjustments", lambda *_: made)
+    df = queries.event_percentiles(spark, FOLDER)
+    got = {r["kind"]: (r["n_events"], r["median"], r["p95"], r["amount"]) for r in df.collect()}
+    assert got == {"few": (5, 2.0, 3.0, 8.0), "one": (1, 7.0, 7.0, 7.0), "none": (1, None, None, None), "many": (1000, 4.0, 9.0, 4500.0)}
+    below = df._jdf.queryExecution().optimizedPlan().toString().split("Window [")[-1]
+    assert "Aggregate [kind" in below
