@@ -30,8 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Caches are emptied at these sizes: words, and states of the deterministic automaton.
-CACHED, STATES = 150_000, 200_000
+#: Bounds of each cache's newer half, and of the deterministic automaton's states (then it starts anew).
+CACHED, STATES = 250_000, 200_000
 FINAL = 256
 
 SPACE = r"[\t-\r \x85\xa0  -     　]"
@@ -87,7 +87,7 @@ class MergeAutomaton:
     def _forget(self) -> None:
         self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
         self.numbers = {self.states[0]: 0}
-        self.table: dict[int, tuple[int, int]] = {}
+        self.table: list[dict[int, tuple[int, int]]] = [{}]  # by state: symbol to next state and ended token
 
     def reads(self, before: int, token: int) -> bool:
         """Has the state behind ``before`` an arc for ``token``?"""
@@ -119,51 +119,93 @@ class MergeAutomaton:
         number = self.numbers.setdefault(found, len(self.states))
         if number == len(self.states):
             self.states.append(found)
-        out = self.table[state * 512 + symbol] = (number, ended)
+            self.table.append({})
+        out = self.table[state][symbol] = (number, ended)
         return out
 
     def encode(self, symbols: list[int]) -> list[int]:
         if len(self.states) > STATES:
             self._forget()
-        state, ended, table = 0, [], self.table
+        state, ended, table, length = 0, [], self.table, self.length
         for s in symbols:
-            state, token = table.get(state * 512 + s) or self._step(state, s)
+            try:
+                state, token = table[state][s]
+            except KeyError:
+                state, token = self._step(state, s)
             ended.append(token)
         out, i = [], len(symbols)
         while i:
             token = ended[i - 1]
             out.append(token)
-            i -= self.length[token]
-        return out[::-1]
+            i -= length[token]
+        out.reverse()
+        return out
+
+
+class _TwoGenerations(dict):
+    """A bounded cache: when it is full its entries become the old ones, and those used again come back."""
+
+    old: dict
+
+    def __init__(self) -> None:
+        self.old = {}
+
+    def __missing__(self, key: str) -> tuple[bytes, str]:
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.made(key)
+        self[key] = found
+        return found
 
 
-class WordTokenizer(dict):
-    """Encodes texts as a byte-level word-end BPE tokenizer file says; words are cached.
+class _Words(_TwoGenerations):
+    """Ids and decoded text of words in lower case."""
 
-    Maps a text without a space to its ids as little-endian bytes and to its decoded text.
+    def __init__(self, automaton: MergeAutomaton) -> None:
+        super().__init__()
+        self.automaton = automaton
+        self.emitted = {i: (np.array(i, "<u4").tobytes(), label) for i, label in automaton.labels.items()}
+
+    def made(self, word: str) -> tuple[bytes, str]:
+        symbols = [*word.encode()]
+        symbols[-1] += FINAL
+        if not self.automaton.base.keys() >= set(symbols):
+            symbols = [s for s in symbols if s in self.automaton.base]
+        ids = self.automaton.encode(symbols)
+        if len(ids) == 1:
+            return self.emitted[ids[0]]
+        arcs = [self.emitted[i] for i in ids]
+        return b"".join([i for i, _ in arcs]), " ".join([label for _, label in arcs])
+
+
+class WordTokenizer(_TwoGenerations):
+    """Encodes texts as a byte-level word-end BPE tokenizer file says.
+
+    Maps a text without a space to its ids as little-endian bytes and to its decoded text; these are
+    kept, and so are those of its words, which many such texts share.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.automaton = MergeAutomaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
+        self.known = _Words(MergeAutomaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"]))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE[1:-1]}"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        if len(self) >= CACHED:
-            self.clear()
-        lower = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids: list[int] = []
-        for word in self.words.findall(lower):
-            symbols = [*word.encode()]
-            symbols[-1] += FINAL
-            ids += self.automaton.encode([s for s in symbols if s in self.automaton.base])
-        found = self[chunk] = (np.array(ids, "<u4").tobytes(), " ".join(map(self.automaton.labels.__getitem__, ids)))
-        return found
+    def made(self, chunk: str) -> tuple[bytes, str]:
+        lower = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        words = self.words.findall(lower)
+        if len(words) == 1:
+            return self.known[words[0]]
+        found = [self.known[w] for w in words]
+        return b"".join([ids for ids, _ in found]), " ".join([label for _, label in found if label])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as bytes, and what decoding them gives."""
@@ -174,7 +216,8 @@ class WordTokenizer(dict):
                 found.append((np.array([self.special[part]], "<u4").tobytes(), part))
             else:
                 found += map(self.__getitem__, part.split(" "))
-        return b"".join([ids for ids, _ in found]), " ".join([label for _, label in found if label])
+        ids, labels = zip(*found, strict=True)
+        return b"".join(ids), " ".join(filter(None, labels))
 
 
 @cache
