@@ -34,6 +34,31 @@ def test_topk(spark, monkeypatch, n, k):
     assert got == brute(rows, k)
 
 
+def test_topk_of_large_components(spark):
+    """Exact integers where doubles would round, and the ends of a long's range beyond it."""
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=6) * 10.0 ** r.integers(0, 8)).tolist()) for i in range(700)]
+    rows += [(1000 + i, [2.0**22 + i % 3, 2.0**22, 1.0, -(2.0**22), 0.5, 3.0]) for i in range(40)]
+    rows += [(2000 + i, (r.normal(size=6) * 1e20).tolist()) for i in range(60)] + [(2100, [3e38] * 6), (2200, [-3e38] * 6), (2201, [3e38] * 6), (2202, [3e38] * 6)]
+    df = spark.createDataFrame([(i, [float(np.float32(x)) for x in v], 1, 1) for i, v in rows], VECTOR).repartition(3)
+    v = vector_topk.quantised(df)
+    got = sorted(tuple(x) for x in vector_topk.nearest(v, v.where("vec_id % 100 = 0")).collect())
+    whole = {i: [math.floor(float(np.float32(x)) * 1024) for x in u] for i, u in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 100 == 0):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), -(2**63)), 2**63 - 1), i) for i in whole if i != q)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert got == want
+
+
+def test_topk_of_several_groups_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector_topk, "BROADCAST", 600)
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=24).round(2).tolist()) for i in range(900)]
+    v = vector_topk.quantised(spark.createDataFrame([(i, u, 1, 1) for i, u in rows], VECTOR).repartition(3))
+    assert sorted(tuple(x) for x in vector_topk.nearest(v, v.where("vec_id % 100 = 0")).collect()) == brute(rows, 10)
+
+
 def test_topk_of_nothing(spark):
     v = vector_topk.quantised(spark.createDataFrame([], VECTOR))
     assert vector_topk.nearest(v, v).count() == 0
