@@ -1,17 +1,21 @@
 """Line dedup: lines that equal an earlier line up to a small edit distance go.
 
-Segment-partition join (edit distance up to TAU): a line of length l is cut into TAU + 1 segments of
-even length; a line within TAU edits of it must hold at least one of them unchanged, near the same
+How many edits a pair may differ by follows from the shorter line: one for each ``PER_EDIT`` of its
+characters, at most ``TAU``. Lines too short for an edit are linked to exact copies only.
+
+Segment-partition join: a line of length l with t edits allowed is cut into t + 1 segments of even
+length; a longer line within t edits of it must hold at least one of them unchanged, near the same
 place. Each line stores its segments under (length, segment number, content), and probes, for each
 length from its own down to TAU less, the substrings that a multi-match-aware position range allows.
 Keys are hashed and exchanged in packed form; keys held by one line only are dropped at once, and
-pairs of lines whose character pairs differ in more hashes than TAU edits can change. What is left becomes inverted lists; members are compared by a banded bit-parallel edit distance (given
-up once TAU can't be kept), hub by hub as in `links`.
+so are pairs of lines whose character pairs differ in more hashes than their edits can change. What
+is left becomes inverted lists; members are compared by a banded bit-parallel edit distance (given
+up once the bound can't be kept), hub by hub as in `links`.
 
 A class is a connected component of such links. Its first occurrence by (document, line) stays and
-every other one is removed. Lines are compared without white space at their ends. Lines of fewer
-than ``LEAST`` characters take no part in the edit join; from ``least_copy`` characters on each is a
-class of its own with its exact copies. With ``least_copy=1`` every line that isn't empty takes part.
+every other one is removed. Lines are compared without white space at their ends; empty ones stay.
+A line is told from others by 128 bits; of lines that share the first 64 of them only one has edit
+links.
 
 Cases: null and empty texts have no lines to remove; a repeated row's lines are copies under one id
 and equal places, of which all stay; null ids are left out of the decisions and keep their lines;
@@ -30,9 +34,13 @@ from pyspark.sql import functions as F
 
 from tallymill.llm import postings
 from tallymill.llm.links import linked_components
-from tallymill.llm.storage import written
+from tallymill.llm.storage import free_name, written
 
-TAU, LEAST = 2, 24
+TAU, PER_EDIT = 2, 12
+#: Bytes of text for each key of a line.
+PER_KEY = 4
+#: Lines that a class of this share of all lines or more has are found by a broadcast (of 1 / HOT rows at most).
+HOT = 1 / 2000
 WHITE = " \t\n\r\x0b\x0c"
 #: Spark's xxhash64 has this seed; lines have the same id here and there.
 SEED = 42
@@ -52,13 +60,21 @@ def segments(length: int, tau: int = TAU) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(length: int, tau: int = TAU) -> int:
+    """Edits by which a line of this length, or a longer one, may differ from it."""
+    return min(tau, length // PER_EDIT)
+
+
 def line_keys(line: str, tau: int = TAU) -> list[tuple[int, int]]:
     """(hash of a key, STORED | PROBED) of a line."""
     n, out = len(line), {}
     for less in range(min(tau, n) + 1):
-        for i, (at, size) in enumerate(segments(n - less, tau)):
-            low = max(0, at - i, at + less - (tau - i))
-            high = min(n - size, at + i, at + less + (tau - i))
+        t = allowed(n - less, tau)
+        if not t or less > t:
+            continue
+        for i, (at, size) in enumerate(segments(n - less, t)):
+            low = max(0, at - i, at + less - (t - i))
+            high = min(n - size, at + i, at + less + (t - i))
             for p in range(low, high + 1):
                 key = xxhash.xxh3_64_intdigest(line[p : p + size], (n - less) * (tau + 1) + i)
                 out[key] = out.get(key, 0) | PROBED | (STORED if less == 0 and p == at else 0)
@@ -121,15 +137,19 @@ def _trimmed(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.btrim(x, F.lit(WHITE)))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no (from 0), line_id of every line that takes part."""
+def _identity(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("line_id"), F.xxhash64(line, F.lit(1)).alias("check")]
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, line_no (from 0), line_id and check of every line that isn't empty."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(_trimmed(F.split(F.col(text_col), "\n", -1))).alias("line_no", "line"))
-    return lines.where((F.length("line") >= least) & F.col("doc_id").isNotNull()).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"))
+    return lines.where((F.col("line") != "") & F.col("doc_id").isNotNull()).select("doc_id", "line_no", *_identity(F.col("line")))
 
 
-def _lists(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
+def _lists(docs: DataFrame, text_col: str, tau: int) -> DataFrame:
     """(key, id, rank, size, shared) of the keys that two lines or more have, one of them stored."""
-    n_buckets = postings.buckets(docs.sparkSession)
+    n_buckets = postings.buckets(postings.text_bytes(docs, text_col) // PER_KEY)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,7 +169,7 @@ def _lists(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     line = line.strip(WHITE)
-                    if len(line) < least:
+                    if not allowed(len(line), tau):
                         continue
                     i = xxhash.xxh64_intdigest(line, SEED)
                     if i in seen:
@@ -184,20 +204,20 @@ def _lists(docs: DataFrame, text_col: str, tau: int, least: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within(x, y, tau) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            near = [within(x, y, allowed(min(len(x), len(y)), tau)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(near), pa.int64()), pa.array(near, pa.bool_())], ["a", "b", "overlap", "linked"])
 
     side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long, overlap long, linked boolean")
 
 
-def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """(line_id, class_id) of every line that is linked to another, different line."""
-    lists = written(_lists(docs, text_col, tau, least), "line-lists")
+def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU) -> DataFrame:
+    """line_id, check, class_id and class_check of every line that is linked to another, different line."""
+    lists = written(_lists(docs, text_col, tau), "line-lists")
     wanted = written(lists.select("id").distinct(), "line-ids")
     if wanted.count() <= FEW_IDS:
         wanted = F.broadcast(wanted)
-    line = docs.select(F.explode(_trimmed(F.split(F.col(text_col), "\n", -1))).alias("line")).where(F.length("line") >= least)
+    line = docs.select(F.explode(_trimmed(F.split(F.col(text_col), "\n", -1))).alias("line")).where(F.length("line") >= PER_EDIT)
     texts = line.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,36 +227,58 @@ def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU, least:
 
     texts = written(texts.mapInArrow(sign, "id long, line string, mark long"), "line-texts")
     lists = written(lists.drop("shared").join(texts.select("id", F.col("mark").alias("shared")), "id").select("key", "id", "rank", "size", "shared"), "line-lists")
-    possible = f"abs(a_size - b_size) <= {tau} AND bit_count(a_shared ^ b_shared) <= {4 * tau}"
+    edits = f"least({tau}, least(a_size, b_size) div {PER_EDIT})"
+    possible = f"abs(a_size - b_size) <= {edits} AND bit_count(a_shared ^ b_shared) <= 4 * {edits}"
     labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, texts, tau))
-    return labels.select(F.col("id").alias("line_id"), F.col("component").alias("class_id"))
+    checks = texts.select("id", F.xxhash64("line", F.lit(1)).alias("check"))
+    of_class = checks.select(F.col("id").alias("component"), F.col("check").alias("class_check"))
+    return labels.join(checks, "id").join(of_class, "component").select(F.col("id").alias("line_id"), "check", F.col("component").alias("class_id"), "class_check")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, least_copy: int = LEAST) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """doc_id, line_no, line_id, class_id, first_doc_id, first_line_no of every line that goes.
 
-    Lines of ``least`` characters and more go by edit distance, those of ``least_copy`` and more as exact copies.
+    A line that a large share of the documents has isn't shuffled to one task: lines are counted with
+    partial sums on the map side, and what the hot ones need comes by broadcast.
     """
-    classes = written(line_classes(docs, text_col, tau, least), "line-classes")
-    at = occurrences(docs, id_col, text_col, min(least, least_copy)).join(classes, "line_id", "left").withColumn("class_id", F.coalesce("class_id", "line_id"))
-    at = written(at, "lines")
-    first = at.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = written(first, "first-lines")
-    again = at.join(first, "class_id").where("doc_id != first.doc_id OR line_no != first.line_no")
+    classes = written(line_classes(docs, text_col, tau), "line-classes")
+    at = written(occurrences(docs, id_col, text_col), "lines")
+    line, own = ["line_id", "check"], ["class_id", "class_check"]
+    counted = at.groupBy(*line).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    counted = counted.join(classes, line, "left").withColumns({"class_id": F.coalesce("class_id", "line_id"), "class_check": F.coalesce("class_check", "check")})
+    counted = written(counted, "counted-lines")
+    firsts = counted.groupBy(*own).agg(F.min("first").alias("first"), F.sum("n").alias("n_class")).where("n_class > 1")
+    repeated = written(counted.select(*line, *own, "n").join(firsts, own).select(*line, "class_id", "first", "n"), "first-lines")
+    hot = repeated.where(F.col("n") >= HOT * (at.count() + 1))
+    found = at.join(F.broadcast(hot), line).unionByName(at.join(F.broadcast(hot.select(*line)), line, "left_anti").join(repeated, line))
+    again = found.where("doc_id != first.doc_id OR line_no != first.line_no")
     return again.select("doc_id", "line_no", "line_id", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, least_copy: int = LEAST) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers), source_ids."""
-    gone = removed_lines(docs, id_col, text_col, tau, least, least_copy).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.sort_array(F.collect_set("first_doc_id")).alias("source_ids"))
+    gone = removed_lines(docs, id_col, text_col, tau).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.sort_array(F.collect_set("first_doc_id")).alias("source_ids"))
     n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
     every = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
     return every.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none("int")).alias("removed"), F.coalesce("source_ids", none("bigint")).alias("source_ids"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, least_copy: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """The documents, with all their columns, without the lines that go."""
-    gone = removed_lines(docs, id_col, text_col, tau, least, least_copy).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list("line_no").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.join(gone, id_col, "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
+    name = free_name(docs, "gone")
+    gone = removed_lines(docs, id_col, text_col, tau).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list("line_no").alias(name))
+
+    @F.pandas_udf("string")
+    def kept(text, found):  # noqa: ANN001, ANN202
+        def one(t: str | None, numbers: list | None) -> str | None:
+            if t is None or numbers is None:
+                return t
+            away = set(numbers)
+            return "\n".join([x for i, x in enumerate(t.split("\n")) if i not in away])
+
+        return text.combine(found, one)
+
+    changed = F.col(name).isNotNull()
+    after = F.when(changed, kept(F.when(changed, F.col(text_col)), F.col(name))).otherwise(F.col(text_col))
+    return docs.join(gone, id_col, "left").withColumn(text_col, after).drop(name)

@@ -8,7 +8,8 @@ worked off in rounds:
 - first, every list's hub (the member of lowest rank) is compared with the other members;
 - then only members of different components are compared: all such pairs in lists of up to
   ``SMALL`` members, and in longer ones those with another hub each round;
-- after ``HUBS`` rounds, all pairs of different components that are left in long lists.
+- after ``HUBS`` rounds, the pairs of different components that are left in long lists and that the
+  bounds below allow, in squares of ``SQUARE`` by ``SQUARE`` members, so that no task gets a whole list.
 
 The overlap of each member with its list's first hub bounds that of any two members: what they
 share lies in the hub, at most the smaller of both overlaps, or outside it. Pairs that the bound
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.storage import written
 
-SMALL, HUBS = 24, 2
+SMALL, HUBS, SQUARE = 24, 2, 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -89,9 +90,13 @@ def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFra
                 short = short.join(short.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
             else:
                 short = short.withColumn("keys", F.array("key"))
-            x, y = (short.select("key", *side(s, ""), F.col("keys").alias(f"{s}_keys")) for s in "ab")
-            every = x.join(y, "key").where(f"a < b AND {worth} AND array_min(array_intersect(a_keys, b_keys)) = key")
-            pairs = pairs.where(worth).unionByName(every.drop("key", "a_keys", "b_keys"))
+            # a long list is dealt in squares of SQUARE by SQUARE members, each a join key of its own
+            sides_of = F.greatest(F.lit(1), F.ceil(F.col("n") / SQUARE)).cast("int")
+            short = short.withColumns({"place": F.pmod(F.xxhash64("id"), sides_of).cast("int"), "other": F.explode(F.sequence(F.lit(0), sides_of - 1))})
+            cell = {"a": ("place", "other"), "b": ("other", "place")}
+            x, y = (short.select("key", F.col(cell[s][0]).alias("row"), F.col(cell[s][1]).alias("column"), *side(s, ""), F.col("keys").alias(f"{s}_keys")) for s in "ab")
+            every = x.join(y, ["key", "row", "column"]).where(f"a < b AND {worth} AND array_min(array_intersect(a_keys, b_keys)) = key")
+            pairs = pairs.where(worth).unionByName(every.drop("key", "row", "column", "a_keys", "b_keys"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         scored = written(verify(pairs), "scored")

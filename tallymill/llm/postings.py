@@ -3,7 +3,8 @@
 A posting is (key, owner). Hundreds of millions of them are too many for rows, so a task packs the
 postings of a batch by bucket of the key: one row per bucket with the owners, how many keys each
 has there, and the keys. The task that gets a bucket sorts its keys and sees which are shared.
-The number of buckets follows the session's shuffle partitions, which follow the data.
+The number of buckets follows the number of postings, counted or estimated from the texts' bytes, so
+that a bucket's size doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -12,23 +13,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-from tallymill.llm.storage import partitions
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "bucket int, owners binary, counts binary, keys binary, notes binary"
 NAMES = ["bucket", "owners", "counts", "keys", "notes"]
-#: Postings that a task holds before it packs them.
-BATCH = 2_000_000
+#: Postings that a task holds before it packs them, and those of a bucket.
+BATCH, PER_BUCKET = 2_000_000, 1_000_000
+
+
+def buckets(n_postings: int) -> int:
+    """So many that each holds about PER_BUCKET postings."""
+    return 1 + n_postings // PER_BUCKET
 
 
-def buckets(spark: SparkSession) -> int:
-    """Four for each shuffle partition, so that their hashes spread evenly; fewer than 65536."""
-    return min(65_000, 4 * partitions(spark))
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """All texts' bytes, for an estimate of their postings."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.uint16)
+    return ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
 
 
 def packed(bucket: np.ndarray, owners: np.ndarray, keys: np.ndarray, notes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,12 @@ def _own_folder(application_id: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own on a local master only."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share: intermediate tables are written there")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +47,9 @@ def workers_can_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def partitions(spark: SparkSession) -> int:
-    """The number of shuffle partitions that the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -81,7 +81,37 @@ def test_jaccard_of_nothing_and_of_repeated_rows(spark, make):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCUMENT)).count() == 0
     t = "a b c d e f g"
     got = jaccard_join.jaccard_components(make([t, t, t, None], [7, 7, 9, None])).collect()
-    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == [(7, 7, 3), (9, 7, 3)]
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"]) for r in got) == [(0, 0, 0), (7, 7, 3), (9, 7, 3)]
+    t, u = "a b c d e f g", "a b c d e f h"
+    got = jaccard_join.jaccard_components(make([u, t, t, t], [7, 7, 9, None])).collect()  # the smallest text of an id counts
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"]) for r in got) == [(0, 0, 3), (7, 7, 3), (9, 7, 3)]
+
+
+def test_divide_skip_against_counts(monkeypatch):
+    import random
+
+    r = random.Random(7)
+    for _ in range(2000):
+        monkeypatch.setattr(jaccard_join, "MU", r.choice([0.001, 0.05, 2.0]))
+        lists = [tuple(sorted(r.sample(range(12), r.randint(0, 12)))) for _ in range(r.randint(0, 9))]
+        lists += [r.choice(lists) for _ in range(r.randint(0, 3))] if lists else []
+        counts, least = Counter(x for own in lists for x in own), r.randint(1, 6)
+        assert jaccard_join.divide_skip(lists, least) == {x: n for x, n in counts.items() if n >= least}
+
+
+@pytest.mark.parametrize("per_bucket,block", [(300, 3), (5000, 40)])
+def test_jaccard_components_over_many_buckets_and_blocks(make, words, odd_texts, monkeypatch, per_bucket, block):
+    monkeypatch.setattr(links, "SMALL", 3)
+    monkeypatch.setattr(links, "SQUARE", 2)
+    monkeypatch.setattr(jaccard_join.postings, "PER_BUCKET", per_bucket)
+    monkeypatch.setattr(jaccard_join, "OWNERS", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = odd_texts[:5] + near_copies(words)
+    sets = [shingles(t) for t in texts]
+    want = closed(range(len(texts)), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    for n in (1, 7):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(make(texts).repartition(n)).collect()}
+        assert got == want
 
 
 def distance(a, b):
@@ -93,10 +123,11 @@ def distance(a, b):
     return row[-1]
 
 
-def test_banded_distance_and_segment_keys():
+def test_banded_distance_and_segment_keys(monkeypatch):
     import random
 
     r = random.Random(1)
+    monkeypatch.setattr(line_dedup, "PER_EDIT", 3)
     for _ in range(3000):
         a = "".join(r.choice("abc") for _ in range(r.randint(0, 13)))
         b = list(a)
@@ -107,7 +138,7 @@ def test_banded_distance_and_segment_keys():
         for tau in (1, 2, 3):
             near = distance(a, b) <= tau
             assert line_dedup.within(a, b, tau) == near
-            if near and min(len(a), len(b)) > tau:
+            if a != b and distance(a, b) <= line_dedup.allowed(min(len(a), len(b)), tau):
                 x, y = dict(line_dedup.line_keys(a, tau)), dict(line_dedup.line_keys(b, tau))
                 assert any((x[k] & line_dedup.STORED and y[k] & line_dedup.PROBED) or (y[k] & line_dedup.STORED and x[k] & line_dedup.PROBED) for k in x.keys() & y.keys())
 
@@ -123,9 +154,12 @@ def test_lines(make, words):
         "\n".join([line[3], line[4][:10] + "#####" + line[4][10:]]),
         line[4],
         line[5] * 300,
+        "\n".join(["a line of 16 cha", "another of 23 character", "twelve chars", "eleven char", "shorT"]),
+        "\n".join(["a line of 15 ch", "a line of 16 chx", "another of 24 characters", "twelve-chars", "eleven-char", "short"]),
     ]
-    found = [(i, n, s.strip(line_dedup.WHITE)) for i, t in enumerate(texts) for n, s in enumerate((t or "").split("\n")) if len(s.strip(line_dedup.WHITE)) >= line_dedup.LEAST]
-    classes = closed(range(len(found)), [(i, j) for i in range(len(found)) for j in range(i) if abs(len(found[i][2]) - len(found[j][2])) <= 2 and distance(found[i][2], found[j][2]) <= line_dedup.TAU])
+    found = [(i, n, s.strip(line_dedup.WHITE)) for i, t in enumerate(texts) for n, s in enumerate((t or "").split("\n")) if s.strip(line_dedup.WHITE)]
+    near = lambda a, b: a == b or abs(len(a) - len(b)) <= 2 and distance(a, b) <= line_dedup.allowed(min(len(a), len(b)))
+    classes = closed(range(len(found)), [(i, j) for i in range(len(found)) for j in range(i) if near(found[i][2], found[j][2])])
     want = Counter((found[i][0], found[i][1]) for i, c in classes.items() if i != c)
     report = {r["doc_id"]: r for r in line_dedup.line_report(make(texts)).collect()}
     assert {(i, n) for i, r in report.items() for n in r["removed"]} == set(want)
@@ -135,7 +169,7 @@ def test_lines(make, words):
         assert after[i] == (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if (i, n) not in want))
 
 
-def test_short_lines_go_as_exact_copies(spark, make, tmp_path):
+def test_short_lines_go_by_fewer_edits(spark, make, tmp_path):
     import corpus_pipeline
     from tallymill.llm import queries
 
@@ -143,9 +177,9 @@ def test_short_lines_go_as_exact_copies(spark, make, tmp_path):
     make(texts).select(DOCUMENT.replace(" long", "").replace(" string", "").split(", ")).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     report = {r["doc_id"]: (r["removed"], r["source_ids"]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
-    assert report == {0: ([], []), 1: ([0, 1, 4], [0]), 2: ([], []), 3: ([], []), 4: ([0, 1], [0]), 5: ([], [])}
+    assert report == {0: ([], []), 1: ([0, 1, 3, 4], [0]), 2: ([], []), 3: ([], []), 4: ([0, 1], [0]), 5: ([], [])}
     after = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()}
-    assert after == {0: texts[0], 1: "\nAll rights reserved!", 2: None, 3: "", 5: "own line"}
+    assert after == {0: texts[0], 2: None, 3: "", 5: "own line"}
 
 
 def test_lines_of_nothing(spark):
@@ -206,5 +240,9 @@ def test_repeats_do_not_depend_on_batches(make, words, monkeypatch, batch):
     spans = chunk_dedup.repeated_spans(make(texts), 1).collect()
     assert {(r["doc_id"], x) for r in spans for x in range(r["start"], r["start"] + r["n_bytes"])} == want
     cut = {r["doc_id"]: r["text"] for r in chunk_dedup.without_repeats(make(texts)).select("doc_id", "text").collect()}
+    rows = sorted((r["doc_id"], r["start"], r["n_bytes"], r["sources"]) for r in spans)
+    for n in (1, 7):
+        other_layout = chunk_dedup.repeated_spans(make(texts).repartition(n), 1).collect()
+        assert sorted((r["doc_id"], r["start"], r["n_bytes"], r["sources"]) for r in other_layout) == rows
     inner = passage[80:-80]
     assert inner in cut[0] and all(inner not in cut[i] for i in range(1, 12))
