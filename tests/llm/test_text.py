@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -44,7 +45,8 @@ def test_packing_is_a_round_trip(make, odd_texts):
             assert offset == at
             at += length
         assert at <= packing.WINDOW
-    assert pack(make(texts)).count() == len(raw)
+    digests = {(r["doc_id"], r["start"], r["length"]): r["ids_crc32"] for r in pack(make(texts)).collect()}
+    assert digests == {(r["doc_id"], r["start"], r["length"]): zlib.crc32(r["ids"]) for r in raw}
 
 
 def test_cuts_are_the_best_ones():
@@ -127,6 +129,32 @@ def test_the_models_add_random_strings_and_leave_identifiers(make):
     assert masked[30]["text"] == f"{plain} <SECRET> end" and masked[31]["text"] == texts[31] and masked[0]["salt"] == "x"
 
 
+def test_spans_of_texts_with_many_matches(make):
+    texts = ["é " + " ".join(f"token={i:06d}x {'0123456789abcdef' * 2}" for i in range(n)) for n in (1, 31, 32, 33, 64, 65, 700)]
+    got = {r["doc_id"]: r["t"] for r in secrets.scan(make(texts)).select("doc_id", secrets.span_text(F.col("spans")).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert [s for s in got[i].split(",") if s and not s.startswith("random")] == base_spans(t)
+
+
+def test_sampled_ids_are_the_first_by_hash(spark):
+    ids = spark.range(5000).select(F.col("id").alias("doc_id"))
+    want = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id")).limit(40).collect()]
+    for n_rows in (1, 5000, 10**9):
+        assert sorted(r["doc_id"] for r in secrets._sampled_ids(ids, n_rows, 40, 2).collect()) == sorted(want)
+
+
+def test_the_query_of_secrets(spark):
+    rows = {r["doc_id"]: r for r in queries.op10_secret_scan(spark, FOLDER).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        base, own = base_spans(t), [s for s in rows[i]["spans"].split(",") if s]
+        assert [s for s in own if not s.startswith("random")] == base
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (rows[i]["n_assign"], rows[i]["n_access"], rows[i]["n_hex"]) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
+        assert own == sorted(own, key=lambda s: (int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0])))
+
+
 def test_masking_keeps_nulls_and_columns(make, odd_texts):
     docs = make(odd_texts)
     got = {r["doc_id"]: r["text"] for r in secrets.masked_documents(docs).collect()}
