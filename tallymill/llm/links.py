@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.storage import written
 
-SMALL, HUBS, SQUARE = 24, 2, 512
+SMALL, HUBS, SQUARE = 24, 2, 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
