@@ -16,8 +16,9 @@ def lenient_money(text: Column) -> Column:
 
 
 def lenient_quantity(text: Column) -> Column:
-    """The first run of digits; 0 without one."""
-    return F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), "[0-9]+", 0).try_cast("int"), F.lit(0))
+    """The first run of digits, once separators are dropped; 0 without one."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), ",", "")
+    return F.coalesce(F.regexp_extract(plain, "[0-9]+", 0).try_cast("int"), F.lit(0))
 
 
 def strict_price(text: Column) -> Column:
@@ -36,3 +37,57 @@ def statement_money(text: Column) -> Column:
 def exact_money(value: Column) -> Column:
     """The value as whole cents; raises if it isn't."""
     return F.when(value.isNull() | (value == value.cast(MONEY)), value.cast(MONEY)).otherwise(F.raise_error(F.concat(F.lit("amount is no whole cent: "), value.cast("string"))))
+
+
+def fits(text: Column, precision: int, scale: int) -> Column:
+    """Is the text a number with at most ``scale`` decimals that a decimal of this precision holds?"""
+    number = text.try_cast("decimal(38,10)")
+    return F.coalesce((number == number.try_cast(f"decimal({precision},{scale})")), F.lit(False))
+
+
+def checked_money(text: Column, precision: int = 12, scale: int = 2) -> Column:
+    """The number; raises where it doesn't fit; blank is NULL."""
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    value = text.try_cast(f"decimal({precision},{scale})")
+    return F.when(blank, F.lit(None)).when(fits(text, precision, scale), value).otherwise(F.raise_error(F.concat(F.lit("number doesn't fit: "), text)))
+
+
+def money_text(text: Column) -> Column:
+    """A number without trailing zeros, 0 as "0"; what is no number, blank or missing stays as it is."""
+    number = F.trim(text).try_cast("decimal(38,6)")
+    return F.when(number.isNull(), text).when(number == 0, F.lit("0")).otherwise(F.regexp_replace(number.cast("string"), r"\.?0+$", ""))
+
+
+def present_money(text: Column) -> Column:
+    """Lenient money, but NULL where the text is one of the marks of a missing value."""
+    missing = F.lower(F.coalesce(F.trim(text), F.lit(""))).isin("", "n/a", "none", "null")
+    return F.when(~missing, lenient_money(text))
+
+
+DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")
+
+
+def any_date(text: Column, formats: tuple[str, ...] = DATES) -> Column:
+    """The date by the first format that fits; NULL if none does."""
+    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in formats))
+
+
+def strict_date(text: Column) -> Column:
+    """The date; blank and N/A are NULL, anything else that isn't one raises."""
+    missing = F.lower(F.coalesce(F.trim(text), F.lit(""))).isin("", "n/a")
+    return F.when(missing, F.lit(None)).otherwise(F.coalesce(any_date(text), F.raise_error(F.concat(F.lit("no date: "), text)).cast("date")))
+
+
+def price_and_total(quantity: Column, price: Column, total: Column) -> Column:
+    """(price, total) to the cent; the one that is missing or 0 follows from the other."""
+    p, t = F.coalesce(price, F.lit(0)).cast(MONEY), F.coalesce(total, F.lit(0)).cast(MONEY)
+    return F.struct(F.when((p == 0) & (t != 0), F.bround(t / quantity, 2)).otherwise(p).cast(MONEY).alias("price"), F.when((t == 0) & (p != 0), p * quantity).otherwise(t).cast(MONEY).alias("total"))
+
+
+def market_money(text: Column) -> Column:
+    """Dollar marks before digits become the shared prefix."""
+    return F.regexp_replace(text, r"S?\$\s*(?=[0-9])", "RM")
+
+
+def currency_text(value: Column, symbol: Column, missing: str = "N/A") -> Column:
+    return F.coalesce(F.concat(symbol, F.lit(" "), F.format_number(value, 2)), F.lit(missing))

@@ -6,7 +6,7 @@ Missing is never zero: a sum over rows of which one is missing is missing.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,12 +36,38 @@ def component_facts(components: DataFrame) -> DataFrame:
     )
 
 
+def ledger_facts(ledger: DataFrame) -> DataFrame:
+    """The columns of `component_facts` beside each order's array of components; nothing is shuffled."""
+    fee = lambda x: ~x["name"].isin(*NOT_FEES)
+    total = lambda keep: F.aggregate(F.filter("components", keep), F.lit(0).cast("decimal(18,2)"), lambda acc, x: (acc + x["amount"]).cast("decimal(18,2)"))
+    return ledger.withColumns(
+        {
+            "n_components": F.size("components").cast("long"),
+            "charges": total(lambda x: fee(x) & (x["amount"] < 0)),
+            "credits": total(lambda x: fee(x) & (x["amount"] > 0)),
+            "refund": total(lambda x: x["name"] == "Refund Amount"),
+            "sales": total(lambda x: x["name"] == "Product Price"),
+            "non_product": total(lambda x: x["name"] != "Product Price"),
+        }
+    )
+
+
 def reconcile(orders: DataFrame, components: DataFrame, statements: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
     """Each order with expected and released amounts, their difference and its state.
 
     Adjustments are shown beside, never netted into the difference.
     """
-    rows = orders.join(component_facts(components), "order_id", "left").join(statements, "order_id", "left")
+    return _states(orders.join(component_facts(components), "order_id", "left").join(statements, "order_id", "left"), adjustments)
+
+
+def reconcile_ledger(orders: DataFrame, ledger: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
+    """`reconcile` where one row per order holds its components and what was released."""
+    facts = ledger_facts(ledger).withColumn("payout", F.when(F.col("released").isNotNull(), F.col("payout")))
+    columns = ["n_components", "charges", "credits", "refund", "sales", "non_product", "released", "payout"]
+    return _states(orders.join(facts.select("order_id", *columns), "order_id", "left"), adjustments)
+
+
+def _states(rows: DataFrame, adjustments: DataFrame | None) -> DataFrame:
     if adjustments is not None:
         per_order = adjustments.groupBy("order_id").agg(F.sum("amount").cast("decimal(18,2)").alias("adjusted"), F.count("*").alias("n_adjustments"))
         rows = rows.join(per_order, "order_id", "left").withColumns({"adjusted": F.coalesce("adjusted", F.lit(0).cast("decimal(18,2)")), "n_adjustments": F.coalesce("n_adjustments", F.lit(0))})
@@ -69,7 +95,6 @@ class Filters:
     fees: tuple[str, ...] = ()
     has_refund: bool | None = None
     has_adjustment: bool | None = None
-    extra: dict[str, str] = field(default_factory=dict)
 
     def apply(self, rows: DataFrame, items: DataFrame, components: DataFrame) -> DataFrame:
         """The orders that pass; products and fees by semi-joins, so no order is repeated."""

@@ -43,19 +43,68 @@ def resolve_facts(rows: DataFrame, key: str, facts: list[str]) -> DataFrame:
     return out.select(key, "n_rows", kind.alias("evidence"), *(F.when(F.col("n_values") == 1, F.col(c)).alias(c) for c in facts))
 
 
-def bundles(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each key's rows as a sorted array and its hash: equal bundles have equal rows, however ordered."""
-    return rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list(row_hash(columns))).alias("_rows")).select(key, "n_rows", F.sha2(F.array_join("_rows", ","), 256).alias("bundle"))
+def bundles(rows: DataFrame, key: str, columns: list[str], shape: list[str] | None = None) -> DataFrame:
+    """Each key's rows as a multiset and its hash, and the hash of their shape columns alone."""
+    digest = lambda own: F.sha2(F.array_join(F.sort_array(F.collect_list(row_hash(own))), ","), 256)
+    return rows.groupBy(key).agg(F.count("*").alias("n_rows"), digest(columns).alias("bundle"), digest(shape or columns[:1]).alias("shape"))
 
 
-def classify_bundles(current: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """NEW, EXACT_DUPLICATE, CONFLICT (as many rows, other facts) or UNSAFE (another number of rows)."""
-    old = bundles(current, key, columns).select(key, F.col("n_rows").alias("_n"), F.col("bundle").alias("_bundle"))
-    rows = bundles(incoming, key, columns).join(old, key, "left")
-    kind = F.when(F.col("_n").isNull(), "NEW").when(F.col("_bundle") == F.col("bundle"), "EXACT_DUPLICATE").when(F.col("_n") == F.col("n_rows"), "CONFLICT").otherwise("UNSAFE")
+def classify_bundles(current: DataFrame, incoming: DataFrame, key: str, columns: list[str], shape: list[str] | None = None) -> DataFrame:
+    """NEW, EXACT_DUPLICATE, CONFLICT (rows of the same shape, other facts) or UNSAFE (another shape).
+
+    The shape is the multiset of the columns that identify a row (``shape``, by default the first).
+    """
+    old = bundles(current, key, columns, shape).select(key, F.col("shape").alias("_shape"), F.col("bundle").alias("_bundle"))
+    rows = bundles(incoming, key, columns, shape).join(old, key, "left")
+    kind = F.when(F.col("_bundle").isNull(), "NEW").when(F.col("_bundle") == F.col("bundle"), "EXACT_DUPLICATE").when(F.col("_shape") == F.col("shape"), "CONFLICT").otherwise("UNSAFE")
     return rows.select(key, "n_rows", kind.alias("verdict"))
 
 
+def without_absent_zeros(rows: DataFrame, headers: DataFrame, dynamic: Column, name: str = "name", amount: str = "amount", batch: str = "batch_id") -> DataFrame:
+    """Component rows but for zeros of dynamic components whose name the other side's header set provably lacks.
+
+    headers: one row per batch of the other side with its names; a batch without one proves nothing.
+    """
+    known = headers.select(batch, F.col("names").alias("_names"))
+    rows = rows.join(known, batch, "left")
+    proven = dynamic & F.col("_names").isNotNull() & ~F.array_contains("_names", F.col(name)) & (F.col(amount) == 0)
+    return rows.where(~F.coalesce(proven, F.lit(False))).drop("_names")
+
+
+def classify_events(incoming: DataFrame, committed: DataFrame, fingerprint: str, identity: list[str], order: list[str]) -> DataFrame:
+    """Events with an outcome: SKIPPED (known, or seen before in the batch), CONFLICT (its identity has another fact) or NEW."""
+    again = F.row_number().over(Window.partitionBy(fingerprint).orderBy(*order)) > 1
+    known = committed.select(fingerprint).distinct().withColumn("_known", F.lit(True))
+    same = committed.select(*identity).distinct().withColumn("_same", F.lit(True))
+    rows = incoming.withColumn("_again", again).join(known, fingerprint, "left").join(same, identity, "left")
+    kind = F.when(F.col("_again") | F.col("_known").isNotNull(), "SKIPPED").when(F.col("_same").isNotNull(), "CONFLICT").otherwise("NEW")
+    return rows.withColumn("outcome", kind).drop("_again", "_known", "_same")
+
+
+def preflight(verdicts: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: the batch's status by its worst verdict, and how many of each.
+
+    CONFLICT before INCOMPLETE_UNSAFE, ALREADY_IMPORTED when nothing is new, MIXED when some is known.
+    """
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    orders = verdicts.agg(count("NEW").alias("n_new"), count("EXACT_DUPLICATE").alias("n_duplicate"), count("CONFLICT").alias("n_conflict"), count("UNSAFE").alias("n_unsafe"))
+    seen = lambda v: F.count_if(F.col("outcome") == v)
+    both = orders.join(F.broadcast(events.agg(seen("NEW").alias("n_events_new"), seen("SKIPPED").alias("n_events_skipped"), seen("CONFLICT").alias("n_events_conflict"))))  # one row each
+    status = (
+        F.when((F.col("n_conflict") > 0) | (F.col("n_events_conflict") > 0), "CONFLICT")
+        .when(F.col("n_unsafe") > 0, "INCOMPLETE_UNSAFE")
+        .when((F.col("n_new") == 0) & (F.col("n_events_new") == 0), "ALREADY_IMPORTED")
+        .when((F.col("n_duplicate") > 0) | (F.col("n_events_skipped") > 0), "MIXED")
+        .otherwise("NEW")
+    )
+    return both.withColumn("status", status)
+
+
+def write_plan(rows: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """The rows of new keys: what a commit writes."""
+    return rows.join(verdicts.where("verdict = 'NEW'"), key, "left_semi")
+
+
 def exception_queue(issues: DataFrame, key: str) -> DataFrame:
     """One row per key: its first reason, how many more, whether any blocks, and its actions."""
     out = issues.groupBy(key).agg(F.min_by("reason", "position").alias("reason"), F.count("*").alias("n_issues"), F.bool_or("blocking").alias("blocking"), F.array_join(F.array_sort(F.collect_set("action")), ", ").alias("actions"))

@@ -1,34 +1,72 @@
 """Matching statement rows to order items within an order.
 
-Candidates (edges) come from joins on equal keys; only the small graph of one order and product is
-looked at as a whole, in a grouped function. Exactly one perfect matching resolves every row to its
-item; several resolve the rows as a group; none, or sides of different sizes, leave them unresolved.
+Candidates (edges) come from joins on equal keys. Exactly one perfect matching resolves every row
+to its item; several resolve the rows as a group; none, or sides of different sizes, leave them
+unresolved. Groups that their counts decide (different sizes, every row with one candidate) never
+leave the JVM; of the others one packed row each goes to a function that counts their matchings.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESOLVED = "order_id string, product_key string, n_rows int, n_items int, n_matchings long, outcome string"
+#: States that a count may take; a group beyond it counts as two or more, or none.
+STATES = 100_000
+
+
+def _assigned(edges: list[set[int]], without: tuple[int, int] | None = None) -> dict[int, int] | None:
+    """An item for every row by augmenting paths, or None; ``without``: a pair that must not be used."""
+    owner: dict[int, int] = {}
+
+    def place(row: int, seen: set[int]) -> bool:
+        for item in edges[row]:
+            if item in seen or (row, item) == without:
+                continue
+            seen.add(item)
+            if item not in owner or place(owner[item], seen):
+                owner[item] = row
+                return True
+        return False
+
+    return {r: i for i, r in owner.items()} if all(place(r, set()) for r in range(len(edges))) else None
 
 
 def perfect_matchings(edges: list[set[int]], n_right: int) -> int:
-    """How many ways there are to give each left node one of its right nodes, all different and all used."""
+    """How many ways there are to give each left node one of its right nodes, all different and all used.
+
+    Right nodes with the same neighbours are counted as one kind, so equal items cost no more than
+    one; rows with few choices go first. Where that still takes more than ``STATES`` states, the
+    answer is 0, 1, or 2 for two or more.
+    """
     if len(edges) != n_right:
         return 0
-    order = sorted(edges, key=len)
-    index = {r: i for i, r in enumerate(sorted(set().union(*edges)))} if edges else {}
-    choices = [[1 << index[r] for r in own] for own in order]
-
-    @cache
-    def count(at: int, used: int) -> int:
-        return 1 if at == len(choices) else sum(count(at + 1, used | bit) for bit in choices[at] if not used & bit)
-
-    return count(0, 0)
+    near: dict[int, frozenset[int]] = {}
+    for r, own in enumerate(edges):
+        for i in own:
+            near[i] = near.get(i, frozenset()) | {r}
+    if len(near) < n_right:
+        return 0
+    kinds = Counter(near.values())
+    number = {k: n for n, k in enumerate(kinds)}
+    choices = sorted((sorted({number[near[i]] for i in own}) for own in edges), key=len)
+    ways = {tuple(kinds.values()): 1}
+    for own in choices:
+        after: dict[tuple[int, ...], int] = {}
+        for left, n in ways.items():
+            for k in own:
+                if left[k]:
+                    rest = (*left[:k], left[k] - 1, *left[k + 1 :])
+                    after[rest] = after.get(rest, 0) + n * left[k]
+        ways = after
+        if len(ways) > STATES:
+            first = _assigned(edges)
+            return 0 if first is None else 2 if any(_assigned(edges, pair) for pair in first.items()) else 1
+    return sum(ways.values())
 
 
 def candidate_edges(rows: DataFrame, items: DataFrame, tolerance: str = "0.02") -> DataFrame:
@@ -41,21 +79,37 @@ def candidate_edges(rows: DataFrame, items: DataFrame, tolerance: str = "0.02")
     return rows.join(right, ["order_id", "product_key"]).where(near).select("order_id", "product_key", "row_no", "item_index")
 
 
-def resolve(rows: DataFrame, items: DataFrame, tolerance: str = "0.02") -> DataFrame:
-    """One row per order and product of the statement: ITEM, GROUP or UNRESOLVED."""
+def resolve_edges(rows: DataFrame, edges: DataFrame, n_items: DataFrame) -> DataFrame:
+    """One row per order and product: order_id, product_key, n_rows, n_items, n_matchings, outcome.
+
+    rows: order_id, product_key, row_no; edges: with item_index; n_items: order_id, product_key, n_items.
+    """
     keys = ["order_id", "product_key"]
-    sizes = rows.groupBy(keys).agg(F.count("*").alias("n_rows")).join(items.groupBy(keys).agg(F.count("*").alias("n_items")), keys, "left")
-    edges = candidate_edges(rows, items, tolerance).groupBy(*keys, "row_no").agg(F.collect_set("item_index").alias("near"))
-    every = rows.select(*keys, "row_no").join(edges, [*keys, "row_no"], "left").join(sizes.fillna(0, ["n_items"]), keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_rows, n_items = int(pdf["n_rows"].iloc[0]), int(pdf["n_items"].iloc[0])
-        near = [set() if x is None else set(x) for x in pdf["near"]]
-        n = perfect_matchings(near, n_items)
-        outcome = "ITEM" if n == 1 else "GROUP" if n > 1 else "UNRESOLVED"
-        return pd.DataFrame([(pdf["order_id"].iloc[0], pdf["product_key"].iloc[0], n_rows, n_items, n, outcome)], columns=["order_id", "product_key", "n_rows", "n_items", "n_matchings", "outcome"])
-
-    return every.groupBy(keys).applyInPandas(one, RESOLVED)
+    per_row = rows.select(*keys, "row_no").join(edges.groupBy(*keys, "row_no").agg(F.collect_set("item_index").alias("near")), [*keys, "row_no"], "left")
+    near = F.coalesce("near", F.expr("cast(array() as array<int>)"))
+    groups = per_row.groupBy(keys).agg(F.count("*").cast("int").alias("n_rows"), F.max(F.size(near)).alias("most"), F.min(F.size(near)).alias("least"), F.collect_list(near).alias("near"))
+    groups = groups.join(n_items, keys, "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("int"))
+    none = (F.col("least") == 0) | (F.col("n_rows") != F.col("n_items"))
+    all_different = F.size(F.array_distinct(F.flatten("near"))) == F.col("n_rows")
+    decided = F.when(none, 0).when(F.col("most") == 1, all_different.cast("int"))
+    groups = groups.withColumn("decided", decided.cast("long"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [d if d is not None else perfect_matchings([set(x) for x in own], n) for own, n, d in zip(batch.column("near").to_pylist(), batch.column("n_items").to_pylist(), batch.column("decided").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "n_rows", "n_items")), pa.array(found, pa.int64())], [*keys, "n_rows", "n_items", "n_matchings"])
+
+    schema = "order_id string, product_key string, n_rows int, n_items int, n_matchings long"
+    open_ = groups.where("decided IS NULL").select(*keys, "n_rows", "n_items", "near", "decided").mapInArrow(count, schema)
+    closed = groups.where("decided IS NOT NULL").select(*keys, "n_rows", "n_items", F.col("decided").alias("n_matchings"))
+    outcome = F.when(F.col("n_matchings") == 1, "ITEM").when(F.col("n_matchings") > 1, "GROUP").otherwise("UNRESOLVED")
+    return closed.unionByName(open_).withColumn("outcome", outcome)
+
+
+def resolve(rows: DataFrame, items: DataFrame, tolerance: str = "0.02") -> DataFrame:
+    """One row per order and product of the statement: ITEM, GROUP or UNRESOLVED, by amounts."""
+    n_items = items.groupBy("order_id", "product_key").agg(F.count("*").alias("n_items"))
+    return resolve_edges(rows, candidate_edges(rows, items, tolerance), n_items)
 
 
 def upsert_changes(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,12 +46,29 @@ master_c AS (
   SELECT p_partkey AS part, p_partkey::VARCHAR AS sku, p_brand AS parent, p_name AS product, p_type AS variation, floor(p_retailprice * 100 + 0.5)::BIGINT AS price_c FROM part)
 """
 
+INVOICES = """
+, invoices_c AS (
+  SELECT o.order_id, o.key, o.market, o.created, o.status,
+         CASE key % 4 WHEN 0 THEN 'Final' WHEN 1 THEN 'Estimated' WHEN 2 THEN ' final' END AS income_type,
+         CASE WHEN key % 5 <> 0 THEN s.product + s.discount + s.fee + coalesce(s.refund, 0) + CASE WHEN key % 13 = 0 THEN 5 ELSE 0 END END AS final_c,
+         CASE WHEN key % 15 <> 0 THEN s.product + s.discount + s.fee + coalesce(s.refund, 0) END AS income_c,
+         CASE key % 6 WHEN 0 THEN 'Pending' WHEN 1 THEN 'RELEASED' WHEN 2 THEN ' released ' WHEN 3 THEN 'pending' WHEN 5 THEN 'N/A' END AS payment_status,
+         CASE WHEN key % 9 < 3 THEN o.created + 10 END AS transferred_on, st.payout AS released_on,
+         CASE WHEN key % 8 = 1 THEN s.refund - 100 ELSE s.refund END AS refund_c
+  FROM orders_c o LEFT JOIN sums s USING (order_id, key) LEFT JOIN statements_c st USING (order_id)),
+income_c AS (
+  SELECT order_id, 'Order' AS view_by, payout, CASE WHEN key % 14 <> 3 THEN released_c END AS released_c, refund AS refund_c FROM statements_c JOIN sums USING (order_id, payout)
+  UNION ALL SELECT order_id, 'Order', payout, released_c + (key % 12)::INT, refund FROM statements_c JOIN sums USING (order_id, payout) WHERE key % 12 < 2
+  UNION ALL SELECT order_id, 'Other', payout, released_c, refund FROM statements_c JOIN sums USING (order_id, payout) WHERE key % 50 = 7
+  UNION ALL SELECT order_id, 'Sku', shipped, subtotal_c, NULL FROM items_c)
+"""
+
 _TREND = """
 SELECT market, {day} AS day, count(*) AS n_orders, sum(sales_c) / 100.0 AS sales, sum(charges_c) / 100.0 AS charges
 FROM rec WHERE created >= DATE '1995-03-10' GROUP BY ALL"""
 
-_SNAPSHOT = """, old AS (SELECT * FROM orders_c WHERE key % 5 <> 0),
-new AS (SELECT * REPLACE (CASE WHEN key % 11 = 0 THEN 'Returned' ELSE status END AS status) FROM orders_c WHERE key % 4 <> 1)
+_SNAPSHOT = """, old AS (SELECT * FROM orders_c WHERE created < DATE '1997-01-01'),
+new AS (SELECT * REPLACE (CASE WHEN key % 11 = 0 THEN 'Returned' ELSE status END AS status) FROM orders_c WHERE created >= DATE '1994-01-01')
 """
 
 BODIES = {
@@ -147,19 +164,22 @@ FROM i GROUP BY order_id""",
     "barcodes": r"""
 , b AS (SELECT *, lpad(sku, 13, '0') AS code, trim(regexp_replace(product || ' ' || variation || ' ' || product, '\s+', ' ', 'g')) AS l FROM master_c)
 SELECT sku, code, (10 - list_sum(list_transform(range(1, 13), lambda i: substr(code, i::INT, 1)::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 = substr(code, 13, 1)::INT AS is_ean13,
-       (length(product) % 10)::INT AS suffix, regexp_replace(regexp_replace(upper(variation), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS kind, CASE WHEN length(l) > 24 THEN rtrim(l[1:23]) || '…' ELSE l END AS label FROM b""",
+       nullif(length(product) % 10, 0)::BIGINT AS suffix, regexp_replace(regexp_replace(upper(variation), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS kind, CASE WHEN length(l) > 24 THEN rtrim(l[1:23]) || '…' ELSE l END AS label FROM b""",
     "period_labels": """
 , m AS (SELECT date_trunc('month', payout)::DATE AS month, min(payout) AS first_day, max(payout) AS last_day, count(*) AS n_orders FROM statements_c GROUP BY ALL)
 SELECT *, strftime(month, '%B %Y') AS label, CASE WHEN last_day - month > 365 THEN 'monthly' WHEN last_day - month > 90 THEN 'weekly' ELSE 'daily' END AS granularity FROM m""",
-    "transaction_closure": """
-SELECT CASE WHEN payout IS NOT NULL THEN 'Transferred' WHEN expected_c IS NOT NULL THEN 'Pending' ELSE 'Unknown' END AS payment,
-       CASE WHEN status = 'Cancelled' OR payout IS NOT NULL THEN 'CLOSED' WHEN expected_c IS NOT NULL THEN 'OPEN' ELSE 'UNKNOWN' END AS closure, count(*) AS n_orders, sum(final_c) / 100.0 AS final_amount FROM rec GROUP BY ALL""",
+    "transaction_closure": INVOICES + """
+, t AS (SELECT *, CASE WHEN released_on IS NOT NULL AND lower(trim(payment_status)) = 'released' THEN 'STATEMENT_ORIGINAL_PAYOUT'
+                       WHEN transferred_on IS NOT NULL AND lower(trim(coalesce(payment_status, ''))) <> 'pending' THEN 'INVOICE_FUND_TRANSFER'
+                       WHEN lower(trim(payment_status)) = 'pending' AND released_on IS NULL AND transferred_on IS NULL THEN 'EXPLICIT_PENDING' END AS evidence FROM invoices_c)
+SELECT payment_status, CASE evidence WHEN 'EXPLICIT_PENDING' THEN 'OPEN' WHEN 'STATEMENT_ORIGINAL_PAYOUT' THEN 'CLOSED' WHEN 'INVOICE_FUND_TRANSFER' THEN 'CLOSED' ELSE 'UNKNOWN' END AS closure,
+       evidence, count(*) AS n_orders, sum(income_c) / 100.0 AS order_income FROM t GROUP BY ALL""",
     "fact_completeness": """
-SELECT CASE WHEN o.order_id IS NULL THEN 'NO_ORDER' WHEN s.order_id IS NULL THEN 'NO_STATEMENT' ELSE 'BOTH' END AS coverage, count(*) AS n_orders
-FROM orders_c o FULL JOIN statements_c s ON o.order_id = s.order_id GROUP BY ALL""",
+SELECT CASE WHEN o.order_id IS NULL THEN 'NO_ORDER' WHEN s.order_id IS NULL THEN 'NO_FACT' ELSE 'BOTH' END AS coverage, count(*) AS n_orders
+FROM orders_c o FULL JOIN facts s ON o.order_id = s.order_id GROUP BY ALL""",
     "bundle_verdicts": """
 , c AS (SELECT order_id, key % 6 AS k, count(*) AS n FROM items_c GROUP BY ALL)
-SELECT CASE WHEN k = 0 OR (k = 1 AND n = 1) THEN 'NEW' WHEN k = 1 THEN 'UNSAFE' WHEN k = 2 THEN 'CONFLICT' ELSE 'EXACT_DUPLICATE' END AS verdict, count(*) AS n_orders, sum(n)::BIGINT AS n_rows FROM c GROUP BY ALL""",
+SELECT CASE WHEN k = 0 OR (k = 1 AND n = 1) THEN 'NEW' WHEN k IN (1, 3) THEN 'UNSAFE' WHEN k = 2 THEN 'CONFLICT' ELSE 'EXACT_DUPLICATE' END AS verdict, count(*) AS n_orders, sum(n)::BIGINT AS n_rows FROM c GROUP BY ALL""",
 }
 BODIES |= {
     "upsert_changes": _SNAPSHOT + """
@@ -178,6 +198,16 @@ FROM orders_c GROUP BY market, created""",
     "adjustment_matches": """
 SELECT kind, date_trunc('month', day)::DATE AS month, order_id IN (SELECT order_id FROM orders_c) AS has_order, count(*) AS n_events, sum(amount_c) / 100.0 AS amount, count(DISTINCT order_id) AS n_orders FROM adjustments_c GROUP BY ALL""",
 }
+BODIES["identity_matching"] = """
+, g AS (SELECT order_id, key, flag, item_index AS i, subtotal_c AS a, count(*) OVER w AS n, row_number() OVER (w ORDER BY item_index) AS r FROM items_c WINDOW w AS (PARTITION BY order_id, flag)),
+e AS (SELECT x.order_id, x.flag, x.r, y.r AS j FROM g x JOIN g y USING (order_id, flag) WHERE abs(x.a + CASE WHEN x.key % 9 = 0 AND x.i = 0 THEN 100000000 ELSE 0 END - y.a) <= 1000),
+walks AS (
+  WITH RECURSIVE walk AS (
+    SELECT order_id, flag, 1 AS r, 1 << j AS used FROM e WHERE r = 1
+    UNION ALL SELECT w.order_id, w.flag, w.r + 1, w.used | (1 << e.j) FROM walk w JOIN e ON e.order_id = w.order_id AND e.flag = w.flag AND e.r = w.r + 1 AND w.used & (1 << e.j) = 0)
+  SELECT order_id, flag, r AS n, count(*) AS c FROM walk GROUP BY ALL)
+SELECT s.order_id, s.flag AS product_key, s.n::INT AS n_rows, s.n::INT AS n_items, coalesce(c, 0) AS n_matchings, CASE WHEN c = 1 THEN 'ITEM' WHEN c > 1 THEN 'GROUP' ELSE 'UNRESOLVED' END AS outcome
+FROM (SELECT DISTINCT order_id, flag, n FROM g) s LEFT JOIN walks USING (order_id, flag, n)"""
 BODIES["incremental_facts"] = BODIES["order_facts"]
 
 SQL = {name: CANONICAL + body for name, body in BODIES.items()}

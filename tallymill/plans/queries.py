@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import casts, text
-from tallymill.operators import allocation, analysis, changes, guards, matching, products
+from tallymill.operators import allocation, analysis, changes, guards, matching, products, settlement
+from tallymill.plans import relations
 from tallymill.sources import canonical as c
 from tallymill.workers import find_library
 
@@ -32,7 +33,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _reconciled(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.reconcile(c.orders(spark, d), c.components(spark, d), c.statements(spark, d), c.adjustments(spark, d))
+    return analysis.reconcile_ledger(c.orders(spark, d), c.ledger(spark, d), c.adjustments(spark, d))
 
 
 @query
@@ -152,10 +153,13 @@ def unit_allocation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _incoming(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A current snapshot without some orders, and an incoming one with changed and without other ones."""
+    """The orders as they were known up to a day, and an export of all since an earlier one, some of them changed.
+
+    The two spans overlap, so every order is in one of them at least.
+    """
     every, key = c.orders(spark, d), F.col("order_id").cast("long")
     changed = every.withColumn("status", F.when(key % 11 == 0, F.lit("Returned")).otherwise(F.col("status")))
-    return every.where(key % 5 != 0), changed.where(key % 4 != 1)
+    return every.where(F.col("created") < F.lit(date(1997, 1, 1))), changed.where(F.col("created") >= F.lit(date(1994, 1, 1)))
 
 
 @query
@@ -274,7 +278,7 @@ def text_casts(spark: SparkSession, d: str) -> DataFrame:
 def barcodes(spark: SparkSession, d: str) -> DataFrame:
     """Products with a 13-digit code made from their key: which codes check out."""
     code = F.lpad(F.col("sku"), 13, "0")
-    return c.master(spark, d).select("sku", code.alias("code"), text.is_ean13(code).alias("is_ean13"), text.bundle_suffix(F.concat("sku", F.lit("-"), (F.length("product") % 10).cast("string"))).alias("suffix"), text.adjustment_type(F.col("variation")).alias("kind"), text.short_label(F.concat_ws(" ", "product", "variation", "product"), 24).alias("label"))
+    return c.master(spark, d).select("sku", code.alias("code"), text.is_ean13(code).alias("is_ean13"), text.bundle(F.concat("sku", F.lit("-"), (F.length("product") % 10).cast("string")), F.lit(2))["multiplier"].alias("suffix"), text.adjustment_type(F.col("variation")).alias("kind"), text.short_label(F.concat_ws(" ", "product", "variation", "product"), 24).alias("label"))
 
 
 @query
@@ -285,18 +289,16 @@ def period_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transaction_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Orders by payment status and by whether they are open, closed or unknown."""
-    rows = _reconciled(spark, d)
-    payment = F.when(F.col("payout").isNotNull(), "Transferred").when(F.col("expected").isNotNull(), "Pending").otherwise("Unknown")
-    closure = F.when((F.col("status") == "Cancelled") | F.col("payout").isNotNull(), "CLOSED").when(F.col("expected").isNotNull(), "OPEN").otherwise("UNKNOWN")
-    return rows.groupBy(payment.alias("payment"), closure.alias("closure")).agg(F.count("*").alias("n_orders"), F.sum("final_amount").alias("final_amount"))
+    """Orders by payment status and by whether the evidence says that they are open or closed."""
+    rows = settlement.closure(relations.invoices(spark, d))
+    return rows.groupBy("payment_status", "closure", "evidence").agg(F.count("*").alias("n_orders"), F.sum("order_income").alias("order_income"))
 
 
 @query
 def fact_completeness(spark: SparkSession, d: str) -> DataFrame:
-    """Orders against component facts and statements: what either side lacks."""
-    rows = c.orders(spark, d).select("order_id", F.lit(1).alias("o")).join(c.statements(spark, d).select("order_id", F.lit(1).alias("s")), "order_id", "full_outer")
-    kind = F.when(F.col("o").isNull(), "NO_ORDER").when(F.col("s").isNull(), "NO_STATEMENT").otherwise("BOTH")
+    """Orders against component facts: what either side lacks."""
+    rows = c.orders(spark, d).select("order_id", F.lit(1).alias("o")).join(c.ledger(spark, d).select("order_id", F.lit(1).alias("f")), "order_id", "full_outer")
+    kind = F.when(F.col("o").isNull(), "NO_ORDER").when(F.col("f").isNull(), "NO_FACT").otherwise("BOTH")
     return rows.groupBy(kind.alias("coverage")).agg(F.count("*").alias("n_orders"))
 
 
@@ -304,7 +306,7 @@ def fact_completeness(spark: SparkSession, d: str) -> DataFrame:
 def bundle_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Orders' item bundles against an older copy with changed and missing items."""
     new, key = c.items(spark, d), F.col("order_id").cast("long")
-    old = new.where((key % 6 != 0) & ~((key % 6 == 1) & (F.col("item_index") == 0))).withColumn("quantity", F.when(key % 6 == 2, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    old = new.where((key % 6 != 0) & ~((key % 6 == 1) & (F.col("item_index") == 0))).withColumn("item_index", F.when(key % 6 == 3, F.col("item_index") + 10).otherwise(F.col("item_index"))).withColumn("quantity", F.when(key % 6 == 2, F.col("quantity") + 1).otherwise(F.col("quantity")))
     verdicts = changes.classify_bundles(old, new, "order_id", ["item_index", "sku", "quantity", "subtotal"])
     return verdicts.groupBy("verdict").agg(F.count("*").alias("n_orders"), F.sum("n_rows").alias("n_rows"))
 
@@ -332,13 +334,14 @@ def statement_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def identity_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Items per order and return flag, told apart by their amounts to ten units of money, one row a perfect group.
+    """Statement rows per order and return flag, told apart by their amounts to ten units of money.
 
-    The statement side has the items' amounts; every item of the same flag within the tolerance is a
-    candidate for it.
+    The statement has the items' amounts, but for one row of every ninth order, which is far off.
     """
     both = c.items(spark, d).select("order_id", F.col("flag").alias("product_key"), "item_index", F.col("subtotal").alias("amount"))
-    return matching.resolve(both.withColumnRenamed("item_index", "row_no"), both, "10.00")
+    off = (F.col("order_id").cast("long") % 9 == 0) & (F.col("item_index") == 0)
+    rows = both.select("order_id", "product_key", F.col("item_index").alias("row_no"), F.when(off, F.col("amount") + 1_000_000).otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"))
+    return matching.resolve(rows, both, "10.00")
 
 
 @query

@@ -52,29 +52,37 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_id, name, amount: what a statement says of an order, at order grain."""
-    refunded = (F.col("flag") == "R") & (F.col("quantity") >= 40)
-    per_order = items(spark, sf_dir).groupBy("order_id").agg(
-        F.sum("original").alias("Product Price"),
-        (-F.sum(F.col("original") - F.col("subtotal"))).alias("Discount"),
-        (-F.sum("fee")).alias("Transaction Fee"),
-        (-F.sum(F.when(refunded, F.col("subtotal")))).alias("Refund Amount"),
-    )
-    per_order = per_order.select("order_id", *(F.col(f"`{c}`").cast(MONEY).alias(c) for c in per_order.columns[1:]))
-    return per_order.unpivot("order_id", per_order.columns[1:], "name", "amount").where("amount IS NOT NULL")
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with items: what a statement says of it, from one aggregation of the items.
 
-
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_id, released, payout: the amount paid out, by a rule on the order's key.
+    order_id, product, discount, fee, refund (NULL without one), payout, components (array of name and
+    amount), released (NULL without a statement).
 
     Every seventh order has no statement, one in seven is off by three cents and one by two.
     """
+    refunded = (F.col("flag") == "R") & (F.col("quantity") >= 40)
+    sums = items(spark, sf_dir).groupBy("order_id").agg(
+        F.sum("original").cast(MONEY).alias("product"),
+        (-F.sum(F.col("original") - F.col("subtotal"))).cast(MONEY).alias("discount"),
+        (-F.sum("fee")).cast(MONEY).alias("fee"),
+        (-F.sum(F.when(refunded, F.col("subtotal")))).cast(MONEY).alias("refund"),
+        F.max("shipped").alias("payout"),
+    )
+    named = [F.struct(F.lit(n).alias("name"), F.col(c).alias("amount")) for n, c in (("Product Price", "product"), ("Discount", "discount"), ("Transaction Fee", "fee"), ("Refund Amount", "refund"))]
     key = F.col("order_id").cast("long") % 7
     off = F.when(key == 0, F.lit("0.03")).when(key == 1, F.lit("0.02")).otherwise(F.lit("0.00")).cast(MONEY)
-    total = components(spark, sf_dir).groupBy("order_id").agg(F.sum("amount").alias("total"))
-    paid = items(spark, sf_dir).groupBy("order_id").agg(F.max("shipped").alias("payout"))
-    return total.join(paid, "order_id").where(key != 2).select("order_id", (F.col("total") + off).cast(MONEY).alias("released"), "payout")
+    total = F.col("product") + F.col("discount") + F.col("fee") + F.coalesce("refund", F.lit(0).cast(MONEY))
+    return sums.withColumns({"components": F.filter(F.array(*named), lambda x: x["amount"].isNotNull()), "released": F.when(key != 2, (total + off).cast(MONEY))})
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id, name, amount: what a statement says of an order, at order grain."""
+    return ledger(spark, sf_dir).select("order_id", F.inline("components"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id, released, payout: the amount paid out of the orders that have a statement."""
+    return ledger(spark, sf_dir).where("released IS NOT NULL").select("order_id", "released", "payout")
 
 
 def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:

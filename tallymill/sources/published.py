@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.guards import differences, require_none
+from tallymill.operators.guards import InvariantError, require_none
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -23,15 +23,21 @@ def current(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def publish(rows: DataFrame, folder: str, version: int, **violations: DataFrame) -> DataFrame:
-    """Writes a version, reads it back, and names it in the manifest if nothing is violated.
+    """Writes a new version, reads it back, and names it in the manifest if nothing is violated.
 
-    violations: frames that must be empty. The readback must hold exactly the rows written.
+    violations: frames that must be empty. The readback must hold exactly the rows written, told by one
+    digest of either side. A version that exists is never written again: it may be what ``rows`` reads.
     """
     spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{version}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileExistsError(f"version {version} exists in {folder}")
     require_none(**violations)
-    rows.write.mode("overwrite").parquet(f"{folder}/v{version}")
+    rows.write.mode("errorifexists").parquet(f"{folder}/v{version}")
     back = spark.read.parquet(f"{folder}/v{version}")
-    require_none(readback=differences(back, rows))
+    keys = [f"`{c}`" for c in rows.columns]
+    if digest(back, keys).first() != digest(rows, keys).first():
+        raise InvariantError(f"version {version} reads back other rows than were written")
     spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{folder}/manifest")
     return back
 

@@ -2,8 +2,9 @@
 
 A change names an order and the revision that changed it. Each revision recomputes only its orders
 and replaces their facts; an order without components loses its fact. ``publish`` is the body of a
-``foreachBatch``: versions are written beside each other and the newest complete one is read, so a
-batch that is run again has the same result.
+``foreachBatch``: versions are written beside each other, and a batch reads the newest complete one
+before its own, so a batch that is run again has the same result. A feed whose revisions have gaps
+isn't published.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymill.operators.analysis import component_facts
+from tallymill.operators.guards import require_none
 
 
 def pending(changes: DataFrame, revision: str = "revision") -> DataFrame:
@@ -43,21 +45,30 @@ def replayed(components: DataFrame, changes: DataFrame) -> DataFrame:
     return refreshed(start, components, feed)
 
 
-def newest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The facts of the newest complete version in a folder; none before the first."""
+def newest(spark: SparkSession, folder: str, schema: str, below: int | None = None) -> DataFrame:
+    """The facts of the newest complete version in a folder, or of the newest below a number; none before the first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
     done = sorted(n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+    done = [n for n in done if below is None or int(n[2:]) < below]
     return spark.read.schema(schema).parquet(f"{folder}/{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
 def publish(components: DataFrame, folder: str, schema: str):  # noqa: ANN201
-    """A foreachBatch function: batch n makes version n from the newest one before it."""
+    """A foreachBatch function: batch n makes version n from the newest one below it.
+
+    Where the feed has revisions, those of a batch must follow on each other without a gap.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        facts = newest(spark, folder, schema)
+        facts = newest(spark, folder, schema, number)
+        if "revision" in batch.columns:
+            ends = batch.agg(F.min("revision").alias("first"), F.max("revision").alias("last")).first()
+            if ends["first"] is not None:
+                require_none(missing_revisions=coverage_gaps(batch, ends["first"], ends["last"]))
+            batch = pending(batch)
         refreshed(facts, components, batch).write.mode("overwrite").parquet(f"{folder}/v={number:012d}")
 
     return run

@@ -1,5 +1,7 @@
 """Rules that are easy to get wrong, on hand-made rows."""
 
+import math
+
 from datetime import date
 from decimal import Decimal as D
 
@@ -75,9 +77,11 @@ def test_null_differs_from_empty_text_in_a_snapshot(spark):
 
 
 def test_bundles_ignore_the_order_of_rows(spark):
-    old = spark.createDataFrame([("1", 1), ("1", 2), ("2", 1), ("3", 1), ("3", 1)], "k string, v int")
-    new = spark.createDataFrame([("1", 2), ("1", 1), ("2", 5), ("3", 1), ("4", 1)], "k string, v int")
-    assert {r["k"]: r["verdict"] for r in changes.classify_bundles(old, new, "k", ["v"]).collect()} == {"1": "EXACT_DUPLICATE", "2": "CONFLICT", "3": "UNSAFE", "4": "NEW"}
+    schema = "k string, line int, v int"
+    old = spark.createDataFrame([("1", 1, 1), ("1", 2, 2), ("2", 1, 1), ("3", 1, 1), ("3", 2, 1), ("5", 1, 1), ("5", 2, 1)], schema)
+    new = spark.createDataFrame([("1", 2, 2), ("1", 1, 1), ("2", 1, 5), ("3", 1, 1), ("4", 1, 1), ("5", 1, 1), ("5", 3, 1)], schema)
+    verdicts = {r["k"]: r["verdict"] for r in changes.classify_bundles(old, new, "k", ["line", "v"]).collect()}
+    assert verdicts == {"1": "EXACT_DUPLICATE", "2": "CONFLICT", "3": "UNSAFE", "4": "NEW", "5": "UNSAFE"}  # 5: as many rows, but other ones
 
 
 def test_a_stronger_tier_is_final(spark):
@@ -101,7 +105,7 @@ def test_casts_of_written_amounts(spark):
     rows = spark.createDataFrame([("RM 1,234.50",), ("",), (None,), ("x 12 y",), ("(3.00)",)], "t string")
     got = [tuple(r) for r in rows.select(casts.lenient_money(F.col("t")), casts.lenient_quantity(F.col("t")), casts.strict_price(F.col("t")), casts.statement_money(F.col("t"))).collect()]
     assert [r[0] for r in got] == [D("1234.50"), D("0.00"), D("0.00"), D("12.00"), D("3.00")]
-    assert [r[1] for r in got] == [1, 0, 0, 12, 3]
+    assert [r[1] for r in got] == [1234, 0, 0, 12, 3]
     assert got[0][2] == D("1234.50") and got[3][2] is None
     assert got[0][3] == D("1234.50") and got[4][3] == D("-3.00") and got[1][3] is None
 
@@ -112,7 +116,7 @@ def test_text_keys(spark):
     assert [r["k"] for r in got] == ["fullstrasse", "4006381333931", "4006381333932", None]
     assert [r["e"] for r in got] == [False, True, False, False]
     months = spark.createDataFrame([(date(2024, 2, 1), date(2024, 2, 29)), (date(2024, 2, 1), date(2024, 2, 28))], "a date, b date")
-    assert [r[0] for r in months.select(text.period_label(F.col("a"), F.col("b"))).collect()] == ["February 2024", "2024-02-01 to 2024-02-28"]
+    assert [r[0] for r in months.select(text.period_label(F.col("a"), F.col("b"))).collect()] == ["February 2024", "2024-02-01 → 2024-02-28"]
 
 
 def test_first_seen_and_continuations(spark):
@@ -149,6 +153,9 @@ def test_perfect_matchings_are_counted():
         edges = [{j for j in range(n) if r.random() < 0.6} for _ in range(n)]
         assert matching.perfect_matchings(edges, n) == sum(all(p[i] in edges[i] for i in range(n)) for p in permutations(range(n)))
     assert matching.perfect_matchings([{0}], 2) == 0
+    assert matching.perfect_matchings([set(range(30))] * 30, 30) == math.factorial(30)  # equal items are one kind
+    many = [{(r + k) % 40 for k in (0, 1, 3, 7, 12, 20, 29)} for r in range(40)]
+    assert matching.perfect_matchings(many, 40) == 2 and matching.perfect_matchings([{0}, {0}, *many[2:]], 40) == 0
 
 
 def test_rows_are_resolved_to_items_or_groups(spark):

@@ -52,5 +52,8 @@ def test_a_version_is_published_only_when_nothing_is_violated(spark, tmp_path):
     assert [tuple(r) for r in published.current(spark, folder).collect()] == [("a", 1)]
     published.publish(two, folder, 3)
     assert published.current(spark, folder).count() == 2
+    with pytest.raises(FileExistsError):  # not even from itself: it would be gone before it is read
+        published.publish(published.current(spark, folder), folder, 3)
+    assert published.current(spark, folder).count() == 2
     assert published.digest(two, ["k"]).first().asDict() == published.digest(two.orderBy("v"), ["k"]).first().asDict()
     assert published.digest(two, ["k"]).first()["row_xor"] != published.digest(one, ["k"]).first()["row_xor"]
