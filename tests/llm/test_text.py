@@ -203,6 +203,40 @@ def test_elements_without_an_end_tag_hide_no_article(before):
         assert html_text.main_text(f"<html><head><title>T</title><meta name=a><div>{before}</div><article>{article}</article>{icon}") == want
 
 
+def test_deep_and_unbalanced_pages_take_linear_time():
+    import time
+
+    deep = lambda n: "<div>x y z" * n + "</p></section>" * n
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        html_text.main_text(deep(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_names_are_learned_from_pages_with_meaning(spark):
+    """Pages with semantic elements teach the words that their sections are named by; others have only those."""
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet consectetur elit sed".split()) for _ in range(n)) + "."
+    taught = [f"<body><nav class='leiste'><a href=/>{say(2)}</a></nav><article class='beitrag'><p>{say(30)}<p>{say(30)}</article><aside class='seitenleiste'><p>{say(20)}</aside><footer class='fuss'><p>{say(12)}</footer>" for _ in range(40)]
+    plain = f"<body><div class='seitenleiste'><p>{say(20)}</p></div><div class='beitrag'><p>The text itself, which goes on for a while.</p></div><div class='fuss'><p>{say(12)}</p></div>"
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate([*taught, plain])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got[40] == "The text itself, which goes on for a while."
+    model = html_text.train(pages)
+    assert {"seitenleiste", "fuss"} <= model.bad and "beitrag" in model.good
+    assert html_text.train(pages.where("page_id < 0")) == html_text.Model()
+
+
+def test_ties_carry_a_block_that_its_own_costs_would_drop():
+    """A short line between paragraphs of a page without any meaningful element stays with them."""
+    long = "A paragraph of the text, which is long enough to be told as such by anyone who reads it. " * 3
+    page = f"<body><div><p>{long}</p><p>And so</p><p>{long}</p></div>"
+    found = html_text.blocks(page)
+    assert html_text.log_odds(found[1]) < 0 and "And so" in html_text.main_text(page)
+
+
 def test_the_cut_is_minimal():
     r = random.Random(6)
     for _ in range(200):
@@ -232,7 +266,7 @@ def test_toxicity_on_held_out_documents(spark):
     toxic = np.array([r["score"] for r in rows if r["toxic"] == 1])
     clean = np.array([r["score"] for r in rows if r["toxic"] == 0])
     assert (toxic[:, None] > clean[None, :]).mean() > 0.9
-    assert (toxic >= toxicity.LEAST).mean() > 0.5 and (clean >= toxicity.LEAST).mean() < 0.02
+    assert (toxic >= toxicity.LEAST).mean() > 0.6 and (clean >= toxicity.LEAST).mean() < 0.02
 
 
 def test_toxicity_without_labels_and_of_odd_texts(spark, make, odd_texts):
