@@ -4,20 +4,22 @@ Two zstandard dictionaries share the content trained on ordinary text; in front
 content trained on toxic text, the other more of the ordinary. A text's windows of ``WINDOW`` words
 are compressed with both, and the difference of the two lengths says which language a window is
 closer to. A text is described by how many of its windows, and what share of them, lie beyond each
-of the thresholds ``STEPS``; a logistic model of these numbers, fitted on labelled rows that the
-dictionaries have not seen, calibrates the score.
-
-Toxic text, in a labelled document, is what stands out in it: words whose stem is ``RATIO`` times as
-frequent in toxic documents as in ordinary ones, and has at least ``CONTEXTS`` different contexts
-there, and one more for each ``DOCUMENTS`` of them. (Different contexts, so that one document's
-copies don't count.) Each such word stands in the toxic dictionary once, the frequent ones nearest
-to the shared part; the ordinary content is what zstandard's own training selects.
-
-The fit reads a bounded sample: of each label at most ``SAMPLE`` rows, by a hash of their id, with
-texts of up to ``LONGEST`` characters. Scoring reads every whole text and shuffles nothing.
-
-Cases: null and empty texts get the score of a text without windows; without labelled rows of both
-kinds every score is the share of toxic ones, or 0; labels of unknown documents and null labels are
+of the thresholds ``STEPS``; a logistic model of these numbers calibrates the score. It is fitted on
+all labelled rows, each described by dictionaries that have not seen its part (one of ``FOLDS``).
+
+Both contents are what zstandard's own training selects. Ordinary text is sampled by its windows; of
+a toxic document the samples are the words that stand out in it, each time they occur: those whose
+stem is ``RATIO`` times as frequent in toxic documents as in ordinary ones, and has at least
+``CONTEXTS`` different contexts there, and one more for each ``DOCUMENTS`` of them. (Different
+contexts, so that one document's copies don't count.) Without the choice of words the training
+fills the toxic dictionary with the ordinary text that toxic documents mostly consist of.
+
+The fit reads a bounded sample: of each label at most ``SAMPLE`` rows with texts of up to ``LONGEST``
+characters, by a hash of their id. Toxic rows weigh ``TOXIC_WEIGHT`` times as much in the calibration.
+Scoring reads every whole text and shuffles nothing.
+
+Cases: null and empty texts get the score of a text without windows; with fewer labelled rows of
+either kind than folds every score is the share of toxic ones, or 0; labels of unknown documents and null labels are
 ignored; a document labelled twice is toxic if one label says so; an empty table gives an empty
 result; columns other than id and text are ignored, label columns among them.
 """
@@ -25,7 +27,7 @@ result; columns other than id and text are ignored, label columns among them.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -36,12 +38,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 6
+WINDOW = 3
 SAMPLE, LONGEST = {1: 2400, 0: 5000}, 20_000
-#: Of the sample, the share of rows for the dictionaries; the others calibrate.
-FOR_DICTIONARIES = 0.6
+FOLDS = 3
 STEM, CONTEXTS, DOCUMENTS, RATIO, RIDGE = 5, 4, 200, 10.0, 5.0
 COMMON, OWN, SAMPLES = 20_000, 4_000, 60_000
+TOXIC_WEIGHT = 2.0
 STEPS = (-3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8, 10)
 LEAST = 0.7
 #: Before each window: long enough a match that the frame is never stored uncompressed.
@@ -62,10 +64,10 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=how, dict_data=dictionary)
 
 
-def _content(samples: list[bytes], size: int) -> bytes:
-    """The best ``size`` bytes of a trained dictionary; too few samples are taken as they are."""
+def _content(samples: list[bytes], size: int, segment: int = 32) -> bytes:
+    """The best ``size`` bytes of a dictionary trained in segments; too few samples are taken as they are."""
     try:
-        return zstandard.train_dictionary(size + 1500, samples, k=32, d=6, level=3).as_bytes()[-size:]
+        return zstandard.train_dictionary(size + 1500, samples, k=segment, d=6, level=3).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -102,44 +104,52 @@ class Model:
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights by Newton's method, the constant first; all others are held small by a ridge."""
+    weight = np.where(y == 1, TOXIC_WEIGHT, 1.0)
     ridge = 1e-3 + RIDGE / len(y)
     x = np.column_stack([np.ones(len(x)), x])
     penalty = ridge * np.append(0.0, np.ones(x.shape[1] - 1))
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(hessian, x.T @ (p - y) / len(y) + penalty * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) / len(y) + penalty * w)
         w -= step
         if abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model | float:
-    """A model of the sample, or the share of toxic texts where there is nothing to tell apart."""
-    y = np.array(labels, float)
-    cut = {k: int(FOR_DICTIONARIES * (y == k).sum()) for k in (0, 1)}
-    if not all(cut.values()):
-        return float(y.mean()) if len(y) else 0.0
-    rank = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
-    first = rank <= np.where(y == 1, cut[1], cut[0])
-    toxic = [t for t, k, f in zip(texts, labels, first, strict=True) if f and k == 1]
-    ordinary = [t for t, k, f in zip(texts, labels, first, strict=True) if f and k == 0]
+def dictionaries(texts: list[str], y: np.ndarray) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic content, trained on labelled texts of both kinds."""
+    toxic, ordinary = ([t for t, k in zip(texts, y, strict=True) if k == label] for label in (1, 0))
     seen, usual = _contexts(toxic), _contexts(ordinary)
     here, there = sum(seen.values()) or 1, sum(usual.values()) or 1
     least = CONTEXTS + len(toxic) // DOCUMENTS
     marks = {s for s, n in seen.items() if n >= least and n / here > RATIO * (usual.get(s, 0) + 1) / there}
-    words = [w for t in toxic for w in WORD.findall(t.lower()) if w[:STEM] in marks] or [w for t in toxic for w in WORD.findall(t.lower())]
-    own = "".join(f" {w} " for w, _ in reversed(Counter(words).most_common())).encode()[-OWN:]
+    words = [w for t in toxic for w in WORD.findall(t.lower())]
+    standing_out = sorted(f" {w} ".encode() for w in ([w for w in words if w[:STEM] in marks] or words))
+    own = _content([standing_out[i] for i in np.random.default_rng(1).permutation(len(standing_out))], OWN, 16)
     plain = sorted({w[len(LEAD) :] for t in ordinary for w in windows(t)})
     plain = [plain[i] for i in np.random.default_rng(0).permutation(len(plain))]
     half = min(SAMPLES, -(-3 * len(plain) // 4))
     common = _content(plain[:half], COMMON) + LEAD
-    dictionaries = [_content(plain[half : half + SAMPLES] or plain, OWN)[-len(own) :] + common, own + common]
-    x = np.array([features(t, *dictionaries) for t, f in zip(texts, first, strict=True) if not f])
+    more = _content(plain[half : half + SAMPLES] or plain, OWN)
+    return more[len(more) - min(len(more), len(own)) :] + common, own + common
+
+
+def fit(texts: list[str], labels: list[int]) -> Model | float:
+    """A model of the sample, or the share of toxic texts where there is nothing to tell apart."""
+    y = np.array(labels, float)
+    if min((y == 0).sum(), (y == 1).sum()) < FOLDS:
+        return float(y.mean()) if len(y) else 0.0
+    fold = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % FOLDS
+    x = np.empty((len(y), 2 * len(STEPS)))
+    for f in range(FOLDS):
+        others = dictionaries([t for t, g in zip(texts, fold, strict=True) if g != f], y[fold != f])
+        for i in np.flatnonzero(fold == f).tolist():
+            x[i] = features(texts[i], *others)
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(*dictionaries, middle, scale, _logistic((x - middle) / scale, y[~first]))
+    return Model(*dictionaries(texts, y), middle, scale, _logistic((x - middle) / scale, y))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -153,9 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    short = known.join(texts.where(F.length("text") <= LONGEST).select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = None
     for label, most in SAMPLE.items():
-        own = known.where(F.col("y") == label).orderBy(*order).limit(most)
+        own = short.where(F.col("y") == label).orderBy(*order).limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
     rows = texts.where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     sample = sorted(rows.collect(), key=lambda r: r["doc_id"])  # at most the SAMPLE rows, of LONGEST characters
