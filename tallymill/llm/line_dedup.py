@@ -25,6 +25,7 @@ an empty table gives an empty result; other columns pass through ``drop_repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +66,10 @@ def allowed(length: int, tau: int = TAU) -> int:
     return min(tau, length // PER_EDIT)
 
 
-def line_keys(line: str, tau: int = TAU) -> list[tuple[int, int]]:
-    """(hash of a key, STORED | PROBED) of a line."""
-    n, out = len(line), {}
+@lru_cache(8192)
+def probes(n: int, tau: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, seed, STORED | PROBED) of the substrings that are keys of a line of n characters."""
+    out = []
     for less in range(min(tau, n) + 1):
         t = allowed(n - less, tau)
         if not t or less > t:
@@ -76,8 +78,16 @@ def line_keys(line: str, tau: int = TAU) -> list[tuple[int, int]]:
             low = max(0, at - i, at + less - (t - i))
             high = min(n - size, at + i, at + less + (t - i))
             for p in range(low, high + 1):
-                key = xxhash.xxh3_64_intdigest(line[p : p + size], (n - less) * (tau + 1) + i)
-                out[key] = out.get(key, 0) | PROBED | (STORED if less == 0 and p == at else 0)
+                out.append((p, p + size, (n - less) * (tau + 1) + i, PROBED | (STORED if less == 0 and p == at else 0)))
+    return out
+
+
+def line_keys(line: str, tau: int = TAU) -> list[tuple[int, int]]:
+    """(hash of a key, STORED | PROBED) of a line."""
+    out: dict[int, int] = {}
+    for a, b, seed, kind in probes(len(line), tau):
+        key = xxhash.xxh3_64_intdigest(line[a:b], seed)
+        out[key] = out.get(key, 0) | kind
     return list(out.items())
 
 

@@ -128,6 +128,7 @@ def test_banded_distance_and_segment_keys(monkeypatch):
 
     r = random.Random(1)
     monkeypatch.setattr(line_dedup, "PER_EDIT", 3)
+    line_dedup.probes.cache_clear()
     for _ in range(3000):
         a = "".join(r.choice("abc") for _ in range(r.randint(0, 13)))
         b = list(a)
@@ -144,6 +145,7 @@ def test_banded_distance_and_segment_keys(monkeypatch):
 
 
 def test_lines(make, words):
+    line_dedup.probes.cache_clear()
     line = [" ".join(words(s, 12)) for s in range(6)]
     texts = [
         None,
