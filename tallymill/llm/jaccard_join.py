@@ -50,7 +50,7 @@ PER_POSTING, OWNERS = 6, 50_000
 #: Documents that a query is searched in at once, and DivideSkip's factor for the number of long lists.
 BLOCK, MU = 512, 0.05
 #: Words whose hash a worker keeps.
-CACHED = 200_000
+CACHED = 100_000
 
 
 class _WordHashes(dict):

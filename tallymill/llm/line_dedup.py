@@ -279,16 +279,21 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name = free_name(docs, "gone")
     gone = removed_lines(docs, id_col, text_col, tau).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list("line_no").alias(name))
 
-    @F.pandas_udf("string")
-    def kept(text, found):  # noqa: ANN001, ANN202
-        def one(t: str | None, numbers: list | None) -> str | None:
-            if t is None or numbers is None:
-                return t
-            away = set(numbers)
-            return "\n".join([x for i, x in enumerate(t.split("\n")) if i not in away])
-
-        return text.combine(found, one)
-
-    changed = F.col(name).isNotNull()
-    after = F.when(changed, kept(F.when(changed, F.col(text_col)), F.col(name))).otherwise(F.col(text_col))
-    return docs.join(gone, id_col, "left").withColumn(text_col, after).drop(name)
+    schema, at = docs.schema, docs.columns.index(text_col)
+
+    def kept(text: str | None, numbers: list[int] | None) -> str | None:
+        if text is None or numbers is None:
+            return text
+        away = set(numbers)
+        return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in away])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                columns = part.columns[:-1]
+                after = [kept(*x) for x in zip(columns[at].to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                columns[at] = pa.array(after, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    return docs.join(gone, id_col, "left").select(*docs.columns, name).mapInArrow(run, schema)

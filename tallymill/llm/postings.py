@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 PACKED = "bucket int, owners binary, counts binary, keys binary, notes binary"
 NAMES = ["bucket", "owners", "counts", "keys", "notes"]
 #: Postings that a task holds before it packs them, and those of a bucket.
-BATCH, PER_BUCKET = 1_000_000, 500_000
+BATCH, PER_BUCKET = 500_000, 500_000
 
 
 def buckets(n_postings: int) -> int:

@@ -14,6 +14,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings of the Python workers' allocators.
+GIVEN_BACK = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+
+
 @cache
 def _own_folder(application_id: str) -> str:
     return Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
@@ -39,10 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def workers_can_import(spark: SparkSession) -> None:
     """Adds the library's parent folder to the Python workers' path.
 
-    On a cluster the package is installed or shipped with --py-files, and this changes nothing.
+    On a cluster the package is installed or shipped with --py-files, and the path changes nothing. Workers
+    are used again for later stages, so they are also told to give freed memory back.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for name, value in GIVEN_BACK.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
