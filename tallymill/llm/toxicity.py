@@ -27,7 +27,7 @@ result; columns other than id and text are ignored, label columns among them.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -81,12 +81,17 @@ def features(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
 
 
 def _contexts(texts: list[str]) -> dict[str, int]:
-    seen: dict[str, set[int]] = defaultdict(set)
+    """How many different contexts (a word with its neighbours) each stem has; kept as numbers, 16 bytes a word."""
+    number: dict[str, int] = {}
+    stems, contexts = array("q"), array("q")
     for text in texts:
         words = WORD.findall(text.lower())
         for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            seen[word[:STEM]].add(hash((before, word, after)))
-    return {stem: len(s) for stem, s in seen.items()}
+            stems.append(number.setdefault(word[:STEM], len(number)))
+            contexts.append(hash((before, word, after)))
+    _, first = np.unique(np.frombuffer(contexts, np.int64), return_index=True)
+    counts = np.bincount(np.frombuffer(stems, np.int64)[first], minlength=len(number))
+    return dict(zip(number, counts.tolist(), strict=True))
 
 
 @dataclass(frozen=True)
