@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions import text
+
 MISSING = "\0"
 
 
@@ -55,6 +57,27 @@ def lookup(rows: DataFrame, master: DataFrame, tiers: list[tuple[str, list[str]]
     return every.withColumn("outcome", outcome).withColumn("master_price", price)
 
 
+def exact_name_lookup(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows (sku, name, variation and others) with ``outcome`` and ``source_row`` of the record that they mean.
+
+    A record (source_row, sku, name, variation) is meant by equal keys of name and variation, blank ones
+    being equal too; where several have them, the SKU may leave one, else it is a CONFLICT. A blank name
+    finds nothing. Records are counted per key before the joins, so rows never fan out.
+    """
+    keyed = lambda of: of.withColumns({"_name": _name_key("name"), "_variation": _name_key("variation"), "_sku": text.sku_text(F.col("sku"))})
+    known = keyed(records).where("_name <> ''")
+    named = known.groupBy("_name", "_variation").agg(F.count("*").alias("_n"), F.min("source_row").alias("_row"))
+    narrowed = known.where("_sku <> ''").groupBy("_name", "_variation", "_sku").agg(F.count("*").alias("_n_sku"), F.min("source_row").alias("_row_sku"))
+    found = keyed(rows).join(named, ["_name", "_variation"], "left").join(narrowed, ["_name", "_variation", "_sku"], "left")
+    outcome = F.when(F.col("_n").isNull(), "NOT_FOUND").when(F.col("_n") == 1, "MATCHED_BY_NAME_VARIATION").when(F.col("_n_sku") == 1, "MATCHED_BY_SKU_NAME_VARIATION").otherwise("CONFLICT")
+    row = F.when(F.col("_n") == 1, F.col("_row")).when(F.col("_n_sku") == 1, F.col("_row_sku"))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), outcome.alias("outcome"), row.alias("source_row"))
+
+
+def _name_key(column: str) -> Column:
+    return F.regexp_replace(text.plain_or(F.coalesce(column, F.lit("")), text.match_key), r"\s+", "")
+
+
 def continued_rows(rows: DataFrame, order: list[str], document: str, is_continuation: Column, text: str) -> DataFrame:
     """Rows with the text of the continuation rows that follow them appended."""
     begins = F.sum(F.when(is_continuation, 0).otherwise(1)).over(Window.partitionBy(document).orderBy(*order))

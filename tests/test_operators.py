@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymill.functions import casts, text
-from tallymill.operators import allocation, analysis, changes, guards, matching, products
+from tallymill.operators import allocation, analysis, changes, guards, invoice_checks, matching, products
 
 ORDER = "market string, order_id string, status string, created date, final_amount decimal(18,2)"
 COMPONENT = "order_id string, name string, amount decimal(18,2)"
@@ -171,3 +171,47 @@ def test_a_second_upsert_changes_nothing(spark):
     new = spark.createDataFrame([("1", None), ("2", "y"), ("3", None)], "k string, v string")
     assert {(r["k"], r["action"]) for r in matching.upsert_changes(old, new, ["k"]).collect()} == {("2", "UPDATE"), ("3", "INSERT")}
     assert matching.upsert_changes(changes.merge(old, new, ["k"]), new, ["k"]).count() == 0
+
+
+def test_invoice_checks_name_the_first_problem(spark):
+    item = "order_id string, item_index int, quantity int, price decimal(18,2), total decimal(18,2), label string, promotion string, group_total decimal(18,2)"
+    items = spark.createDataFrame(
+        [
+            ("fine", 0, 2, D(5), D("10.02"), None, None, None),
+            ("item", 0, 2, D(5), D("10.03"), None, None, None),
+            ("label", 0, 2, D(5), D("9.00"), "ANY 2 at RM 9.00", "", None),
+            ("group", 0, 1, D(5), None, None, "p", D(8)),
+            ("group", 1, 1, D(5), None, None, "p", D(8)),
+            ("group", 2, 1, D(3), D(3), None, None, D(3)),
+            ("nulls", 0, None, None, None, None, None, None),
+            ("base", 0, 1, D(4), D(4), None, None, None),
+        ],
+        item,
+    )
+    rows = [("fine", D(10), None, None), ("item", D(10), None, None), ("label", D(9), D(9), None), ("group", D(11), D(11), None), ("nulls", D(1), D(1), None), ("base", D(3), D(4), D("-0.50")), ("none", D(1), None, None)]
+    invoices = spark.createDataFrame(rows, "order_id string, merchandise decimal(18,2), product_price decimal(18,2), refund decimal(18,2)")
+    found = {r["order_id"]: r["problem"] for r in invoice_checks.product_amounts(invoices, items).collect()}
+    assert found == {"fine": None, "item": "ITEM_TOTAL", "label": None, "group": None, "nulls": None, "base": "MERCHANDISE", "none": None}
+
+    gone = spark.createDataFrame([("base", D(4), D(-4), D(0), D(0), None), ("fine", D("10.02"), None, None, None, None), ("none", None, D(-1), None, D(0), D(0))], "order_id string, product_price decimal(18,2), cancelled decimal(18,2), merchandise decimal(18,2), order_income decimal(18,2), final_amount decimal(18,2)")
+    found = {r["order_id"]: r["problem"] for r in invoice_checks.cancelled_amounts(gone, items).collect()}
+    assert found == {"base": "FINAL_AMOUNT_MISSING", "fine": "CANCELLED_MISSING", "none": "MERCHANDISE_MISSING"}
+    assert invoice_checks.product_amounts(invoices.limit(0), items.limit(0)).count() == 0
+
+
+def test_exact_name_lookup_narrows_by_sku_only(spark):
+    records = spark.createDataFrame([(1, "a", "Tea Pot", "Red"), (2, "b", "teapot", "red "), (3, "b", "Cup", None), (4, "c", "Jar", ""), (5, "c", "Jar", " "), (6, "x", " ", "")], "source_row int, sku string, name string, variation string")
+    rows = spark.createDataFrame([("a", "TEA POT", "RED"), ("z", "Tea pot", "red"), (None, "cup", ""), ("c", "Jar", None), ("x", "", ""), ("b", "Cup", "blue"), (None, None, None)], "sku string, name string, variation string")
+    found = [(r["name"], r["variation"], r["outcome"], r["source_row"]) for r in products.exact_name_lookup(rows, records).collect()]
+    assert sorted(found, key=str) == sorted(
+        [
+            ("TEA POT", "RED", "MATCHED_BY_SKU_NAME_VARIATION", 1),
+            ("Tea pot", "red", "CONFLICT", None),
+            ("cup", "", "MATCHED_BY_NAME_VARIATION", 3),
+            ("Jar", None, "CONFLICT", None),
+            ("", "", "NOT_FOUND", None),
+            ("Cup", "blue", "NOT_FOUND", None),
+            (None, None, "NOT_FOUND", None),
+        ],
+        key=str,
+    )
