@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe_automaton, chunk_dedup, exact_dedup, html_text, jaccard_join, line_dedup, packing, secrets, toxicity, vector_topk
+from tallymill.llm import best_fit, bpe_automaton, chunk_dedup, collocations, exact_dedup, html_text, jaccard_join, line_dedup, merkle, packing, secrets, toxicity, vector_topk
 from tallymill.llm.storage import workers_can_import
 
 
@@ -83,6 +83,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.proofs(merkle.build(merkle.document_leaves(_table(spark, sf_dir, "documents"), changed)))
+    text = lambda digest: F.lower(F.hex(digest))
+    folded = merkle.folded(text(F.coalesce("altered", "digest")), F.col("path"))
+    found = found.select(
+        F.col("id").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"), merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = best_fit.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
@@ -118,9 +140,35 @@ FROM keyed WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, range(1, 6) s(size) WHERE len(w) >= size),
+counts AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM grams GROUP BY lang, phrase),
+totals AS (SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE size >= 2 AND f >= 100),
+parts AS (
+  SELECT lang, phrase, f, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lead, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM candidates, range(1, 5) c(k) WHERE k < size),
+cuts AS (
+  SELECT p.lang, p.phrase, p.f AS a, p.k, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * p.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.lead JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest JOIN totals t ON t.lang = p.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT c.lang, array_to_string(string_split(c.phrase, ' ')[i:i + n - 1], ' ') AS phrase, max(c.f) AS f
+  FROM candidates c, range(1, 5) a(i), range(2, 5) b(n) WHERE n < size AND i + n - 1 <= size GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase)::BIGINT AS rank, b.phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best b LEFT JOIN inner_phrases i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 100 * a QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_topk, op4_html_extraction, op5_toxicity, op6_line_dedup, op7_jaccard_join, op8_exact_dedup, op9_bpe_round_trip, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_exact_topk, op4_html_extraction, op5_toxicity, op6_line_dedup, op7_jaccard_join, op8_exact_dedup, op9_bpe_round_trip, op10_secret_scan, op11_merkle_manifest, op12_best_fit, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op13_collocations": OP13_SQL}
