@@ -19,21 +19,30 @@ from pyspark.sql import functions as F
 STATES = 100_000
 
 
-def _assigned(edges: list[set[int]], without: tuple[int, int] | None = None) -> dict[int, int] | None:
+def assignment(edges: list[set[int]], without: tuple[int, int] | None = None) -> dict[int, int] | None:
     """An item for every row by augmenting paths, or None; ``without``: a pair that must not be used."""
     owner: dict[int, int] = {}
-
-    def place(row: int, seen: set[int]) -> bool:
-        for item in edges[row]:
-            if item in seen or (row, item) == without:
-                continue
-            seen.add(item)
-            if item not in owner or place(owner[item], seen):
-                owner[item] = row
-                return True
-        return False
-
-    return {r: i for i, r in owner.items()} if all(place(r, set()) for r in range(len(edges))) else None
+    for start in range(len(edges)):
+        came_from: dict[int, int] = {}  # the row from which an item was reached
+        rows, found = [start], None
+        while rows and found is None:
+            row = rows.pop()
+            for item in edges[row]:
+                if item in came_from or (row, item) == without:
+                    continue
+                came_from[item] = row
+                if item not in owner:
+                    found = item
+                    break
+                rows.append(owner[item])
+        if found is None:
+            return None
+        while found is not None:
+            row = came_from[found]
+            before = next((i for i, r in owner.items() if r == row), None)
+            owner[found] = row
+            found = before
+    return {r: i for i, r in owner.items()}
 
 
 def perfect_matchings(edges: list[set[int]], n_right: int) -> int:
@@ -64,8 +73,8 @@ def perfect_matchings(edges: list[set[int]], n_right: int) -> int:
                     after[rest] = after.get(rest, 0) + n * left[k]
         ways = after
         if len(ways) > STATES:
-            first = _assigned(edges)
-            return 0 if first is None else 2 if any(_assigned(edges, pair) for pair in first.items()) else 1
+            first = assignment(edges)
+            return 0 if first is None else 2 if any(assignment(edges, pair) for pair in first.items()) else 1
     return sum(ways.values())
 
 

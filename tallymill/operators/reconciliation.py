@@ -1,9 +1,14 @@
 """Order reconciliation: which statement row is which order item, and whether their money agrees.
 
 Each row's family of products gives the candidates among its order's items; names must not
-contradict. What one candidate, one name or one amount decides is a preferred pair; the rest is
-matched as a graph per order and product. Merchandise is then compared over the connected
-components that these identities and the promotions make.
+contradict. A product whose items are one thing sold in a promotion is proven as a group first. What
+one candidate, one name or one amount decides is a preferred pair. The rest is matched as a graph,
+product by product in their order: what an earlier product takes, a later one can't have. Merchandise
+is then compared over the connected components that these identities and the promotions make.
+
+rows: order_id, row_no, product_id, name, price; items: order_id, item_index, sku, name, variation, nav,
+quantity, unit_price, subtotal, promotion, label, group_total; families: product_id, sku, parent_sku, name,
+variation, nav, price.
 """
 
 from __future__ import annotations
@@ -11,76 +16,174 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.functions.text import statement_name
+from tallymill.functions.text import sku_text, statement_name
 from tallymill.operators import matching
+from tallymill.sources.stored import stored
 
 MONEY = "decimal(18,2)"
 TOLERANCE = "0.02"
+#: How an item may be in a family, the strongest first.
+METHODS = ("PRODUCT_MASTER_SKU", "PRODUCT_MASTER_PARENT_SKU", "PRODUCT_MASTER_NAME_VARIATION")
+
+
+def _nav(value: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(value, F.lit(""))))
 
 
-def family_edges(rows: DataFrame, items: DataFrame, families: DataFrame) -> DataFrame:
-    """Candidate pairs by product family: SKU first, names only where no SKU of the order is in the family.
+def family_items(rows: DataFrame, items: DataFrame, families: DataFrame) -> DataFrame:
+    """The items of each order that are in the family of a product on its statement rows.
 
-    method: PRODUCT_MASTER_SKU or PRODUCT_MASTER_NAME; consistency: EXACT, SAFE (equal keys, or the
-    family's name is the statement's) or CONFLICT. Each side's names become keys once, before the joins.
+    By the family's SKUs; by its parent SKUs only if no item of the order has one of those; by name and
+    variation only if there is no such item either. order_id, product_id, item_index, method, family_names (keys of the
+    listings that the item is linked to), agrees (those have the item's NAV, variation and price), n_products (how
+    many of the order's products have a family that the item alone would be in).
     """
-    rows, items = (side.withColumn("key", statement_name(F.col("name"))) for side in (rows, items))
-    families = families.select("product_id", "sku", statement_name(F.col("name")).alias("family_key")).distinct()
-    ours = items.select("order_id", "item_index", "sku", F.col("name").alias("item_name"), F.col("key").alias("item_key"), "subtotal", F.col("promotion").isNotNull().alias("promoted"))
-    by_sku = ours.join(families, "sku").withColumn("method", F.lit("PRODUCT_MASTER_SKU"))
-    tier = by_sku.select("order_id", "product_id").distinct()
-    asked = rows.select("order_id", "product_id").distinct().join(tier, ["order_id", "product_id"], "left_anti")
-    named = families.select("product_id", "family_key").distinct()
-    by_name = asked.join(named, "product_id").join(ours.withColumn("family_key", F.col("item_key")), ["order_id", "family_key"]).withColumn("method", F.lit("PRODUCT_MASTER_NAME"))
-    candidates = by_sku.unionByName(by_name)
-    pairs = rows.select("order_id", "product_id", "row_no", "name", "key", "price").join(candidates, ["order_id", "product_id"])
-    same = F.col("name") == F.col("item_name")
-    by_key = (F.col("key") != "") & (F.col("key") == F.col("item_key"))
-    safe = by_key | ((F.col("key") != "") & (F.col("key") == F.col("family_key")))
-    consistency = F.when(same, "EXACT").when(F.coalesce(safe, F.lit(False)), "SAFE").otherwise("CONFLICT")
-    return pairs.select("order_id", "product_id", "row_no", "item_index", "method", "price", "subtotal", "promoted", consistency.alias("consistency"), F.coalesce(same | by_key, F.lit(False)).alias("by_name"))
+    keys = lambda df: df.select(*(c for c in df.columns if c not in ("sku", "name", "variation", "nav")), sku_text(F.col("sku")).alias("sku"), statement_name(F.col("name")).alias("name_key"), statement_name(F.col("variation")).alias("variation_key"), _nav(F.col("nav")).alias("nav"))
+    ours = keys(items.select("order_id", "item_index", "sku", "name", "variation", "nav", "unit_price"))
+    listed = keys(families).select("product_id", F.col("sku").alias("own_sku"), sku_text(F.col("parent_sku")).alias("parent_sku"), F.col("name_key").alias("family_name"), F.col("variation_key").alias("family_variation"), F.col("nav").alias("family_nav"), "price").distinct()
+    has_sku = F.col("sku") != ""
+    ties = (has_sku & (F.col("sku") == F.col("own_sku")), has_sku & (F.col("sku") == F.col("parent_sku")), (F.col("name_key") == F.col("family_name")) & (F.col("variation_key") == F.col("family_variation")))
+    every = None
+    for tier, tie in enumerate(ties):
+        found = ours.join(listed, tie).withColumn("tier", F.lit(tier))
+        every = found if every is None else every.unionByName(found)
+    agrees = F.coalesce((F.col("family_nav") == F.col("nav")) & (F.col("family_variation") == F.col("variation_key")) & (F.col("price") == F.col("unit_price")), F.lit(False))
+    linked = every.join(rows.select("order_id", "product_id").distinct(), ["order_id", "product_id"]).groupBy("order_id", "product_id", "item_index", "tier").agg(F.collect_set("family_name").alias("family_names"), F.bool_and(agrees).alias("agrees"))
+    first = F.min("tier").over(Window.partitionBy("order_id", "product_id"))
+    claims = F.size(F.collect_set("product_id").over(Window.partitionBy("order_id", "item_index")))
+    method = F.element_at(F.array(*map(F.lit, METHODS)), F.col("tier") + 1)
+    return linked.withColumns({"first": first, "n_products": claims}).where("tier = first").select("order_id", "product_id", "item_index", method.alias("method"), "family_names", "agrees", "n_products")
+
 
+def edges(rows: DataFrame, items: DataFrame, family: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
+    """Compatible pairs, with `preferred` where one decides its row: the only one, the only one by name, or the only
+    one whose amount is near unless a promotion is among those; and pairs whose names conflict, with `compatible` false.
 
-def _marked(edges: DataFrame, tolerance: str) -> DataFrame:
-    """Edges with `compatible`, `chosen` (it decides its row), `row_chosen` and `consumed` (its item is chosen by a row)."""
-    row, item = Window.partitionBy("order_id", "row_no"), Window.partitionBy("order_id", "item_index")
-    rows = edges.withColumn("compatible", F.col("consistency") != "CONFLICT")
-    named = F.col("compatible") & F.col("by_name")
-    rows = rows.withColumns({"n": F.count_if(F.col("compatible")).over(row), "n_named": F.count_if(named).over(row)})
+    consistency: EXACT, SAFE (equal keys, or the family's name is the statement's) or CONFLICT.
+    """
+    keyed = lambda df: df.withColumn("key", statement_name(F.col("name")))
+    promoted = sum((F.coalesce(F.col(c).cast("string") != "", F.lit(False)).cast("int") for c in ("promotion", "label", "group_total")), F.lit(0)) > 0
+    ours = keyed(items).select("order_id", "item_index", F.trim("name").alias("item_name"), F.col("key").alias("item_key"), "subtotal", promoted.alias("promoted"))
+    pairs = keyed(rows).join(family, ["order_id", "product_id"]).join(ours, ["order_id", "item_index"])
+    same = F.coalesce((F.trim("name") != "") & (F.trim("name") == F.col("item_name")), F.lit(False))
+    by_key = (F.col("key") != "") & (F.col("key") == F.col("item_key"))
+    by_family = (F.col("key") != "") & F.array_contains("family_names", F.col("key"))
+    consistency = F.when(same, "EXACT").when(by_key | by_family, "SAFE").otherwise("CONFLICT")
+    pairs = pairs.select("order_id", "product_id", "row_no", "item_index", "method", "price", "subtotal", "promoted", consistency.alias("consistency"), (same | by_key).alias("by_name"))
+    row = Window.partitionBy("order_id", "row_no")
+    compatible = F.col("consistency") != "CONFLICT"
+    named = compatible & F.col("by_name")
+    counted = pairs.withColumns({"compatible": compatible, "n": F.count_if(compatible).over(row), "n_named": F.count_if(named).over(row)})
     among = F.col("compatible") & ((F.col("n_named") == 0) | F.col("by_name"))
     near = among & F.coalesce(F.abs(F.col("price") - F.col("subtotal")) <= F.lit(tolerance).cast(MONEY), F.lit(False))
-    rows = rows.withColumns({"near": near, "n_near": F.count_if(near).over(row), "n_promoted": F.count_if(among & F.col("promoted")).over(row)})
+    counted = counted.withColumns({"near": near, "n_near": F.count_if(near).over(row), "n_promoted": F.count_if(among & F.col("promoted")).over(row)})
     by_amount = (F.col("n_named") != 1) & (F.col("n_promoted") == 0) & (F.col("n_near") == 1) & F.col("near")
-    rows = rows.withColumn("chosen", F.col("compatible") & ((F.col("n") == 1) | ((F.col("n_named") == 1) & F.col("by_name")) | by_amount))
-    return rows.withColumns({"row_chosen": F.bool_or("chosen").over(row), "consumed": F.bool_or("chosen").over(item)})
+    chosen = F.col("compatible") & ((F.col("n") == 1) | ((F.col("n_named") == 1) & F.col("by_name")) | by_amount)
+    return counted.select("order_id", "product_id", "row_no", "item_index", "method", "consistency", "compatible", chosen.alias("preferred"))
+
+
+def promotion_groups(rows: DataFrame, items: DataFrame, family: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Products of an order that their source proves as a whole: order_id, product_id, members, n_matchings.
+
+    All items of the family are one thing (SKU, NAV, variation, price), as all their listings say, and belong to
+    no other product of the order; some are in a promotion, and all evidence is there; every row has a compatible
+    item. Left out are products whose rows and items pair off completely anyway: by preferred pairs, in one way,
+    or, where no pair is preferred, in several.
+    """
+    filled = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False))
+    promoted = sum((F.coalesce(F.col(c).cast("string") != "", F.lit(False)).cast("int") for c in ("promotion", "label", "group_total")), F.lit(0)) > 0
+    counted = F.coalesce(F.col("quantity") > 0, F.lit(False))
+    complete = counted & F.when(promoted, filled("promotion") & F.col("group_total").isNotNull()).otherwise(F.col("subtotal").isNotNull())
+    facts = items.select("order_id", "item_index", promoted.alias("promoted"), complete.alias("complete"), F.struct(sku_text(F.col("sku")).alias("sku"), _nav(F.col("nav")).alias("nav"), statement_name(F.col("variation")).alias("variation"), F.col("unit_price").alias("price")).alias("thing"))
+    own = family.join(facts, ["order_id", "item_index"])
+    one = F.first("thing")
+    of_items = own.groupBy("order_id", "product_id").agg(
+        F.sort_array(F.collect_set("item_index")).alias("members"),
+        (F.bool_or("promoted") & F.bool_and(F.col("complete") & F.col("agrees") & (F.col("n_products") == 1))).alias("proven"),
+        ((F.min("thing") == F.max("thing")) & (one["sku"] != "") & (one["nav"] != "") & one["price"].isNotNull()).alias("same"),
+    )
+    of_items = of_items.where("proven AND same AND size(members) > 1").select("order_id", "product_id", "members")
+    good = pairs.where("compatible")
+    own_edges = good.groupBy("order_id", "product_id", "row_no").agg(F.collect_set("item_index").alias("near"), F.collect_list(F.when(F.col("preferred"), F.col("item_index"))).alias("chosen"))
+    n_rows = rows.groupBy("order_id", "product_id").agg(F.count("*").alias("n_rows"))
+    of_rows = own_edges.groupBy("order_id", "product_id").agg(F.collect_list("near").alias("near"), F.flatten(F.collect_list("chosen")).alias("chosen"))
+    both = of_items.join(of_rows, ["order_id", "product_id"]).join(n_rows, ["order_id", "product_id"]).where("n_rows = size(near)")
+    n, chosen = F.size("members"), F.col("chosen")
+    preferred = (F.size(chosen) == F.col("n_rows")) & (F.col("n_rows") == n) & (F.size(F.array_distinct(chosen)) == n)
+    all_items = (F.size(F.array_distinct(F.flatten("near"))) == n) & (F.col("n_rows") == n)
+    kept = both.where(~preferred).withColumn("whole", all_items & (F.size(chosen) == 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [[set(x) for x in own] for own in batch.column("near").to_pylist()]
+            found = [matching.perfect_matchings(x, len(set().union(*x))) for x in near]
+            yield batch.drop_columns(["near"]).append_column("n_matchings", pa.array(found, pa.int64()))
+
+    done = kept.select("order_id", "product_id", "members", all_items.alias("all_items"), "whole", "near").mapInArrow(count, "order_id string, product_id string, members array<int>, all_items boolean, whole boolean, n_matchings long")
+    return done.where("NOT (all_items AND n_matchings = 1) AND NOT (whole AND n_matchings >= 2)").select("order_id", "product_id", "members", "n_matchings")
+
+
+def _taken_in_order(open_rows: DataFrame) -> DataFrame:
+    """order_id, row_no, outcome, item_index, members, n_matchings of rows that no pair decides.
+
+    open_rows: order_id, product_id, row_no, near (items still free). An order's products take their items one after the
+    other, so each order is folded as one packed row; what a resolved product takes is gone for the next.
+    """
+    packed = open_rows.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "row_no", "near"))).alias("rows"))
 
+    def fold(rows_: list[dict]) -> Iterator[tuple]:
+        products: dict[str, list[dict]] = {}
+        for x in rows_:
+            products.setdefault(x["product_id"], []).append(x)
+        gone: set[int] = set()
+        for own in products.values():
+            near = [set(x["near"]) - gone for x in own]
+            members = sorted(set().union(*near))
+            n = matching.perfect_matchings(near, len(members))
+            taken = matching.assignment(near) if n == 1 else {}
+            if n:
+                gone.update(members)
+            for k, x in enumerate(own):
+                item = taken.get(k)
+                yield x["row_no"], "ITEM" if n == 1 else "GROUP" if n else "UNRESOLVED", item, [item] if n == 1 else members if n else [], n
 
-def preferred_edges(edges: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
-    """Of each row's compatible edges the one that decides it: the only one, the only one by name, or the only
-    one whose amount is near, unless a promotion is among those; rows without such an edge are left out."""
-    return _marked(edges, tolerance).where("chosen").select("order_id", "product_id", "row_no", "item_index")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["order_id", "row_no", "outcome", "item_index", "members", "n_matchings"], [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
+        for batch in batches:
+            found = [(order, *x) for order, own in zip(*(batch.column(c).to_pylist() for c in ("order_id", "rows")), strict=True) for x in fold(own)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
+    return packed.mapInArrow(run, "order_id string, row_no int, outcome string, item_index int, members array<int>, n_matchings long")
 
-def identities(rows: DataFrame, edges: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
-    """One row per statement row: order_id, product_id, row_no, scope (ITEM, GROUP or UNRESOLVED), item_index, diagnostic.
 
-    Rows that no edge decides are matched per order and product with the items that are left.
+def identities(rows: DataFrame, items: DataFrame, families: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
+    """One row per statement row: order_id, product_id, row_no, scope (ITEM, GROUP or UNRESOLVED), item_index (of ITEM),
+    members (the items that the row or its group covers), n_matchings, diagnostic.
+
+    Promotion groups come first, then preferred pairs, then the order's products by their id.
     """
-    marked = _marked(edges, tolerance)
-    per_row = marked.groupBy("order_id", "row_no").agg(F.max(F.when(F.col("chosen"), F.col("item_index"))).alias("item_index"), F.bool_or("compatible").alias("had"), F.bool_or("row_chosen").alias("decided"))
-    every = rows.select("order_id", "product_id", "row_no").join(per_row, ["order_id", "row_no"], "left")
-    tried = every.where("had AND NOT decided").select("order_id", F.col("product_id").alias("product_key"), "row_no")
-    open_ = marked.where("compatible AND NOT row_chosen AND NOT consumed").select("order_id", F.col("product_id").alias("product_key"), "row_no", "item_index")
-    n_items = open_.groupBy("order_id", "product_key").agg(F.countDistinct("item_index").alias("n_items"))
-    groups = matching.resolve_edges(tried, open_, n_items).select("order_id", F.col("product_key").alias("product_id"), "outcome")
-    every = every.join(groups, ["order_id", "product_id"], "left")
-    decided, had = F.coalesce("decided", F.lit(False)), F.coalesce("had", F.lit(False))
-    scope = F.when(decided, "ITEM").when(~had, "UNRESOLVED").otherwise(F.col("outcome"))
-    diagnostic = F.when(decided, "PREFERRED").when(had, F.when(scope == "ITEM", "ONE_ALLOCATION").when(scope == "GROUP", "SEVERAL_ALLOCATIONS").otherwise("NO_ALLOCATION")).when(F.col("had").isNotNull(), "NAME_CONFLICT").otherwise("NO_CANDIDATE")
-    return every.select("order_id", "product_id", "row_no", scope.alias("scope"), "item_index", diagnostic.alias("diagnostic"))
+    family = stored(family_items(rows, items, families), "family-items")
+    pairs = stored(edges(rows, items, family, tolerance), "family-edges")
+    groups = stored(promotion_groups(rows, items, family, pairs), "promotion-groups")
+    by_group = rows.select("order_id", "product_id", "row_no").join(groups, ["order_id", "product_id"]).select("order_id", "row_no", F.lit("GROUP").alias("scope"), F.lit(None).cast("int").alias("item_index"), "members", "n_matchings", F.lit("PROMOTION_GROUP").alias("diagnostic"))
+    rest = pairs.join(groups, ["order_id", "product_id"], "left_anti")
+    by_pair = rest.where("preferred").select("order_id", "row_no", F.lit("ITEM").alias("scope"), "item_index", F.array("item_index").alias("members"), F.lit(1).cast("long").alias("n_matchings"), F.lit("PREFERRED").alias("diagnostic"))
+    gone = groups.select("order_id", F.explode("members").alias("item_index")).unionByName(by_pair.select("order_id", "item_index")).groupBy("order_id").agg(F.collect_set("item_index").alias("gone"))
+    per_row = rest.groupBy("order_id", "product_id", "row_no").agg(F.bool_or("preferred").alias("decided"), F.collect_set(F.when(F.col("compatible"), F.col("item_index"))).alias("near"))
+    waiting = per_row.where("NOT decided AND size(near) > 0").join(gone, "order_id", "left")
+    free = F.when(F.col("gone").isNull(), F.col("near")).otherwise(F.array_except("near", "gone"))
+    taken = _taken_in_order(waiting.select("order_id", "product_id", "row_no", free.alias("near")))
+    why = F.when(F.col("outcome") == "ITEM", "ONE_ALLOCATION").when(F.col("outcome") == "GROUP", "SEVERAL_ALLOCATIONS").otherwise("NO_ALLOCATION")
+    by_graph = taken.select("order_id", "row_no", F.col("outcome").alias("scope"), "item_index", "members", "n_matchings", why.alias("diagnostic"))
+    nothing = F.lit(None).cast("int").alias("item_index"), F.expr("cast(array() as array<int>)").alias("members"), F.lit(0).cast("long").alias("n_matchings")
+    in_conflict = per_row.where("size(near) = 0").select("order_id", "row_no", F.lit("UNRESOLVED").alias("scope"), *nothing, F.lit("NAME_CONFLICT").alias("diagnostic"))
+    found = by_group.unionByName(by_pair).unionByName(by_graph).unionByName(in_conflict)
+    every = rows.select("order_id", "product_id", "row_no").join(found, ["order_id", "row_no"], "left")
+    return every.withColumns({"scope": F.coalesce("scope", F.lit("UNRESOLVED")), "diagnostic": F.coalesce("diagnostic", F.lit("NO_CANDIDATE")), "members": F.coalesce("members", nothing[1]), "n_matchings": F.coalesce("n_matchings", F.lit(0))})
 
 
 COMPARED = "order_id string, scope_key string, n_rows int, n_items int, invoice_value decimal(18,2), statement_value decimal(18,2)"
@@ -159,10 +262,18 @@ def merchandise(rows: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFram
     return out.withColumns({"difference": difference, "reconciled": F.coalesce(F.abs(difference) <= F.lit(TOLERANCE).cast(MONEY), F.lit(False))})
 
 
+def pairs_of(found: DataFrame) -> DataFrame:
+    """order_id, row_no, item_index: every row with each item that its identity covers."""
+    return found.select("order_id", "row_no", F.explode("members").alias("item_index"))
+
+
 def coverage(rows: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """Per order: statement rows and items, those covered, and whether an item is claimed twice."""
-    claims = found.where("item_index IS NOT NULL").groupBy("order_id", "item_index").agg(F.count("*").alias("n"))
-    claimed = claims.groupBy("order_id").agg(F.count("*").alias("n_covered_items"), F.count_if(F.col("n") > 1).alias("n_claimed_twice"))
+    """Per order: statement rows and items, those covered by an item or group, items that two rows claim, and those
+    that a row and a group of others claim."""
+    of_item = F.count_if(F.col("scope") == "ITEM")
+    claims = found.select("order_id", "row_no", "scope", F.explode("members").alias("item_index")).groupBy("order_id", "item_index").agg(of_item.alias("n"), F.count_if(F.col("scope") == "GROUP").alias("grouped"))
+    claimed = claims.groupBy("order_id").agg(F.count("*").alias("n_covered_items"), F.count_if(F.col("n") > 1).alias("n_claimed_twice"), F.count_if((F.col("n") > 0) & (F.col("grouped") > 0)).alias("n_overlapping"))
     of_rows = found.groupBy("order_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("scope") != "UNRESOLVED").alias("n_covered_rows"))
     of_items = items.groupBy("order_id").agg(F.count("*").alias("n_items"))
-    return of_items.join(of_rows, "order_id", "full_outer").join(claimed, "order_id", "left").fillna(0, ["n_items", "n_rows", "n_covered_rows", "n_covered_items", "n_claimed_twice"])
+    counts = ["n_items", "n_rows", "n_covered_rows", "n_covered_items", "n_claimed_twice", "n_overlapping"]
+    return of_items.join(of_rows, "order_id", "full_outer").join(claimed, "order_id", "left").fillna(0, counts)

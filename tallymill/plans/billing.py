@@ -10,6 +10,8 @@ from tallymill.plans import relations as r
 from tallymill.plans.oracle import CANONICAL
 from tallymill.plans.queries import query
 from tallymill.sources import canonical as c
+from tallymill.sources.stored import stored
+from tallymill.workers import find_library
 
 
 @query
@@ -158,30 +160,51 @@ def statement_components(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("record_type", "name").agg(F.count("*").alias("n_rows"), F.sum("amount").alias("amount"))
 
 
+def _identities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statement rows, order items, the rows' identities), each computed once."""
+    find_library(spark)
+    rows, items, families = r.family_rows(spark, d)
+    return rows, items, stored(reconciliation.identities(rows, items, families), "identities")
+
+
 @query
 def family_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Statement rows by how they found their item: family, names, amounts, or the order's graph."""
+    """Statement rows by how they found their item: promotion group, family and names, amounts, or the order's graph."""
+    found = _identities(spark, d)[2]
+    return found.groupBy("scope", "diagnostic").agg(F.count("*").alias("n_rows"), F.countDistinct("order_id").alias("n_orders"), F.sum("n_matchings").alias("n_matchings"), F.sum(F.size("members")).cast("long").alias("n_members"))
+
+
+@query
+def promotion_product_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The product groups that their source proves as a whole: order, product, members, ways to pair them off."""
+    find_library(spark)
     rows, items, families = r.family_rows(spark, d)
-    found = reconciliation.identities(rows, reconciliation.family_edges(rows, items, families))
-    return found.groupBy("scope", "diagnostic").agg(F.count("*").alias("n_rows"), F.countDistinct("order_id").alias("n_orders"))
+    family = stored(reconciliation.family_items(rows, items, families), "family-items")
+    pairs = stored(reconciliation.edges(rows, items, family), "family-edges")
+    found = reconciliation.promotion_groups(rows, items, family, pairs)
+    return found.select("order_id", "product_id", F.array_join("members", ",").alias("members"), "n_matchings")
+
+
+@query
+def identity_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that an order's graph decides, with the item or the group that each gets."""
+    found = _identities(spark, d)[2].where("diagnostic IN ('ONE_ALLOCATION', 'SEVERAL_ALLOCATIONS')")
+    return found.select("order_id", "product_id", "row_no", "scope", "item_index", F.array_join("members", ",").alias("members"), "n_matchings")
 
 
 @query
 def merchandise_components(spark: SparkSession, d: str) -> DataFrame:
     """Money of each order's connected components of rows, items and promotions, compared."""
-    rows, items, families = r.family_rows(spark, d)
-    pairs = reconciliation.preferred_edges(reconciliation.family_edges(rows, items, families)).select("order_id", "row_no", "item_index")
-    found = reconciliation.merchandise(rows, items, pairs)
+    rows, items, identities = _identities(spark, d)
+    found = reconciliation.merchandise(rows, items, reconciliation.pairs_of(identities))
     return found.select(F.split("scope_key", ":")[0].alias("scope"), "reconciled", "n_rows", "n_items", "difference").groupBy("scope", "reconciled").agg(F.count("*").alias("n_components"), F.sum("n_rows").alias("n_rows"), F.sum("n_items").alias("n_items"), F.sum("difference").alias("difference"))
 
 
 @query
 def identity_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Orders by whether every row and item is covered, and whether an item is claimed twice."""
-    rows, items, families = r.family_rows(spark, d)
-    found = reconciliation.identities(rows, reconciliation.family_edges(rows, items, families))
-    out = reconciliation.coverage(rows, items, found)
-    return out.groupBy((F.col("n_covered_rows") == F.col("n_rows")).alias("rows_covered"), (F.col("n_covered_items") == F.col("n_items")).alias("items_covered"), (F.col("n_claimed_twice") > 0).alias("claimed_twice")).agg(F.count("*").alias("n_orders"), F.sum("n_items").alias("n_items"))
+    out = reconciliation.coverage(*_identities(spark, d))
+    return out.groupBy((F.col("n_covered_rows") == F.col("n_rows")).alias("rows_covered"), (F.col("n_covered_items") == F.col("n_items")).alias("items_covered"), (F.col("n_claimed_twice") > 0).alias("claimed_twice"), (F.col("n_overlapping") > 0).alias("overlapping")).agg(F.count("*").alias("n_orders"), F.sum("n_items").alias("n_items"))
 
 
 _STATEMENT = """
@@ -203,26 +226,67 @@ _BUNDLES = """
 bv AS (SELECT *, CASE WHEN key % 6 = 2 THEN 'NEW' WHEN b > 1 OR key % 6 = 3 THEN 'UNSAFE' WHEN key % 6 = 1 THEN 'CONFLICT' ELSE 'EXACT_DUPLICATE' END AS verdict FROM bn)
 """
 _FAMILY = """
-, fi AS (SELECT i.order_id, i.key, item_index, sku, part, parent, product AS name, subtotal_c, CASE WHEN flag = 'R' AND i.key % 2 = 0 THEN i.order_id || '/R' END AS promotion,
-                CASE WHEN (i.key + item_index) % 7 = 0 THEN 2 WHEN (i.key + item_index) % 3 = 0 THEN 1 ELSE 0 END AS off, subtotal_c + CASE WHEN i.key % 10 = 3 THEN 3 ELSE 0 END AS price_c FROM items_c i JOIN master_c USING (sku, part)),
-fr AS (SELECT * FROM fi WHERE key % 12 <> 5 OR item_index <> 0),
-fe AS (SELECT r.order_id, r.parent, r.item_index AS row_no, i.item_index, r.name = i.name AS same, r.price_c, i.subtotal_c, i.promotion IS NOT NULL AS promoted FROM fr r JOIN fi i USING (order_id, parent) WHERE r.off < 2 AND r.name = i.name),
-fw AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (abs(price_c - subtotal_c) <= 2) OVER w AS n_near, count(*) FILTER (promoted) OVER w AS n_promoted FROM fe WINDOW w AS (PARTITION BY order_id, row_no)),
-pref AS (SELECT order_id, parent, row_no, item_index FROM fw WHERE n = 1 OR (n_promoted = 0 AND n_near = 1 AND abs(price_c - subtotal_c) <= 2)),
-fo AS (SELECT fe.* FROM fe WHERE (order_id, row_no) NOT IN (SELECT (order_id, row_no) FROM pref) AND (order_id, item_index) NOT IN (SELECT (order_id, item_index) FROM pref)),
-tried AS (SELECT DISTINCT order_id, parent, row_no FROM fe WHERE (order_id, row_no) NOT IN (SELECT (order_id, row_no) FROM pref)),
-tr AS (SELECT *, row_number() OVER (PARTITION BY order_id, parent ORDER BY row_no) AS r, count(*) OVER (PARTITION BY order_id, parent) AS n FROM tried),
-ni AS (SELECT order_id, parent, count(DISTINCT item_index) AS m FROM fo GROUP BY ALL),
-walks AS (
+, fi AS (SELECT i.order_id, i.key, item_index, part, part % 40 AS g, CASE WHEN part % 9 <> 0 THEN 'S' || (part % 40) ELSE '' END AS sku, CASE WHEN (i.key + item_index) % 11 = 0 THEN 'Renamed ' ELSE 'Item ' END || (part % 40 % 12) AS name,
+                'v' || (part % 40 // 12) AS variation, 'n' || (part % 40) AS nav, CASE WHEN i.key % 20 <> 3 THEN quantity END AS quantity, 1000 + 100 * (part % 40) AS unit_c, subtotal_c,
+                CASE WHEN flag = 'R' AND i.key % 2 = 0 THEN i.order_id || '/R' END AS promotion, CASE WHEN flag = 'R' AND i.key % 2 = 0 AND i.key % 16 <> 6 THEN sum(subtotal_c) OVER (PARTITION BY i.order_id, flag) END AS group_c
+         FROM items_c i),
+fr AS (SELECT order_id, key, item_index AS row_no, CASE WHEN key % 17 = 0 AND item_index = 1 THEN 'PX' ELSE 'P' || (g % 12) END AS pid,
+              CASE WHEN (key + item_index) % 7 = 0 THEN 'other Item ' WHEN (key + item_index) % 3 = 0 THEN 'ITEM  ' ELSE 'Item ' END || (g % 12) AS name, subtotal_c + CASE WHEN key % 10 = 3 THEN 3 ELSE 0 END AS price_c
+       FROM fi WHERE key % 12 <> 5 OR item_index <> 0),
+listed AS (SELECT DISTINCT part % 40 AS g FROM master_c),
+fam AS (SELECT 'P' || f AS pid, CASE WHEN g % 5 = 4 THEN 'M' ELSE 'S' END || g AS sku, CASE WHEN g % 5 = 4 THEN 'S' || g ELSE 'K' || (g % 12) END AS parent_sku, 'item ' || (g % 12) AS name_key, 'v' || (g // 12) AS variation, CASE WHEN g % 13 = 5 THEN 'x' ELSE 'n' || g END AS nav, 1000 + 100 * g AS price_c
+        FROM (SELECT g, unnest(CASE WHEN g % 10 = 7 THEN [g % 12, (g + 1) % 12] ELSE [g % 12] END) AS f FROM listed)),
+ties AS (
+  SELECT order_id, item_index, pid, 0 AS tier, name_key, f.nav = i.nav AND f.variation = i.variation AND price_c = unit_c AS agrees FROM fi i JOIN fam f ON i.sku <> '' AND i.sku = f.sku
+  UNION ALL SELECT order_id, item_index, pid, 1, name_key, f.nav = i.nav AND f.variation = i.variation AND price_c = unit_c FROM fi i JOIN fam f ON i.sku <> '' AND i.sku = f.parent_sku
+  UNION ALL SELECT order_id, item_index, pid, 2, name_key, f.nav = i.nav AND price_c = unit_c FROM fi i JOIN fam f ON lower(i.name) = f.name_key AND i.variation = f.variation),
+linked AS (SELECT t.* FROM ties t JOIN (SELECT DISTINCT order_id, pid FROM fr) USING (order_id, pid)),
+first_tier AS (SELECT order_id, pid, min(tier) AS tier FROM linked GROUP BY ALL),
+claims AS (SELECT order_id, item_index, count(DISTINCT pid) AS n_products FROM linked GROUP BY ALL),
+fm AS (SELECT order_id, pid, item_index, list(DISTINCT name_key) AS names, bool_and(agrees) AS agrees, any_value(n_products) AS n_products FROM linked JOIN first_tier USING (order_id, pid, tier) JOIN claims USING (order_id, item_index) GROUP BY ALL),
+fe0 AS (SELECT r.order_id, r.pid, r.row_no, m.item_index, r.price_c, i.subtotal_c, i.promotion IS NOT NULL AS promoted, r.name = i.name AS same, lower(regexp_replace(r.name, ' +', ' ', 'g')) AS key_name, lower(i.name) AS item_key, names
+        FROM fr r JOIN fm m USING (order_id, pid) JOIN fi i ON i.order_id = m.order_id AND i.item_index = m.item_index),
+fe AS (SELECT *, same OR key_name = item_key AS named, same OR key_name = item_key OR list_contains(names, key_name) AS compatible FROM fe0),
+fn AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (named) OVER w AS n_named FROM fe WHERE compatible WINDOW w AS (PARTITION BY order_id, row_no)),
+fw AS (SELECT *, count(*) FILTER ((n_named = 0 OR named) AND abs(price_c - subtotal_c) <= 2) OVER w AS n_near, count(*) FILTER ((n_named = 0 OR named) AND promoted) OVER w AS n_promoted FROM fn WINDOW w AS (PARTITION BY order_id, row_no)),
+fc AS (SELECT order_id, pid, row_no, item_index, n = 1 OR (n_named = 1 AND named) OR (n_named <> 1 AND n_promoted = 0 AND n_near = 1 AND (n_named = 0 OR named) AND abs(price_c - subtotal_c) <= 2) AS preferred FROM fw),
+-- products as lists: their family's items, and each row's items as bits of that list
+gi AS (SELECT order_id, pid, list(item_index ORDER BY item_index)::BIGINT[] AS members, count(*) AS k, bool_or(promotion IS NOT NULL) AND bool_and(agrees AND n_products = 1 AND quantity > 0 IS TRUE AND CASE WHEN promotion IS NOT NULL THEN group_c IS NOT NULL ELSE subtotal_c IS NOT NULL END)
+              AND count(DISTINCT (sku, nav, variation, unit_c)) = 1 AND min(sku) <> '' AND count(*) > 1 AS proven FROM fm JOIN fi USING (order_id, item_index) GROUP BY ALL),
+gr AS (SELECT order_id, pid, row_no, list(item_index) AS near, count(*) FILTER (preferred) AS n_preferred, max(item_index) FILTER (preferred) AS chosen FROM fc GROUP BY ALL),
+gm AS (SELECT order_id, pid, any_value(members) AS members, any_value(k) AS k, any_value(proven) AS proven, count(*) AS n_edged, list(list_sum(list_transform(near, lambda x: 1 << (list_position(members, x) - 1)))::BIGINT ORDER BY row_no) AS masks, sum(n_preferred) AS n_preferred, count(DISTINCT chosen) AS n_chosen
+       FROM gr JOIN gi USING (order_id, pid) GROUP BY ALL),
+gn AS (SELECT *, list_bit_or(masks) AS used FROM gm JOIN (SELECT order_id, pid, count(*) AS n_rows FROM fr GROUP BY ALL) USING (order_id, pid) WHERE proven AND n_edged = n_rows),
+gw AS (SELECT *, CASE WHEN bit_count(used) <> n_rows THEN 0 ELSE list_reduce(list_transform(masks, lambda x: [x]), lambda w, x: list_transform(range(1::BIGINT << k), lambda m: list_sum(list_transform(range(k), lambda i: CASE WHEN (x[1] & m & (1 << i)) <> 0 THEN w[m - (1 << i) + 1] ELSE 0 END))::BIGINT), list_transform(range(1::BIGINT << k), lambda m: (m = 0)::BIGINT))[used + 1] END AS n_matchings FROM gn),
+pg AS (SELECT order_id, pid, members, n_matchings FROM gw WHERE NOT (n_preferred = n_rows AND n_rows = k AND n_chosen = k) AND NOT (n_rows = k AND bit_count(used) = k AND (n_matchings = 1 OR (n_matchings >= 2 AND n_preferred = 0)))),
+rest AS (SELECT * FROM fc ANTI JOIN pg USING (order_id, pid)),
+pref AS (SELECT order_id, pid, row_no, item_index FROM rest WHERE preferred),
+gone AS (SELECT order_id, bit_or(1::BIGINT << item_index) AS mask FROM (SELECT order_id, unnest(members) AS item_index FROM pg UNION ALL SELECT order_id, item_index FROM pref) GROUP BY ALL),
+-- an order's open products as lists [number of items, the items, each row's items as bits], folded in the order of their ids
+op AS (SELECT order_id, pid, any_value(members) AS members, list(list_sum(list_transform(near, lambda x: 1 << (list_position(members, x) - 1)))::BIGINT ORDER BY row_no) AS masks FROM gr JOIN gi USING (order_id, pid) WHERE n_preferred = 0 AND (order_id, pid) NOT IN (SELECT (order_id, pid) FROM pg) GROUP BY ALL),
+oo AS (SELECT order_id, list(list_concat([len(members)::BIGINT], members, masks) ORDER BY pid) AS products, list(pid ORDER BY pid) AS pids FROM op GROUP BY ALL),
+fold AS (SELECT order_id, pids, list_reduce(products, lambda s, p:
+    list_transform([list_sum(list_transform(range(1, p[1] + 1), lambda i: CASE WHEN (s[1] >> p[i + 1]) & 1 = 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT], lambda a:
+      list_transform([list_bit_or(list_transform(p[p[1] + 2:], lambda x: x & a))], lambda u:
+        list_transform([CASE WHEN bit_count(u) <> len(p) - p[1] - 1 THEN 0 ELSE list_reduce(list_transform(p[p[1] + 2:], lambda x: [x & a]), lambda w, x: list_transform(range(1::BIGINT << p[1]), lambda m: list_sum(list_transform(range(p[1]), lambda i: CASE WHEN (x[1] & m & (1::BIGINT << i)) <> 0 THEN w[m - (1::BIGINT << i) + 1] ELSE 0 END))::BIGINT), list_transform(range(1::BIGINT << p[1]), lambda m: (m = 0)::BIGINT))[u + 1] END], lambda n:
+          list_transform([list_sum(list_transform(range(1, p[1] + 1), lambda i: ((u >> (i - 1)) & 1) << p[i + 1]))::BIGINT], lambda taken:
+            list_concat([s[1] | CASE WHEN n > 0 THEN taken ELSE 0 END], s[2:], [n, taken]))[1])[1])[1])[1], [coalesce(mask, 0)]) AS s FROM oo LEFT JOIN gone USING (order_id)),
+tried AS (SELECT order_id, unnest(pids) AS pid, unnest(list_transform(range(1, len(pids) + 1), lambda i: s[2 * i])) AS n, unnest(list_transform(range(1, len(pids) + 1), lambda i: s[2 * i + 1])) AS taken FROM fold),
+-- the one way to pair off, row by row
+tr AS (SELECT g.order_id, g.pid, row_no, near, taken, row_number() OVER (PARTITION BY g.order_id, g.pid ORDER BY row_no) AS nth, count(*) OVER (PARTITION BY g.order_id, g.pid) AS n_rows FROM gr g JOIN tried t ON t.order_id = g.order_id AND t.pid = g.pid WHERE n = 1 AND n_preferred = 0),
+one_way AS (
   WITH RECURSIVE walk AS (
-    SELECT tr.order_id, tr.parent, 1 AS r, 1 << item_index AS used FROM tr JOIN fo USING (order_id, parent, row_no) WHERE tr.r = 1
-    UNION ALL SELECT w.order_id, w.parent, w.r + 1, w.used | (1 << fo.item_index) FROM walk w JOIN tr ON tr.order_id = w.order_id AND tr.parent = w.parent AND tr.r = w.r + 1 JOIN fo ON fo.order_id = tr.order_id AND fo.parent = tr.parent AND fo.row_no = tr.row_no AND w.used & (1 << fo.item_index) = 0)
-  SELECT order_id, parent, r AS n, count(*) AS c FROM walk GROUP BY ALL),
-fg AS (SELECT DISTINCT tr.order_id, tr.parent, CASE WHEN tr.n = m THEN coalesce(c, 0) ELSE 0 END AS c FROM tr LEFT JOIN ni USING (order_id, parent) LEFT JOIN walks USING (order_id, parent, n)),
-ids AS (SELECT r.order_id, r.parent, r.item_index AS row_no, p.item_index,
-               CASE WHEN p.item_index IS NOT NULL THEN 'ITEM' WHEN t.row_no IS NULL THEN 'UNRESOLVED' WHEN c = 1 THEN 'ITEM' WHEN c > 1 THEN 'GROUP' ELSE 'UNRESOLVED' END AS scope,
-               CASE WHEN p.item_index IS NOT NULL THEN 'PREFERRED' WHEN t.row_no IS NOT NULL THEN CASE WHEN c = 1 THEN 'ONE_ALLOCATION' WHEN c > 1 THEN 'SEVERAL_ALLOCATIONS' ELSE 'NO_ALLOCATION' END ELSE 'NAME_CONFLICT' END AS diagnostic
-        FROM fr r LEFT JOIN pref p ON p.order_id = r.order_id AND p.row_no = r.item_index LEFT JOIN tried t ON t.order_id = r.order_id AND t.row_no = r.item_index LEFT JOIN fg g ON g.order_id = r.order_id AND g.parent = r.parent)
+    SELECT order_id, pid, 0::BIGINT AS nth, taken AS left_, []::BIGINT[] AS way FROM tr WHERE nth = 1
+    UNION ALL SELECT w.order_id, w.pid, t.nth, w.left_ - (1::BIGINT << x.i), list_append(w.way, x.i) FROM walk w JOIN tr t ON t.order_id = w.order_id AND t.pid = w.pid AND t.nth = w.nth + 1, unnest(t.near) AS x(i) WHERE (w.left_ >> x.i) & 1 = 1)
+  SELECT order_id, pid, way FROM walk WHERE left_ = 0),
+ids AS (
+  SELECT order_id, pid, row_no, 'GROUP' AS scope, NULL::BIGINT AS item_index, members, n_matchings, 'PROMOTION_GROUP' AS diagnostic FROM fr JOIN pg USING (order_id, pid)
+  UNION ALL SELECT order_id, pid, row_no, 'ITEM', item_index, [item_index]::BIGINT[], 1, 'PREFERRED' FROM pref
+  UNION ALL SELECT t.order_id, t.pid, row_no, 'ITEM', way[nth], [way[nth]], 1, 'ONE_ALLOCATION' FROM tr t JOIN one_way w ON w.order_id = t.order_id AND w.pid = t.pid
+  UNION ALL SELECT g.order_id, g.pid, row_no, CASE WHEN n > 1 THEN 'GROUP' ELSE 'UNRESOLVED' END, NULL, CASE WHEN n > 1 THEN list_filter(range(63), lambda i: (taken >> i) & 1 = 1) ELSE [] END, n, CASE WHEN n > 1 THEN 'SEVERAL_ALLOCATIONS' ELSE 'NO_ALLOCATION' END
+            FROM gr g JOIN tried t ON t.order_id = g.order_id AND t.pid = g.pid WHERE n <> 1 AND n_preferred = 0),
+every_id AS (SELECT * FROM ids UNION ALL SELECT order_id, pid, row_no, 'UNRESOLVED', NULL, [], 0, CASE WHEN (order_id, row_no) IN (SELECT (order_id, row_no) FROM fe) THEN 'NAME_CONFLICT' ELSE 'NO_CANDIDATE' END FROM fr WHERE (order_id, row_no) NOT IN (SELECT (order_id, row_no) FROM ids)),
+pairs AS (SELECT order_id, row_no, unnest(members) AS item_index FROM ids)
 """
 
 BODIES = {
@@ -258,21 +322,23 @@ SELECT issues, count(*) AS n_orders, sum(released_c) / 100.0 AS released, sum(pr
         UNION ALL SELECT 'SERVICE_FEE_DETAIL', 'Service Fee', fee FROM sums WHERE key % 7 <> 2 UNION ALL SELECT 'SERVICE_FEE_DETAIL', 'Campaign Fee', -150 FROM sums WHERE key % 7 <> 2 AND key % 3 = 0
         UNION ALL SELECT 'SHIPPING_FEE_DISCREPANCY', 'Expected Shipping Fee', 500 FROM sums WHERE key % 7 <> 2 AND key % 10 = 0 UNION ALL SELECT 'SHIPPING_FEE_DISCREPANCY', 'Actual Shipping Fee', 650 FROM sums WHERE key % 7 <> 2 AND key % 20 = 0)
 SELECT record_type, name, count(*) AS n_rows, sum(amount_c) / 100.0 AS amount FROM x GROUP BY ALL""",
-    "family_matching": _FAMILY + "SELECT scope, diagnostic, count(*) AS n_rows, count(DISTINCT order_id) AS n_orders FROM ids GROUP BY ALL",
+    "family_matching": _FAMILY + "SELECT scope, diagnostic, count(*) AS n_rows, count(DISTINCT order_id) AS n_orders, sum(n_matchings)::BIGINT AS n_matchings, sum(len(members))::BIGINT AS n_members FROM every_id GROUP BY ALL",
+    "promotion_product_groups": _FAMILY + "SELECT order_id, pid AS product_id, array_to_string(members, ',') AS members, n_matchings FROM pg",
+    "identity_assignments": _FAMILY + "SELECT order_id, pid AS product_id, row_no, scope, item_index, array_to_string(members, ',') AS members, n_matchings FROM ids WHERE diagnostic IN ('ONE_ALLOCATION', 'SEVERAL_ALLOCATIONS')",
     "identity_coverage": _FAMILY + """
-, o AS (SELECT order_id, count(*) AS n_items FROM fi GROUP BY ALL), a AS (SELECT order_id, count(*) AS n_rows, count(*) FILTER (scope <> 'UNRESOLVED') AS n_cov FROM ids GROUP BY ALL),
-cl AS (SELECT order_id, count(*) AS n_ci, count(*) FILTER (k > 1) AS twice FROM (SELECT order_id, item_index, count(*) AS k FROM pref GROUP BY ALL) GROUP BY ALL)
-SELECT coalesce(n_cov, 0) = coalesce(n_rows, 0) AS rows_covered, coalesce(n_ci, 0) = n_items AS items_covered, coalesce(twice, 0) > 0 AS claimed_twice, count(*) AS n_orders, sum(n_items)::BIGINT AS n_items FROM o LEFT JOIN a USING (order_id) LEFT JOIN cl USING (order_id) GROUP BY ALL""",
+, o AS (SELECT order_id, count(*) AS n_items FROM fi GROUP BY ALL), a AS (SELECT order_id, count(*) AS n_rows, count(*) FILTER (scope <> 'UNRESOLVED') AS n_cov FROM every_id GROUP BY ALL),
+cl AS (SELECT order_id, count(*) AS n_ci, count(*) FILTER (k > 1) AS twice, count(*) FILTER (k > 0 AND grouped > 0) AS n_overlap FROM (SELECT order_id, item, count(*) FILTER (scope = 'ITEM') AS k, count(*) FILTER (scope = 'GROUP') AS grouped FROM (SELECT order_id, scope, unnest(members) AS item FROM ids) GROUP BY ALL) GROUP BY ALL)
+SELECT coalesce(n_cov, 0) = coalesce(n_rows, 0) AS rows_covered, coalesce(n_ci, 0) = n_items AS items_covered, coalesce(twice, 0) > 0 AS claimed_twice, coalesce(n_overlap, 0) > 0 AS overlapping, count(*) AS n_orders, sum(n_items)::BIGINT AS n_items FROM o LEFT JOIN a USING (order_id) LEFT JOIN cl USING (order_id) GROUP BY ALL""",
     "merchandise_components": _FAMILY + """
-, link AS (SELECT order_id, 'r' || row_no AS x, 'i' || item_index AS y FROM pref UNION ALL SELECT order_id, 'i' || item_index, 'p' || promotion FROM fi WHERE promotion IS NOT NULL),
+, link AS (SELECT order_id, 'r' || row_no AS x, 'i' || item_index AS y FROM pairs UNION ALL SELECT order_id, 'i' || item_index, 'p' || promotion FROM fi WHERE promotion IS NOT NULL),
 both_ways AS (SELECT order_id, x, y FROM link UNION SELECT order_id, y, x FROM link),
 reach AS (
   WITH RECURSIVE walk AS (SELECT DISTINCT order_id, x, x AS y FROM both_ways UNION SELECT w.order_id, w.x, b.y FROM walk w JOIN both_ways b ON b.order_id = w.order_id AND b.x = w.y)
   SELECT order_id, x, min(y) AS comp FROM walk GROUP BY ALL),
-mem AS (SELECT order_id, comp, x, price_c AS rp, NULL::BIGINT AS ip, NULL AS promotion FROM reach JOIN (SELECT order_id, 'r' || item_index AS x, price_c FROM fr) USING (order_id, x)
-        UNION ALL SELECT order_id, comp, x, NULL, subtotal_c, promotion FROM reach JOIN (SELECT order_id, 'i' || item_index AS x, subtotal_c, promotion FROM fi) USING (order_id, x)),
-cmp AS (SELECT order_id, comp, count(rp) AS n_rows, count(ip) AS n_items, sum(rp) AS sv, sum(ip) AS iv, count(promotion) AS n_p FROM mem GROUP BY ALL),
-free_r AS (SELECT order_id, count(*) AS k, sum(price_c) AS v FROM fr WHERE (order_id, 'r' || item_index) NOT IN (SELECT (order_id, x) FROM reach) GROUP BY ALL),
+mem AS (SELECT order_id, comp, x, price_c AS rp, NULL::BIGINT AS ip, NULL AS promotion, NULL::BIGINT AS group_c FROM reach JOIN (SELECT order_id, 'r' || row_no AS x, price_c FROM fr) USING (order_id, x)
+        UNION ALL SELECT order_id, comp, x, NULL, subtotal_c, promotion, group_c FROM reach JOIN (SELECT order_id, 'i' || item_index AS x, subtotal_c, promotion, group_c FROM fi) USING (order_id, x)),
+cmp AS (SELECT order_id, comp, count(rp) AS n_rows, count(ip) AS n_items, sum(rp) AS sv, CASE WHEN count(*) FILTER (promotion IS NOT NULL AND group_c IS NULL) = 0 THEN coalesce(sum(ip) FILTER (promotion IS NULL), 0) + coalesce(max(group_c), 0) END AS iv, count(promotion) AS n_p FROM mem GROUP BY ALL),
+free_r AS (SELECT order_id, count(*) AS k, sum(price_c) AS v FROM fr WHERE (order_id, 'r' || row_no) NOT IN (SELECT (order_id, x) FROM reach) GROUP BY ALL),
 free_i AS (SELECT order_id, count(*) AS k, sum(subtotal_c) AS v FROM fi WHERE (order_id, 'i' || item_index) NOT IN (SELECT (order_id, x) FROM reach) GROUP BY ALL),
 every AS (SELECT CASE WHEN n_p > 0 THEN 'PROMOTION_COMPONENT' WHEN n_rows = 1 AND n_items = 1 THEN 'ITEM' ELSE 'FAMILY' END AS scope, n_rows, n_items, CASE WHEN n_rows > 0 AND n_items > 0 THEN sv - iv END AS diff FROM cmp
           UNION ALL SELECT CASE WHEN r.k = 1 AND i.k = 1 THEN 'UNRESOLVED_ORDER_RESIDUAL' ELSE 'COVERAGE_CONTROL' END, coalesce(r.k, 0), coalesce(i.k, 0), CASE WHEN r.k = 1 AND i.k = 1 THEN r.v - i.v END FROM free_r r FULL JOIN free_i i USING (order_id))

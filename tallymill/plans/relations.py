@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.sources import canonical as c
+from tallymill.sources.stored import stored
 
 MONEY = c.MONEY
 
@@ -146,17 +147,51 @@ def statement_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statement rows, order items, product families) for matching by family and name.
+    """(statement rows, order items, product families) as `operators.reconciliation` takes them; the items are read once.
 
-    rows: order_id, row_no, product_id (of a family), name, price; items: order_id, item_index, sku, name,
-    subtotal, promotion; families: product_id, sku, name. A family is a brand; names on the statement
-    are as in the order, in other case, or of another product.
+    40 listings in twelve families stand for the parts. Some items have no SKU, some listings only a parent SKU, some
+    belong to two families, some don't agree with their items' NAV; names on the statement are as in the order, in
+    other case, or of another product, and some orders show a renamed product. The first line of each twelfth
+    order has no row, and some rows a product that is in no family.
     """
-    key, line = F.col("order_id").cast("long"), F.col("item_index")
-    both = c.items(spark, d).join(c.master(spark, d).select("sku", "parent", "product"), "sku")
-    promotion = F.when((F.col("flag") == "R") & (key % 2 == 0), F.concat("order_id", F.lit("/R")))
-    items = both.select("order_id", "item_index", "sku", F.col("product").alias("name"), "subtotal", promotion.alias("promotion"), F.when(promotion.isNotNull(), F.sum("subtotal").over(Window.partitionBy("order_id", "flag"))).cast(MONEY).alias("group_total"))
-    name = F.when((key + line) % 7 == 0, F.concat(F.lit("other "), "product")).when((key + line) % 3 == 0, F.upper(F.regexp_replace("product", " ", "  "))).otherwise(F.col("product"))
-    price = F.col("subtotal") + F.when(key % 10 == 3, cents(3)).otherwise(cents(0))
-    rows = both.where((key % 12 != 5) | (line != 0)).select("order_id", line.alias("row_no"), F.col("parent").alias("product_id"), name.alias("name"), price.cast(MONEY).alias("price"))
-    return rows, items, c.master(spark, d).select(F.col("parent").alias("product_id"), "sku", F.col("product").alias("name"))
+    key, line, part = F.col("order_id").cast("long"), F.col("item_index"), F.col("sku").cast("long")
+    listing = part % 40
+    family, text = listing % 12, lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    promoted = (F.col("flag") == "R") & (key % 2 == 0)
+    both = c.items(spark, d).select(
+        "order_id",
+        "item_index",
+        F.when(part % 9 != 0, text("S", listing)).otherwise("").alias("sku"),
+        F.when((key + line) % 11 == 0, text("Renamed ", family)).otherwise(text("Item ", family)).alias("name"),
+        text("V", F.floor(listing / 12)).alias("variation"),
+        text("N", listing).alias("nav"),
+        F.when(key % 20 != 3, F.col("quantity")).alias("quantity"),
+        (listing + 10).cast(MONEY).alias("unit_price"),
+        "subtotal",
+        F.when(promoted, F.concat("order_id", F.lit("/R"))).alias("promotion"),
+        F.when(promoted, "Buy more").alias("label"),
+        F.when(promoted & (key % 16 != 6), F.sum("subtotal").over(Window.partitionBy("order_id", "flag"))).cast(MONEY).alias("group_total"),
+        text("P", family).alias("product_id"),
+        F.when((key + line) % 7 == 0, text("other Item ", family)).when((key + line) % 3 == 0, text("ITEM  ", family)).otherwise(text("Item ", family)).alias("stated"),
+    )
+    both = stored(both, "family-rows")
+    rows = both.where((key % 12 != 5) | (line != 0)).select(
+        "order_id",
+        F.col("item_index").alias("row_no"),
+        F.when((key % 17 == 0) & (line == 1), "PX").otherwise(F.col("product_id")).alias("product_id"),
+        F.col("stated").alias("name"),
+        (F.col("subtotal") + F.when(key % 10 == 3, cents(3)).otherwise(cents(0))).cast(MONEY).alias("price"),
+    )
+    listed = c.master(spark, d).select(listing.alias("listing")).distinct()
+    n = F.col("listing")
+    in_families = F.explode(F.when(n % 10 == 7, F.array(n % 12, (n + 1) % 12)).otherwise(F.array(n % 12)))
+    families = listed.select("listing", in_families.alias("family")).select(
+        text("P", F.col("family")).alias("product_id"),
+        F.when(n % 5 == 4, text("M", n)).otherwise(text("S", n)).alias("sku"),
+        F.when(n % 5 == 4, text("S", n)).otherwise(text("K", n % 12)).alias("parent_sku"),
+        text("Item ", n % 12).alias("name"),
+        text("V", F.floor(n / 12)).alias("variation"),
+        F.when(n % 13 == 5, "X").otherwise(text("N", n)).alias("nav"),
+        (n + 10).cast(MONEY).alias("price"),
+    )
+    return rows, both.drop("product_id", "stated"), families

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymill.functions import casts, text
-from tallymill.operators import allocation, analysis, changes, guards, invoice_checks, matching, products
+from tallymill.operators import allocation, analysis, changes, guards, invoice_checks, matching, products, reconciliation
 
 ORDER = "market string, order_id string, status string, created date, final_amount decimal(18,2)"
 COMPONENT = "order_id string, name string, amount decimal(18,2)"
@@ -215,3 +215,90 @@ def test_exact_name_lookup_narrows_by_sku_only(spark):
         ],
         key=str,
     )
+
+
+# identity resolution
+
+ROW = "order_id string, row_no int, product_id string, name string, price decimal(18,2)"
+ITEM = "order_id string, item_index int, sku string, name string, variation string, nav string, quantity int, unit_price decimal(18,2), subtotal decimal(18,2), promotion string, label string, group_total decimal(18,2)"
+FAMILY = "product_id string, sku string, parent_sku string, name string, variation string, nav string, price decimal(18,2)"
+
+
+def _resolved(spark, rows, items, families):
+    found = reconciliation.identities(spark.createDataFrame(rows, ROW), spark.createDataFrame(items, ITEM), spark.createDataFrame(families, FAMILY))
+    return {(r["order_id"], r["row_no"]): (r["scope"], r["item_index"], r["members"], r["diagnostic"]) for r in found.collect()}
+
+
+def _item(order, index, sku="S1", name="A", variation="V", nav="N1", quantity=1, price="5", subtotal="5", promotion=None, label=None, total=None):
+    return (order, index, sku, name, variation, nav, quantity, D(price), D(subtotal), promotion, label, None if total is None else D(total))
+
+
+LISTED = [("P1", "S1", "K1", "A", "V", "N1", D(5)), ("P2", "S2", "K2", "B", "V", "N2", D(7)), ("P2", "S1", "K2", "A", "V", "N1", D(5))]
+
+
+def test_rows_that_the_graph_decides_get_their_item(spark):
+    """Row 0 may have items 0 and 1, row 1 only item 1 (by a name of its own): one way is left."""
+    listed = [("P1", "S1", None, "A", "V", "N", D(1)), ("P1", "S2", None, "B", "V", "N", D(1))]
+    items = [_item("o", 0, "S1", "X"), _item("o", 1, "S2", "Y"), _item("o", 2, "S2", "Z", subtotal="9")]
+    rows = [("o", 0, "P1", "A", D(3)), ("o", 1, "P1", "B", D(3)), ("o", 2, "P1", "B", D(3))]
+    got = _resolved(spark, rows, items, listed)
+    assert got["o", 0] == ("ITEM", 0, [0], "PREFERRED")  # only S1's listing has its name
+    assert got["o", 1] == got["o", 2] == ("GROUP", None, [1, 2], "SEVERAL_ALLOCATIONS")
+    # 0: items 0 and 1, 1: items 1 and 2, 2: items 1 and 2 by two families of names
+    listed = [("P1", "S1", None, "A", "V", "N", D(1)), ("P1", "S2", None, "A", "V", "N", D(1)), ("P1", "S2", None, "B", "V", "N", D(1)), ("P1", "S3", None, "B", "V", "N", D(1))]
+    items = [_item("o", 0, "S1", "X", subtotal="8"), _item("o", 1, "S2", "Y", subtotal="8"), _item("o", 2, "S3", "Z", subtotal="8")]
+    rows = [("o", 0, "P1", "A", D(3)), ("o", 1, "P1", "B", D(3)), ("o", 2, "P1", "C", D(3))]
+    got = _resolved(spark, rows, items, listed)
+    assert got["o", 2] == ("UNRESOLVED", None, [], "NAME_CONFLICT")
+    assert got["o", 0][0] == got["o", 1][0] == "UNRESOLVED"  # three items for two rows
+
+
+def test_an_order_s_products_take_their_items_in_order(spark):
+    """P1's two rows need both items that P2's rows could have, too: P2 gets nothing of them."""
+    items = [_item("o", 0), _item("o", 1), _item("o", 2, "S2", "B", nav="N2", subtotal="7")]
+    rows = [("o", 0, "P1", "A", D(1)), ("o", 1, "P1", "A", D(1)), ("o", 2, "P2", "A", D(1)), ("o", 3, "P2", "A", D(1))]
+    got = _resolved(spark, rows, items, LISTED)
+    assert got["o", 0] == got["o", 1] == ("GROUP", None, [0, 1], "SEVERAL_ALLOCATIONS")
+    assert got["o", 2] == got["o", 3] == ("UNRESOLVED", None, [], "NO_ALLOCATION")
+
+
+def test_promotion_groups(spark):
+    """One thing in a promotion, fewer rows than items: proven as a group; any gap in the evidence undoes it."""
+    rows = [("o", 0, "P1", "A", D(9))]
+    sold = [_item("o", 0, promotion="g", label="3 for 2", total="9"), _item("o", 1, promotion="g", label="3 for 2", total="9"), _item("o", 2)]
+    one = LISTED[:1]
+    assert _resolved(spark, rows, sold, one)["o", 0] == ("GROUP", None, [0, 1, 2], "PROMOTION_GROUP")
+    broken = [
+        (sold[:1] + [_item("o", 1, promotion="g")] + sold[2:], one),  # no total
+        ([*sold[:2], _item("o", 2, quantity=0)], one),
+        ([*sold[:2], _item("o", 2, nav="N9")], one),
+        (sold, [("P1", "S1", "K1", "A", "V", "N1", D(6))]),  # the listing has another price
+        (sold[2:] + [_item("o", 0), _item("o", 1)], one),  # no promotion
+    ]
+    for items, listed in broken:
+        assert _resolved(spark, rows, items, listed)["o", 0] == ("UNRESOLVED", None, [], "NO_ALLOCATION")
+    both = [*rows, ("o", 1, "P2", "B", D(9))]
+    assert _resolved(spark, both, sold, LISTED)["o", 0][0] == "UNRESOLVED"  # P2 lists the items, too
+
+
+def test_family_tiers(spark):
+    """Parent SKUs only where no item has one of the family's, names with variation only after those."""
+    listed = [("P", "S1", "K", "A", "V", "N", D(1)), ("P", "S2", "K", "A", "W", "N", D(1))]
+    items = [_item("all", 0), _item("all", 1, "K"), _item("all", 2, "", variation="W"), _item("parent", 0, "K"), _item("parent", 1, ""), _item("name", 0, "", " a"), _item("name", 1, "", "A", "X"), _item("name", 2, None, "A", "w ")]
+    rows = [(o, 0, "P", "A", D(1)) for o in ("all", "parent", "name")]
+    found = reconciliation.family_items(spark.createDataFrame(rows, ROW), spark.createDataFrame(items, ITEM), spark.createDataFrame(listed, FAMILY))
+    got = sorted((r["order_id"], r["item_index"], r["method"]) for r in found.collect())
+    assert got == [("all", 0, "PRODUCT_MASTER_SKU"), ("name", 0, "PRODUCT_MASTER_NAME_VARIATION"), ("name", 2, "PRODUCT_MASTER_NAME_VARIATION"), ("parent", 0, "PRODUCT_MASTER_PARENT_SKU")]
+
+
+def test_assignment_of_a_long_chain():
+    """Thousands of rows that all have to move: no recursion."""
+    n = 3000
+    edges = [{i, i + 1} for i in range(n - 1)] + [{0}]
+    assert matching.assignment(edges) == {**{i: i + 1 for i in range(n - 1)}, n - 1: 0}
+    assert matching.assignment([{0}, {0}]) is None
+
+
+def test_identities_of_nothing(spark):
+    assert _resolved(spark, [], [], []) == {}
+    assert _resolved(spark, [("o", 0, "P", "A", None)], [], LISTED) == {("o", 0): ("UNRESOLVED", None, [], "NO_CANDIDATE")}
