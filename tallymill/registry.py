@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.plans import billing, checks, oracle, reporting
+from tallymill.plans import billing, checks, oracle, reporting, statements
 from tallymill.plans.queries import QUERIES
 
 FLAGSHIP = "order_settlement_report"
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | reporting.SQL | billing.SQL | checks.SQL
+    return oracle.SQL | reporting.SQL | billing.SQL | checks.SQL | statements.SQL
