@@ -39,21 +39,23 @@ from tallymill.llm.postings import mixed
 from tallymill.llm.storage import written
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
-OVERLAP, EVERY = LONGEST - 1, 16
+OVERLAP, EVERY = LONGEST - 1, 32
 #: Most bits of a map of phrases, and bits for each phrase in it.
-MAX_BITS, BITS_EACH = 1 << 26, 32
+MAX_BITS, BITS_EACH = 1 << 26, 64
 #: Bytes of text parsed at once, and words of chunks counted at once.
-SLICE, WORDS = 1 << 20, 1_000_000
+SLICE, WORDS = 1 << 20, 2_000_000
 #: A language's best phrases are first chosen within so many parts.
 PARTS = 64
 
 CHUNKS = "lang string, chunk string, last boolean"
-COUNTS = "lang string, phrase string, n_words int, n long"
+COUNTS = "lang string, phrase string, n long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE, _END = (np.isin(np.arange(256), list(x)) for x in (b" \t", b".,;:!?\n\x0b\x0c\r"))
 _FACTOR = 0x9E3779B97F4A7C15
+#: The primes of XXH64.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +161,27 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return written(chunks(docs, text_col, lang_col).groupBy("lang", "chunk", "last").agg(F.count("*").alias("n")), "chunks", compression="zstd")
 
 
+def _words_hashed(lang: str, words: pa.Array) -> np.ndarray:
+    """Spark's xxhash64 of (language, word)."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), seed) for w in words.cast(pa.binary())), np.uint64, len(words))
+
+
+def _pairs_hashed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of the hashes of two words."""
+    out = np.uint64(42)
+    one, two, three, four, five = (np.uint64(p) for p in _PRIMES)
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        for value in (first, second):
+            out = (out + five + np.uint64(8)) ^ (turned(value * two, 31) * one)
+            out = turned(out, 27) * one + four
+            out = (out ^ (out >> np.uint64(33))) * two
+            out = (out ^ (out >> np.uint64(29))) * three
+            out = out ^ (out >> np.uint64(32))
+    return out
+
+
 class PhraseMap:
     """A bit map of hashed phrases: tells of any phrase whether it may be one of them."""
 
@@ -167,21 +190,21 @@ class PhraseMap:
 
     @staticmethod
     def of(phrases: DataFrame, count: int) -> PhraseMap:
-        """From lang, phrase; its words are gathered by the tasks, so the driver gets its fixed size at most."""
+        """Of words or pairs, from lang, phrase; the tasks gather its words, so the driver gets its fixed size at most."""
         size = 1 << 12
         while size < min(MAX_BITS, count * BITS_EACH):
             size *= 2
-        place = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(size - 1))
-        words = phrases.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast({} & 63 as int))".format(f"(xxhash64(lang, phrase) & {size - 1}L)")).alias("bit"))
+        parts = F.split("phrase", " ")
+        hashed = [F.xxhash64("lang", F.get(parts, F.lit(i))) for i in range(2)]
+        place = F.when(F.size(parts) == 1, hashed[0]).otherwise(F.xxhash64(*hashed)).bitwiseAND(F.lit(size - 1))
+        words = phrases.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
         bits = np.zeros(size // 64, np.uint64)
         for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
             bits[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
         return PhraseMap(bits)
 
-    def may_have(self, lang: str, phrases: pa.Array) -> np.ndarray:
-        """By phrase; the same hash as Spark's xxhash64 of (lang, phrase)."""
-        seed, mask = xxhash.xxh64_intdigest(lang.encode(), 42), 64 * len(self.bits) - 1
-        place = np.fromiter((xxhash.xxh64_intdigest(p.as_buffer(), seed) & mask for p in phrases.cast(pa.binary())), np.uint64, len(phrases))
+    def may_have(self, hashed: np.ndarray) -> np.ndarray:
+        place = hashed & np.uint64(64 * len(self.bits) - 1)
         return self.bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) != 0
 
 
@@ -208,13 +231,14 @@ def _counted(lang: str, table: pa.Table, sizes: range, words: PhraseMap | None,
         for k in range(0, len(at), 20_000):
             some = at[k : k + 20_000]
             phrase = pc.binary_join_element_wise(*(text.take(pa.array(code[some + i])) for i in range(size)), " ") if size > 1 else text.take(pa.array(code[some]))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), phrase, pa.array(np.full(len(some), size, np.int32)), pa.array(sums[k : k + 20_000])], ["lang", "phrase", "n_words", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), phrase, pa.array(sums[k : k + 20_000])], ["lang", "phrase", "n"])
 
     if words is None:
         at, sums, _ = totals(code[first], weight[first])
         yield from rows(np.flatnonzero(first)[at], 1, sums)
         return
-    usual = words.may_have(lang, text)[code]
+    hashed = _words_hashed(lang, text)
+    usual = words.may_have(hashed)[code]
     usual[:-1] &= usual[1:]
     here = np.flatnonzero(usual & (rest >= 2) & (first if pairs is None else True))
     at, sums, which = totals(code[here] * len(text) + code[here + 1], weight[here])
@@ -224,7 +248,7 @@ def _counted(lang: str, table: pa.Table, sizes: range, words: PhraseMap | None,
     # pairs by number, and the frequent ones' places; a phrase is a row of frequent pairs
     number = np.full(len(code) + LONGEST, -1, np.int64)
     two = here[at]
-    known = pairs.may_have(lang, pc.binary_join_element_wise(text.take(pa.array(code[two])), text.take(pa.array(code[two + 1])), " "))
+    known = pairs.may_have(_pairs_hashed(hashed[code[two]], hashed[code[two + 1]]))
     number[here] = np.where(known[which], which, -1)
     ahead, key = here[number[here] >= 0], None
     key = number[ahead]
@@ -261,11 +285,11 @@ def _phrases(dictionary: DataFrame, sizes: range, words: PhraseMap | None = None
         if held:
             yield from flushed()
 
-    return dictionary.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n"))
+    return dictionary.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """lang, phrase, n_words, n of all phrases of up to LONGEST words with ``least`` occurrences; lang, n of all words."""
+    """lang, phrase, n of all phrases of up to LONGEST words with ``least`` occurrences; lang, n of all words."""
     parsed = dictionary(docs, text_col, lang_col)
     often = F.col("n") >= least
     single = written(_phrases(parsed, range(1, 2)), "words")
@@ -287,8 +311,8 @@ def cut_score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E7
 def collocations(docs: DataFrame, least: int = LEAST, most: int = FIRST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's first ``most`` phrases: lang, rank, phrase, a, l, r, n, score."""
     known, totals = frequent_phrases(docs, least, text_col, lang_col)
-    long = known.where("n_words > 1").withColumnRenamed("n", "a")
     split = F.split("phrase", " ")
+    long = known.withColumn("n_words", F.size(split)).where("n_words > 1").withColumnRenamed("n", "a")
     part = lambda begin, size: F.array_join(F.slice(split, begin, size), " ")
     # what one word more makes as frequent
     shorter = long.where("n_words > 2").select("lang", F.explode(F.array(part(F.lit(1), F.col("n_words") - 1), part(F.lit(2), F.col("n_words") - 1))).alias("phrase"), "a")
