@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.operators import promotions
@@ -10,6 +12,7 @@ from tallymill.plans import relations as r
 from tallymill.plans.oracle import CANONICAL
 from tallymill.plans.queries import query
 from tallymill.sources import canonical as c
+from tallymill.sources import statement
 from tallymill.sources.stored import stored
 from tallymill.workers import find_library
 
@@ -48,7 +51,222 @@ def promotion_combinations(spark: SparkSession, d: str) -> DataFrame:
     return promotions.certified_totals(orders, promotions.candidate_sets(members, candidates))
 
 
+def _week(day: Column) -> Column:
+    """A number of the day's week."""
+    return F.datediff(F.date_trunc("week", day), F.lit("1990-01-01").cast("date"))
+
+
+def _cells(rows: DataFrame, sheet: str, row: Column, values: list[Column]) -> DataFrame:
+    """The cells of one row each: values from the first column on, NULL where a cell is missing; rows has `no`, the file's number."""
+    each = F.posexplode(F.array(*(v.cast("string") for v in values)))
+    cells = rows.select("no", row.cast("int").alias("row"), each.alias("col", "value")).where("value IS NOT NULL")
+    name = F.concat(F.lit("b"), F.col("no").cast("string"))
+    return cells.select(name.alias("path"), F.concat(F.lit("h"), F.col("no").cast("string")).alias("file_hash"), F.lit(sheet).alias("sheet"), "row", "col", "value", F.lit(None).cast("string").alias("error"))
+
+
+def _written_money(amount: Column) -> Column:
+    """As statements write it: RM and separators, or parentheses where negative."""
+    return F.when(amount < 0, F.concat(F.lit("("), F.format_number(-amount, 2), F.lit(")"))).otherwise(F.concat(F.lit("RM "), F.format_number(amount, 2)))
+
+
+def statement_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a statement's sheets for every week of payouts, as `workbook.read_cells` gives them.
+
+    Odd files have their income header below all rows; every third one has a further fee column. Some views, ids, dates and amounts are
+    missing or broken. The adjustments end where a file's total row stands.
+    """
+    key = F.col("order_id").cast("long")
+    ledger = stored(c.ledger(spark, d).where("released IS NOT NULL").select("*", _week(F.col("payout")).alias("no")).drop("components"), "statement-ledger")
+    files = ledger.select("no").distinct()
+    names = statement.COMPONENTS["MY"].strip().splitlines()
+    odd = F.col("no") % 2 == 1
+    heading = _cells(files, "Income", F.lit(1), [F.lit("Order Info"), F.lit(None), F.lit(None), F.lit(" released  AMOUNT details")])
+    header = _cells(files, "Income", F.when(odd, 2_147_000_000).otherwise(2), [F.lit(x) for x in (*statement.INCOME_KEYS, statement.RELEASED["MY"].upper(), *names)])
+    row = F.pmod(key, F.lit(30_000_000)) * 64 + 10
+    own = {"Product Price": _written_money(F.col("product")), "Refund Amount": F.coalesce(_written_money(F.col("refund")), F.lit("0")), "Voucher Sponsored by Seller": _written_money(F.col("discount")), "Transaction Fee (Incl. SST)": F.col("fee").cast("string"), "Ads Escrow Top Up Fee": F.when(key % 45 != 0, "0.00")}
+    view = F.when(key % 40 == 5, "order").when(key % 40 == 6, F.lit(None)).otherwise("Order")
+    created = F.when(key % 33 == 0, "soon").otherwise(F.date_sub("payout", 10).cast("string"))
+    paid = F.when(key % 35 != 0, F.concat(F.col("payout").cast("string"), F.lit(" 00:00:00")))
+    order = _cells(ledger, "Income", row, [key, view, F.when(key % 60 != 6, F.col("order_id")), F.lit(None), F.lit(None), created, paid, F.lit("Bank"), F.lit("Normal"), F.when(key % 41 == 0, "n/a").otherwise(_written_money(F.col("released"))), *(own.get(n, F.lit("0.00")) for n in names)])
+    items = c.items(spark, d).join(ledger.select("order_id", "no"), "order_id")
+    skus = _cells(items, "Income", row + 1 + F.col("item_index"), [key, F.lit("Sku"), F.col("order_id"), F.col("sku"), F.lit(None), F.col("shipped"), F.col("shipped"), F.lit(None), F.lit(None), F.col("subtotal"), F.col("original")])
+    third = F.col("no") % 3 == 0
+    fee_header = _cells(files, "Service Fee Details", F.lit(5), [F.lit("Sequence No."), F.lit("Order  ID"), F.lit("Service Fee"), F.when(third, "Campaign Fee")])
+    fees = _cells(ledger, "Service Fee Details", row, [key, F.when(key % 50 != 1, F.col("order_id")), F.col("fee"), F.when(third & (key % 3 == 0), "(1.50)")])
+    shipping_header = _cells(files, "Shipping Fee Discrepancy", F.lit(1), [F.lit(x) for x in statement.SHIPPING_KEYS])
+    shipping = _cells(ledger.where(key % 10 == 0), "Shipping Fee Discrepancy", row, [F.col("order_id"), F.lit("5.00"), F.when(key % 20 == 0, "6.50").otherwise("unknown"), F.lit("weight")])
+    events = c.adjustments(spark, d).withColumn("no", _week(F.col("day")))
+    of_events = events.select("no").distinct()
+    event_header = _cells(of_events, "Adjustment", F.lit(1), [F.lit(x) for x in statement.ADJUSTMENT_KEYS])
+    number = F.pmod("event_id", F.lit(1_000_000_000)) * 2
+    adjustments = _cells(events, "Adjustment", number + 10, [F.col("event_id"), F.col("day"), F.col("kind"), F.lit("why"), F.when(F.col("event_id") % 30 == 0, "free").otherwise(F.col("amount").cast("string")), F.col("order_id"), F.when(F.col("event_id") % 20 == 0, "later").when(F.col("event_id") % 20 != 1, F.col("day").cast("string"))])
+    totals = _cells(of_events, "Adjustment", 11 + 600 * (1 + F.col("no") % 7), [F.lit("Total  Amount")])
+    every = (heading, header, order, skus, fee_header, fees, shipping_header, shipping, event_header, adjustments, totals)
+    return stored(reduce(DataFrame.unionByName, every), "statement-cells")
+
+
+@query
+def income_components(spark: SparkSession, d: str) -> DataFrame:
+    """Component columns of the income sheets by view: rows, those without an amount, and what they add up to."""
+    rows, _, _ = statement.income_rows(statement_cells(spark, d), "MY")
+    return statement.components(rows, F.col("view_by")).groupBy("record_type", "name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("amount").isNull()).alias("n_missing"), F.sum("amount").alias("amount"))
+
+
+@query
+def statement_value_issues(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the cells of all statement sheets, by code and column."""
+    found = statement_cells(spark, d)
+    sheets = statement.income_rows(found, "MY"), statement.service_fee_rows(found), statement.shipping_rows(found), statement.adjustment_rows(found, "MY")
+    issues = reduce(DataFrame.unionByName, (s[1] for s in sheets))
+    return issues.groupBy("sheet", "code", "column").agg(F.count("*").alias("n_cells"), F.countDistinct("path").alias("n_files"))
+
+
+@query
+def service_fee_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Fee breakdown by the columns that a file has: files, rows, those with an amount, and its sum."""
+    rows, _, _ = statement.service_fee_rows(statement_cells(spark, d))
+    each = rows.select("path", "row", F.array_join("header_set", ", ").alias("columns"), F.explode("components").alias("name", "amount"))
+    return each.groupBy("columns", "name").agg(F.countDistinct("path").alias("n_files"), F.count("*").alias("n_rows"), F.count("amount").alias("n_amounts"), F.sum("amount").alias("amount"))
+
+
+@query
+def adjustment_sheet_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Adjustments above their file's total row, by kind."""
+    rows, _, _ = statement.adjustment_rows(statement_cells(spark, d), "MY")
+    return rows.groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("amount").alias("n_amounts"), F.sum("amount").alias("amount"), F.count("payout").alias("n_paid"))
+
+
+def summary_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a summary sheet for every week of payouts, of market SG (`s` files) in odd weeks.
+
+    By the week's number a line is missing, twice there, in the wrong column, out of order, without an amount, or not one that is known; a
+    header has an amount; the anchor is missing, or the currency; a subtotal is off by a cent.
+    """
+    sums = c.ledger(spark, d).where("released IS NOT NULL").select("*", _week(F.col("payout")).alias("no")).groupBy("no").agg(*(F.coalesce(F.sum(x), F.lit(0)).cast(r.MONEY).alias(x) for x in ("product", "discount", "fee", "refund")))
+    goods = F.col("product") + F.col("discount") + F.col("refund")
+    cent = F.when(F.col("no") % 17 == 3, r.cents(1)).otherwise(r.cents(0))
+    sheets = []
+    for market, rest in (("MY", 0), ("SG", 1)):
+        amounts = {"Original product price": F.col("product"), "Your Seller product promotion": F.col("discount"), "Refund Amount": F.col("refund"), "Merchandise Subtotal": goods + cent, "1. Total Revenue": goods, "Commission Fee (incl. SST)": F.col("fee"), "Commission fee (Incl. GST)": F.col("fee"), "Fees & Charges": F.col("fee"), "2. Total Expenses": F.col("fee"), "3. Total Released Amount": goods + F.col("fee")}
+        no, lines = F.col("no"), []
+        for x in statement.summary_contract(market):
+            put = F.lit(x.place + 5)
+            if x.label == "Voucher & Rebates":
+                put = F.when(no % 19 == 4, 40).otherwise(put)  # after all others
+            amount = amounts.get(x.label, r.cents(0)).cast(r.MONEY).cast("string")
+            if x.kind == "SECTION_HEADER":
+                amount = F.when(no % 23 == 5, "1.00")
+            if x.label == "Actual Shipping Fee":
+                amount = F.when(no % 29 == 6, "none").otherwise(amount)
+            column = F.lit(x.column)
+            if x.label == "AMS Commission Fee":
+                column = F.when(no % 31 == 7, 0).otherwise(column)
+            there = no % 37 != 8 if x.label == "Reverse Shipping Fee" else F.lit(True)
+            lines.append(F.when(there, F.struct(put.alias("row"), column.alias("at"), F.lit(x.label).alias("label"), amount.alias("amount"))))
+        lines.append(F.when(no % 41 == 9, F.struct(F.lit(41).alias("row"), F.lit(0).alias("at"), F.lit("merchandise  subtotal").alias("label"), F.lit("0").alias("amount"))))
+        lines.append(F.when(no % 43 == 10, F.struct(F.lit(42).alias("row"), F.lit(0).alias("at"), F.lit("Something new").alias("label"), F.lit("1").alias("amount"))))
+        anchor = F.when(no % 47 != 11, F.struct(F.lit(2).alias("row"), F.lit(0).alias("at"), F.lit("Income Summary").alias("label"), F.when(no % 53 != 12, "RM").alias("amount")))
+        rows = sums.where(no % 2 == rest).select("no", F.inline(F.array_compact(F.array(anchor, *lines))))
+        place = 3 if market == "SG" else 2
+        there = lambda i: F.when(F.col("at") == i, F.col("label"))
+        amount_at = F.when((F.lit(market) == "SG") & (F.col("at") == 1) & (F.col("row") > 2), 2).otherwise(place)
+        values = [there(0), there(1), *(F.when(amount_at == i, F.col("amount")) for i in (2, 3))]
+        cells = _cells(rows, "Summary", F.col("row"), values)
+        sheets.append(cells.withColumn("path", F.concat(F.lit(market[0].lower()), "path")))
+    return stored(sheets[0].unionByName(sheets[1]), "summary-cells")
+
+
+def _summaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = summary_cells(spark, d)
+    both = [statement.summary_lines(found.where(F.col("path").startswith(m[0].lower())), m) for m in ("MY", "SG")]
+    return both[0][0].unionByName(both[1][0]), both[0][1].unionByName(both[1][1])
+
+
+@query
+def summary_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Summary lines with the line each belongs to: how often, and what they add up to."""
+    lines, _ = _summaries(spark, d)
+    parents = lines.select("path", F.col("row").alias("parent_row"), F.col("label").alias("parent"))
+    return lines.join(parents, ["path", "parent_row"], "left").groupBy(F.substring("path", 1, 1).alias("market"), "label", "kind", "parent").agg(F.count("*").alias("n_lines"), F.sum("amount").alias("amount"))
+
+
+@query
+def summary_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the summary sheets."""
+    return _summaries(spark, d)[1].groupBy(F.substring("path", 1, 1).alias("market"), "code", "detail").agg(F.count("*").alias("n"), F.count("row").alias("n_rows"))
+
+
+@query
+def summary_control_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that others add up to: how often, and how often the sum is another or unknown."""
+    sums = statement.control_sums(_summaries(spark, d)[0])
+    return sums.groupBy(F.substring("path", 1, 1).alias("market"), "label").agg(F.count("*").alias("n_lines"), F.count_if(F.col("difference") != 0).alias("n_off"), F.count_if(F.col("difference").isNull()).alias("n_unknown"), F.sum("n_below").alias("n_below"), F.sum("difference").alias("difference"))
+
+
+def _listed(names: list[str]) -> str:
+    return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+
+
+_INCOME = """
+, lg AS (SELECT order_id, sums.key, released_c, sums.payout, (date_trunc('week', sums.payout)::DATE - DATE '1990-01-01') AS no, product, discount, fee, refund FROM sums JOIN statements_c USING (order_id)),
+it AS (SELECT i.*, no FROM items_c i JOIN lg USING (order_id)),
+fe AS (SELECT *, no % 3 = 0 AS third FROM lg),
+ad AS (SELECT *, (date_trunc('week', day)::DATE - DATE '1990-01-01') AS no FROM adjustments_c),
+ak AS (SELECT * FROM ad WHERE event_id * 2 < 1 + 600 * (1 + no % 7))
+"""
+_SUMMARY = """
+, wk AS (SELECT (date_trunc('week', sums.payout)::DATE - DATE '1990-01-01') AS no, sum(product) AS product, sum(discount) AS discount, sum(fee) AS fee, coalesce(sum(refund), 0) AS refund FROM sums JOIN statements_c USING (order_id) GROUP BY ALL),
+cl AS (SELECT * FROM (VALUES """ + ", ".join(f"('{m[0].lower()}', {x.place}, {_listed([x.label])}, '{x.kind}', {x.level}, {_listed([x.parent]) if x.parent else 'NULL'}, {x.column})" for m in ("MY", "SG") for x in statement.summary_contract(m)) + """) t(market, place, label, kind, level, parent, col)),
+ln AS (SELECT w.no, c.*, CASE WHEN label = 'Voucher & Rebates' AND no % 19 = 4 THEN 40 ELSE place + 5 END AS row, CASE WHEN label = 'AMS Commission Fee' AND no % 31 = 7 THEN 0 ELSE col END AS at,
+         CASE WHEN kind = 'SECTION_HEADER' THEN NULL WHEN label = 'Actual Shipping Fee' AND no % 29 = 6 THEN NULL WHEN market = 's' AND label = 'AMS Commission Fee' AND no % 31 = 7 THEN 0
+              WHEN label = 'Original product price' THEN product WHEN label = 'Your Seller product promotion' THEN discount WHEN label = 'Refund Amount' THEN refund WHEN label = 'Merchandise Subtotal' THEN product + discount + refund + CASE WHEN no % 17 = 3 THEN 1 ELSE 0 END
+              WHEN label = '1. Total Revenue' THEN product + discount + refund WHEN label IN ('Commission Fee (incl. SST)', 'Commission fee (Incl. GST)', 'Fees & Charges', '2. Total Expenses') THEN fee WHEN label = '3. Total Released Amount' THEN product + discount + refund + fee ELSE 0 END AS amount
+       FROM wk w JOIN cl c ON c.market = CASE WHEN no % 2 = 0 THEN 'm' ELSE 's' END WHERE no % 47 <> 11 AND NOT (label = 'Reverse Shipping Fee' AND no % 37 = 8)
+       UNION ALL SELECT no, market, place, label, kind, level, parent, col, 41, 0, 0 FROM wk JOIN cl ON market = CASE WHEN no % 2 = 0 THEN 'm' ELSE 's' END AND label = 'Merchandise Subtotal' WHERE no % 47 <> 11 AND no % 41 = 9),
+pr AS (SELECT *, max(CASE WHEN level = 0 THEN row END) OVER w AS open0, max(CASE WHEN level = 1 THEN row END) OVER w AS open1, lag(place) OVER (PARTITION BY no ORDER BY row) AS before, count(*) OVER (PARTITION BY no, label) AS n_same FROM ln WINDOW w AS (PARTITION BY no ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pl AS (SELECT p.*, q.label AS found, q.row AS parent_row FROM pr p LEFT JOIN ln q ON q.no = p.no AND q.row = CASE p.level WHEN 1 THEN open0 WHEN 2 THEN greatest(open0, open1) END)
+"""
+
 BODIES = {
+    "income_components": _INCOME + f"""
+, nm AS (SELECT unnest([{_listed(statement.COMPONENTS["MY"].strip().splitlines())}]) AS name),
+x AS (SELECT CASE WHEN key % 40 = 5 THEN 'order' WHEN key % 40 = 6 THEN '' ELSE 'Order' END AS record_type, name,
+             CASE name WHEN 'Product Price' THEN product WHEN 'Refund Amount' THEN coalesce(refund, 0) WHEN 'Voucher Sponsored by Seller' THEN discount WHEN 'Transaction Fee (Incl. SST)' THEN fee WHEN 'Ads Escrow Top Up Fee' THEN CASE WHEN key % 45 <> 0 THEN 0 END ELSE 0 END AS a FROM lg, nm
+      UNION ALL SELECT 'Sku', name, CASE WHEN name = 'Product Price' THEN original_c END FROM it, nm)
+SELECT record_type, name, count(*) AS n_rows, count(*) FILTER (a IS NULL) AS n_missing, sum(a) / 100.0 AS amount FROM x GROUP BY ALL""",
+    "statement_value_issues": _INCOME + """
+, x AS (SELECT 'Income' AS sheet, 'unrecognized_income_row' AS code, 'View By' AS col, no FROM lg WHERE key % 120 = 6
+        UNION ALL SELECT 'Income', 'invalid_view_by', 'View By', no FROM lg WHERE key % 40 = 5 OR (key % 40 = 6 AND key % 60 <> 6)
+        UNION ALL SELECT 'Income', 'missing_order_id', 'Order ID', no FROM lg WHERE key % 60 = 6 AND key % 40 <> 6
+        UNION ALL SELECT 'Income', 'invalid_order_creation_date', 'Order Creation Date', no FROM lg WHERE key % 33 = 0 AND key % 120 <> 6
+        UNION ALL SELECT 'Income', 'invalid_payout_completed_date', 'Payout Completed Date', no FROM lg WHERE key % 35 = 0 AND key % 120 <> 6
+        UNION ALL SELECT 'Income', 'invalid_total_released', 'Total Released Amount (RM)', no FROM lg WHERE key % 41 = 0 AND key % 120 <> 6
+        UNION ALL SELECT 'Income', 'invalid_financial_component', 'Ads Escrow Top Up Fee', no FROM lg WHERE key % 45 = 0 AND key % 40 NOT IN (5, 6)
+        UNION ALL SELECT 'Service Fee Details', 'missing_service_fee_order_id', 'Order ID', no FROM fe WHERE key % 50 = 1
+        UNION ALL SELECT 'Service Fee Details', 'invalid_service_fee_component', 'Campaign Fee', no FROM fe WHERE third AND key % 3 <> 0
+        UNION ALL SELECT 'Shipping Fee Discrepancy', 'invalid_actual_shipping_fee', 'Actual Shipping Fee Charged by Logistic Provider:', no FROM lg WHERE key % 20 = 10
+        UNION ALL SELECT 'Adjustment', 'invalid_adjustment_amount', 'Adjustment Amount', no FROM ak WHERE event_id % 30 = 0
+        UNION ALL SELECT 'Adjustment', 'invalid_adjustment_payout_date', 'Payout Completed Date', no FROM ak WHERE event_id % 20 = 0)
+SELECT sheet, code, col AS "column", count(*) AS n_cells, count(DISTINCT no) AS n_files FROM x GROUP BY ALL""",
+    "service_fee_columns": _INCOME + """
+, x AS (SELECT no, CASE WHEN third THEN 'Service Fee, Campaign Fee' ELSE 'Service Fee' END AS columns, 'Service Fee' AS name, fee AS a FROM fe UNION ALL SELECT no, 'Service Fee, Campaign Fee', 'Campaign Fee', CASE WHEN key % 3 = 0 THEN -150 END FROM fe WHERE third)
+SELECT columns, name, count(DISTINCT no) AS n_files, count(*) AS n_rows, count(a) AS n_amounts, sum(a) / 100.0 AS amount FROM x GROUP BY ALL""",
+    "adjustment_sheet_rows": _INCOME + "SELECT kind, count(*) AS n_rows, count(*) FILTER (event_id % 30 <> 0) AS n_amounts, sum(amount_c) FILTER (event_id % 30 <> 0) / 100.0 AS amount, count(*) FILTER (event_id % 20 > 1) AS n_paid FROM ak GROUP BY ALL",
+    "summary_hierarchy": _SUMMARY + "SELECT market, label, kind, found AS parent, count(*) AS n_lines, sum(amount) / 100.0 AS amount FROM pl GROUP BY ALL",
+    "summary_violations": _SUMMARY + """
+, v AS (SELECT market, 'WRONG_COLUMN' AS code, label AS detail, row FROM pl WHERE pl.at <> pl.col
+        UNION ALL SELECT market, 'HEADER_WITH_AMOUNT', label, row FROM pl WHERE kind = 'SECTION_HEADER' AND no % 23 = 5 UNION ALL SELECT market, 'NO_AMOUNT', label, row FROM pl WHERE kind <> 'SECTION_HEADER' AND amount IS NULL
+        UNION ALL SELECT market, 'DUPLICATE_LINE', label, row FROM pl WHERE n_same > 1 UNION ALL SELECT market, 'OUT_OF_ORDER', label, row FROM pl WHERE before > place UNION ALL SELECT market, 'WRONG_PARENT', label, row FROM pl WHERE parent IS DISTINCT FROM found
+        UNION ALL SELECT CASE WHEN no % 2 = 0 THEN 'm' ELSE 's' END, 'UNSUPPORTED_LINE', 'Something new', 42 FROM wk WHERE no % 43 = 10 AND no % 47 <> 11
+        UNION ALL SELECT CASE WHEN no % 2 = 0 THEN 'm' ELSE 's' END, 'MISSING_LINE', 'Reverse Shipping Fee', NULL FROM wk WHERE no % 37 = 8 AND no % 47 <> 11
+        UNION ALL SELECT CASE WHEN no % 2 = 0 THEN 'm' ELSE 's' END, 'ANCHOR', '0', NULL FROM wk WHERE no % 47 = 11 UNION ALL SELECT CASE WHEN no % 2 = 0 THEN 'm' ELSE 's' END, 'CURRENCY', '0', NULL FROM wk WHERE no % 53 = 12 AND no % 47 <> 11)
+SELECT market, code, detail, count(*) AS n, count(row) AS n_rows FROM v GROUP BY ALL""",
+    "summary_control_sums": _SUMMARY + """
+, b AS (SELECT no, parent_row AS row, count(*) AS n_below, CASE WHEN count(*) = count(amount) THEN sum(amount) END AS below FROM pl WHERE parent_row IS NOT NULL AND kind <> 'REFERENCE' GROUP BY ALL),
+t AS (SELECT *, max(row) OVER (PARTITION BY no) AS last_row FROM pl WHERE kind = 'TOTAL'),
+s AS (SELECT market, label, amount, n_below, below FROM pl JOIN b USING (no, row) WHERE kind IN ('TOTAL', 'SUBTOTAL')
+      UNION ALL SELECT market, label, amount, n_below, below FROM t JOIN (SELECT no, count(*) AS n_below, sum(amount) AS below FROM t WHERE row < last_row GROUP BY ALL) USING (no) WHERE row = last_row)
+SELECT market, label, count(*) AS n_lines, count(*) FILTER (amount <> below) AS n_off, count(*) FILTER (below IS NULL) AS n_unknown, sum(n_below)::BIGINT AS n_below, sum(amount - below) / 100.0 AS difference FROM s GROUP BY ALL""",
     "promotion_combinations": """
 , it AS (SELECT order_id, key, item_index, original_c, subtotal_c, CASE WHEN flag <> 'N' THEN order_id || '/' || flag || (quantity % 3)::INT END AS gid FROM items_c),
 sm AS (SELECT order_id, key, gid, sum(subtotal_c) AS cont, sum(original_c) AS bef, max(subtotal_c) AS largest, count(*) AS n FROM it WHERE gid IS NOT NULL GROUP BY ALL),
