@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators import promotions
+from tallymill.operators import overlap, promotions
 from tallymill.plans import relations as r
 from tallymill.plans.oracle import CANONICAL
 from tallymill.plans.queries import query
@@ -203,6 +203,56 @@ def summary_control_sums(spark: SparkSession, d: str) -> DataFrame:
     return sums.groupBy(F.substring("path", 1, 1).alias("market"), "label").agg(F.count("*").alias("n_lines"), F.count_if(F.col("difference") != 0).alias("n_off"), F.count_if(F.col("difference").isNull()).alias("n_unknown"), F.sum("n_below").alias("n_below"), F.sum("difference").alias("difference"))
 
 
+def _periods(spark: SparkSession, d: str) -> DataFrame:
+    """id, period_from, period_to: weeks and months of payouts, single days of adjustments, and one period that spans all; some have no end or end early."""
+    ledger = c.ledger(spark, d).where("released IS NOT NULL").select("payout")
+    month = F.date_trunc("month", "payout").cast("date")
+    weeks = ledger.select(F.date_trunc("week", "payout").cast("date").alias("period_from")).distinct().select("period_from", F.date_add("period_from", 6).alias("period_to"), F.lit("w").alias("kind"))
+    months = ledger.select(month.alias("period_from"), F.last_day("payout").alias("period_to")).distinct().withColumn("kind", F.lit("m"))
+    days = c.adjustments(spark, d).select(F.col("day").alias("period_from")).distinct().select("period_from", F.when(F.dayofmonth("period_from") % 7 != 0, F.when(F.dayofmonth("period_from") % 5 == 0, F.date_sub("period_from", 1)).otherwise(F.col("period_from"))).alias("period_to"), F.lit("d").alias("kind"))
+    whole = ledger.agg(F.min("payout").alias("period_from"), F.max("payout").alias("period_to")).withColumn("kind", F.lit("all"))
+    every = reduce(DataFrame.unionByName, (weeks, months, days, whole))
+    return every.select(F.concat("kind", F.date_format("period_from", "yyyyMMdd")).alias("id"), "period_from", "period_to")
+
+
+@query
+def period_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Statement periods that share days, with the days they share."""
+    return overlap.period_overlaps(_periods(spark, d))
+
+
+def _arrivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(incoming rows, committed rows, incoming files, committed files) by the number of the week.
+
+    Six of seven weeks are committed, some orders twice with other facts. Files come again as they were, under another hash, with amounts that are
+    off, with orders that are new, or with new orders only.
+    """
+    key, no = F.col("order_id").cast("long"), F.col("no")
+    ledger = stored(c.ledger(spark, d).where("released IS NOT NULL").select("order_id", "payout", "released", _week(F.col("payout")).alias("no")), "arrivals")
+    is_new = ((no % 5 == 3) & (key % 3 == 0)) | (no % 5 == 4)
+    incoming = ledger.select(no.cast("string").alias("batch_id"), F.when(is_new, F.concat("order_id", F.lit("n"))).otherwise(F.col("order_id")).alias("order_id"), F.when(key % 10 != 0, F.col("payout")).alias("payout"), (F.col("released") + F.when((no % 5 == 2) & (key % 4 == 0), r.cents(1)).otherwise(r.cents(0))).cast(r.MONEY).alias("released"))
+    facts = ledger.where(F.floor(no / 7) % 7 != 6).select("order_id", F.when(key % 10 != 0, F.col("payout")).alias("payout"), "released")
+    twice = facts.where(key % 97 == 5).withColumn("released", (F.col("released") + r.cents(5)).cast(r.MONEY))
+    weeks = ledger.select("no").distinct()
+    first = F.date_add(F.lit("1990-01-01").cast("date"), no)
+    file = lambda mark: [no.cast("string").alias("batch_id"), F.concat(F.lit(mark), no.cast("string")).alias("file_hash"), first.alias("period_from"), F.date_add(first, 6).alias("period_to")]
+    files = weeks.where(no % 5 == 0).select(*file("h")).unionByName(weeks.where(no % 5 != 0).select(*file("other")))
+    return incoming, facts.unionByName(twice), files, weeks.where(F.floor(no / 7) % 7 != 6).select(*file("h"))
+
+
+@query
+def statement_standing(spark: SparkSession, d: str) -> DataFrame:
+    """Every file that arrives: already there, in conflict with what is there, partly there, or new."""
+    return overlap.statement_standing(*_arrivals(spark, d), ["payout", "released"])
+
+
+@query
+def statement_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the files' periods alone."""
+    found = overlap.statement_standing(*_arrivals(spark, d), ["payout", "released"], by_evidence=False)
+    return found.groupBy("standing").agg(F.count("*").alias("n_files"), F.sum("n_orders").alias("n_orders"))
+
+
 def _listed(names: list[str]) -> str:
     return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
 
@@ -227,7 +277,25 @@ pr AS (SELECT *, max(CASE WHEN level = 0 THEN row END) OVER w AS open0, max(CASE
 pl AS (SELECT p.*, q.label AS found, q.row AS parent_row FROM pr p LEFT JOIN ln q ON q.no = p.no AND q.row = CASE p.level WHEN 1 THEN open0 WHEN 2 THEN greatest(open0, open1) END)
 """
 
+_ARRIVALS = """
+, lg AS (SELECT order_id, sums.key, sums.payout, released_c, (date_trunc('week', sums.payout)::DATE - DATE '1990-01-01') AS no FROM sums JOIN statements_c USING (order_id)),
+inc AS (SELECT no, CASE WHEN (no % 5 = 3 AND key % 3 = 0) OR no % 5 = 4 THEN order_id || 'n' ELSE order_id END AS order_id, CASE WHEN key % 10 <> 0 THEN payout END AS payout, released_c + CASE WHEN no % 5 = 2 AND key % 4 = 0 THEN 1 ELSE 0 END AS rel FROM lg),
+com AS (SELECT order_id, CASE WHEN key % 10 <> 0 THEN payout END AS payout, released_c AS rel FROM lg WHERE no // 7 % 7 <> 6 UNION ALL SELECT order_id, CASE WHEN key % 10 <> 0 THEN payout END, released_c + 5 FROM lg WHERE no // 7 % 7 <> 6 AND key % 97 = 5),
+kn AS (SELECT order_id, count(DISTINCT (payout, rel)) AS k, any_value(payout) AS payout, any_value(rel) AS rel FROM com GROUP BY order_id),
+ev AS (SELECT i.no, i.order_id, k IS NOT NULL AND (k > 1 OR i.payout IS DISTINCT FROM n.payout OR i.rel IS DISTINCT FROM n.rel) AS conflict, k IS NOT NULL AND k = 1 AND i.payout IS NOT DISTINCT FROM n.payout AND i.rel IS NOT DISTINCT FROM n.rel AS dup FROM inc i LEFT JOIN kn n USING (order_id)),
+st AS (SELECT no, count(*) AS n_orders, count(*) FILTER (dup) AS n_duplicate, count(*) FILTER (conflict) AS n_conflict FROM ev GROUP BY no)
+"""
 BODIES = {
+    "period_overlaps": """
+, lg AS (SELECT sums.payout FROM sums JOIN statements_c USING (order_id)),
+p AS (SELECT DISTINCT 'w' AS kind, date_trunc('week', payout)::DATE AS f, date_trunc('week', payout)::DATE + 6 AS t FROM lg UNION ALL SELECT DISTINCT 'm', date_trunc('month', payout)::DATE, last_day(payout) FROM lg
+      UNION ALL SELECT DISTINCT 'd', day, CASE WHEN dayofmonth(day) % 7 <> 0 THEN CASE WHEN dayofmonth(day) % 5 = 0 THEN day - 1 ELSE day END END FROM adjustments_c UNION ALL SELECT 'all', min(payout), max(payout) FROM lg),
+q AS (SELECT kind || strftime(f, '%Y%m%d') AS id, f, t FROM p WHERE f <= t)
+SELECT a.id AS earlier_id, b.id AS later_id, b.f AS first_day, least(a.t, b.t) AS last_day, (least(a.t, b.t) - b.f)::INTEGER + 1 AS n_days, a.f = b.f AND a.t = b.t AS same FROM q a JOIN q b ON a.f <= b.t AND b.f <= a.t AND (b.f > a.f OR (b.f = a.f AND b.id > a.id))""",
+    "statement_standing": _ARRIVALS + """
+SELECT no::VARCHAR AS batch_id, CASE WHEN no % 5 = 0 AND no // 7 % 7 <> 6 THEN 'ALREADY_IMPORTED' WHEN n_duplicate = n_orders AND n_conflict = 0 THEN 'ALREADY_IMPORTED' WHEN n_conflict > 0 THEN 'SETTLEMENT_EVIDENCE_CONFLICT' WHEN n_duplicate > 0 THEN 'PARTIAL_DUPLICATE' ELSE 'NEW' END AS standing, n_orders, n_duplicate, n_conflict FROM st""",
+    "statement_revisions": _ARRIVALS + """
+SELECT CASE WHEN no % 5 = 0 AND no // 7 % 7 <> 6 THEN 'ALREADY_IMPORTED' WHEN no // 7 % 7 <> 6 THEN 'POSSIBLE_REVISION' ELSE 'NEW' END AS standing, count(*) AS n_files, sum(n_orders)::BIGINT AS n_orders FROM st GROUP BY ALL""",
     "income_components": _INCOME + f"""
 , nm AS (SELECT unnest([{_listed(statement.COMPONENTS["MY"].strip().splitlines())}]) AS name),
 x AS (SELECT CASE WHEN key % 40 = 5 THEN 'order' WHEN key % 40 = 6 THEN '' ELSE 'Order' END AS record_type, name,

@@ -57,3 +57,46 @@ def test_a_version_is_published_only_when_nothing_is_violated(spark, tmp_path):
     assert published.current(spark, folder).count() == 2
     assert published.digest(two, ["k"]).first().asDict() == published.digest(two.orderBy("v"), ["k"]).first().asDict()
     assert published.digest(two, ["k"]).first()["row_xor"] != published.digest(one, ["k"]).first()["row_xor"]
+
+
+def test_a_set_of_relations_is_committed_whole(spark, tmp_path):
+    folder = (tmp_path / "set").as_uri()
+    assert published.manifest(spark, folder) is None and published.read_set(spark, folder) == {} and published.unverified(spark, folder) == []
+    orders, lines = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"), spark.createDataFrame([], "k string, w double")
+    first = published.commit_set({"orders": orders, "lines": lines}, folder, "batch 1", None)
+    assert first["version"] == 1
+    assert {name: sorted(map(tuple, df.collect()), key=str) for name, df in published.read_set(spark, folder).items()} == {"orders": [("a", 1), (None, 2)], "lines": []}
+    broken = spark.createDataFrame([("b", 3.0)], "k string, w double").withColumn("w", F.raise_error(F.lit("no")).cast("double"))
+    newer = spark.createDataFrame([("b", 9)], "k string, v int")
+    with pytest.raises(Exception, match="no"):  # between the two relations
+        published.commit_set({"orders": newer, "lines": broken}, folder, "batch 2", 1)
+    assert published.manifest(spark, folder) == first and published.read_set(spark, folder)["orders"].count() == 2
+    assert len(list((tmp_path / "set" / "data").iterdir())) == 1  # nothing is left of it
+    with pytest.raises(InvariantError):
+        published.commit_set({"orders": newer}, folder, "batch 2", 1, lambda made: {"too_large": made["orders"].where("v > 5")})
+    second = published.commit_set({"orders": newer}, folder, "batch 2", 1)
+    assert second["version"] == 2 and second["relations"]["lines"] == first["relations"]["lines"]
+    assert published.read_set(spark, folder)["orders"].collect()[0]["v"] == 9
+    assert published.commit_set({"orders": orders}, folder, "batch 1", 2) == first  # a replay
+    with pytest.raises(published.StaleBaseline):
+        published.commit_set({"orders": orders}, folder, "batch 3", 1)
+    with pytest.raises(published.StaleBaseline):  # another commit gets there between reading and naming
+        published._Folder(spark, folder).write_manifest(2, {})
+    assert published.unverified(spark, folder) == []
+
+
+def test_what_is_written_is_computed_once(spark, tmp_path):
+    """Rows that differ each time they are computed."""
+    folder = (tmp_path / "set").as_uri()
+    published.commit_set({"r": spark.range(50).withColumn("x", F.rand())}, folder, "b", None)
+    assert published.unverified(spark, folder) == []
+    path = published.manifest(spark, folder)["relations"]["r"]
+    spark.range(3).withColumn("x", F.rand()).write.mode("append").parquet(path)
+    assert published.unverified(spark, folder) == ["r"]
+
+
+def test_a_manifest_that_is_being_written_is_not_there_yet(spark, tmp_path):
+    folder = (tmp_path / "set").as_uri()
+    made = published.commit_set({"r": spark.range(2)}, folder, "b", None)
+    (tmp_path / "set" / "manifests" / "000000000002.json").write_text('{"version": 2, "rel')
+    assert published.manifest(spark, folder) == made and published.read_set(spark, folder)["r"].count() == 2

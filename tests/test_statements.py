@@ -9,7 +9,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import promotions
+from tallymill.operators import overlap, promotions
 from tallymill.sources import statement, workbook
 
 MEMBER = "order_id string, group_id string, group_total decimal(18,2), status string, advertised decimal(18,2)"
@@ -182,3 +182,35 @@ def test_columns_that_the_header_names(spark, tmp_path):
     assert [(r["sequence_no"], r["amount"], r["payout"]) for r in rows.collect()] == [("1", D("-3.00"), None)]
     assert [r["code"] for r in issues.collect()] == ["invalid_adjustment_payout_date"]
     assert statement.adjustment_rows(found, "SG")[1].count() == 0
+
+
+# periods and what is committed
+
+
+def test_period_overlaps_against_all_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(f"p{i}", d := date.fromordinal(730000 + r.randint(0, 400)), date.fromordinal(d.toordinal() + r.choice([0, 0, 6, 30, -1]))) for i in range(120)]
+    rows += [("long", date(1990, 1, 1), date(2010, 1, 1)), ("twin", date(1990, 1, 1), date(2010, 1, 1)), ("open", date(1999, 1, 1), None), ("none", None, None)]
+    want = set()
+    for a, af, at in rows:
+        for b, bf, bt in rows:
+            if None in (af, at, bf, bt) or af > at or bf > bt or (af, a) >= (bf, b):
+                continue
+            if bf <= at:
+                want.add((a, b, bf, min(at, bt), (min(at, bt) - bf).days + 1, (af, at) == (bf, bt)))
+    for bucket in (1, 14, 1000):
+        monkeypatch.setattr(overlap, "BUCKET", bucket)
+        got = [tuple(x) for x in overlap.period_overlaps(spark.createDataFrame(rows, "id string, period_from date, period_to date")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_statement_standing(spark):
+    row, file = "batch_id string, order_id string, released decimal(18,2)", "batch_id string, file_hash string, period_from date, period_to date"
+    committed = spark.createDataFrame([("x", "o1", D(1)), ("x", "o2", None), ("x", "o3", D(3)), ("y", "o3", D(4)), ("x", "", D(1))], row)
+    incoming = [("all", "o1", D(1)), ("all", "o2", None), ("off", "o1", D(2)), ("two", "o3", D(3)), ("some", "o1", D(1)), ("some", "o9", D(1)), ("new", "o9", D(1)), ("same", "o9", D(1)), ("blank", "", D(1)), ("both", "o1", D(1)), ("both", "o1", D(2))]
+    day = date(2024, 1, 1)
+    files = spark.createDataFrame([(b, "h" if b == "same" else b, day, date(2024, 1, 8 if b == "new" else 7)) for b in ("all", "off", "two", "some", "new", "same", "blank", "both", "empty")], file)
+    known = spark.createDataFrame([("x", "h", day, date(2024, 1, 7))], file)
+    ways = [{r["batch_id"]: r["standing"] for r in overlap.statement_standing(spark.createDataFrame(incoming, row), committed, files, known, ["released"], by_evidence=e).collect()} for e in (True, False)]
+    assert ways[0] == {"all": "ALREADY_IMPORTED", "same": "ALREADY_IMPORTED", "off": "SETTLEMENT_EVIDENCE_CONFLICT", "two": "SETTLEMENT_EVIDENCE_CONFLICT", "both": "SETTLEMENT_EVIDENCE_CONFLICT", "some": "PARTIAL_DUPLICATE", "new": "NEW", "blank": "NEW", "empty": "NEW"}
+    assert ways[1] == {b: "ALREADY_IMPORTED" if b == "same" else "NEW" if b == "new" else "POSSIBLE_REVISION" for b in ways[0]}
