@@ -33,6 +33,22 @@ def _nav(value: Column) -> Column:
     return F.lower(F.trim(F.coalesce(value, F.lit(""))))
 
 
+def keyed(side: DataFrame) -> DataFrame:
+    """Rows, items or families with their texts as comparison keys (name_key, variation_key), SKUs and NAVs as text; what is
+    keyed stays as it is. The keys take a pass in Python, so callers store the result."""
+    if "name_key" in side.columns:
+        return side
+    out = side.withColumn("name_key", statement_name(F.col("name")))
+    if "variation" in side.columns:
+        out = out.withColumn("variation_key", statement_name(F.col("variation")))
+    return out.withColumns({c: f(F.col(c)) for c, f in (("sku", sku_text), ("parent_sku", sku_text), ("nav", _nav)) if c in side.columns})
+
+
+def _promoted() -> Column:
+    """Has an item any mark of a promotion?"""
+    return F.coalesce(F.greatest(*(F.length(F.col(c).cast("string")) for c in ("promotion", "label", "group_total"))) > 0, F.lit(False))
+
+
 def family_items(rows: DataFrame, items: DataFrame, families: DataFrame) -> DataFrame:
     """The items of each order that are in the family of a product on its statement rows.
 
@@ -41,9 +57,8 @@ def family_items(rows: DataFrame, items: DataFrame, families: DataFrame) -> Data
     listings that the item is linked to), agrees (those have the item's NAV, variation and price), n_products (how
     many of the order's products have a family that the item alone would be in).
     """
-    keys = lambda df: df.select(*(c for c in df.columns if c not in ("sku", "name", "variation", "nav")), sku_text(F.col("sku")).alias("sku"), statement_name(F.col("name")).alias("name_key"), statement_name(F.col("variation")).alias("variation_key"), _nav(F.col("nav")).alias("nav"))
-    ours = keys(items.select("order_id", "item_index", "sku", "name", "variation", "nav", "unit_price"))
-    listed = keys(families).select("product_id", F.col("sku").alias("own_sku"), sku_text(F.col("parent_sku")).alias("parent_sku"), F.col("name_key").alias("family_name"), F.col("variation_key").alias("family_variation"), F.col("nav").alias("family_nav"), "price").distinct()
+    ours = keyed(items).select("order_id", "item_index", "sku", "name_key", "variation_key", "nav", "unit_price")
+    listed = keyed(families).select("product_id", F.col("sku").alias("own_sku"), "parent_sku", F.col("name_key").alias("family_name"), F.col("variation_key").alias("family_variation"), F.col("nav").alias("family_nav"), "price").distinct()
     has_sku = F.col("sku") != ""
     ties = (has_sku & (F.col("sku") == F.col("own_sku")), has_sku & (F.col("sku") == F.col("parent_sku")), (F.col("name_key") == F.col("family_name")) & (F.col("variation_key") == F.col("family_variation")))
     every = None
@@ -64,10 +79,8 @@ def edges(rows: DataFrame, items: DataFrame, family: DataFrame, tolerance: str =
 
     consistency: EXACT, SAFE (equal keys, or the family's name is the statement's) or CONFLICT.
     """
-    keyed = lambda df: df.withColumn("key", statement_name(F.col("name")))
-    promoted = sum((F.coalesce(F.col(c).cast("string") != "", F.lit(False)).cast("int") for c in ("promotion", "label", "group_total")), F.lit(0)) > 0
-    ours = keyed(items).select("order_id", "item_index", F.trim("name").alias("item_name"), F.col("key").alias("item_key"), "subtotal", promoted.alias("promoted"))
-    pairs = keyed(rows).join(family, ["order_id", "product_id"]).join(ours, ["order_id", "item_index"])
+    ours = keyed(items).select("order_id", "item_index", F.trim("name").alias("item_name"), F.col("name_key").alias("item_key"), "subtotal", _promoted().alias("promoted"))
+    pairs = keyed(rows).withColumnRenamed("name_key", "key").join(family, ["order_id", "product_id"]).join(ours, ["order_id", "item_index"])
     same = F.coalesce((F.trim("name") != "") & (F.trim("name") == F.col("item_name")), F.lit(False))
     by_key = (F.col("key") != "") & (F.col("key") == F.col("item_key"))
     by_family = (F.col("key") != "") & F.array_contains("family_names", F.col("key"))
@@ -94,10 +107,9 @@ def promotion_groups(rows: DataFrame, items: DataFrame, family: DataFrame, pairs
     or, where no pair is preferred, in several.
     """
     filled = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False))
-    promoted = sum((F.coalesce(F.col(c).cast("string") != "", F.lit(False)).cast("int") for c in ("promotion", "label", "group_total")), F.lit(0)) > 0
     counted = F.coalesce(F.col("quantity") > 0, F.lit(False))
-    complete = counted & F.when(promoted, filled("promotion") & F.col("group_total").isNotNull()).otherwise(F.col("subtotal").isNotNull())
-    facts = items.select("order_id", "item_index", promoted.alias("promoted"), complete.alias("complete"), F.struct(sku_text(F.col("sku")).alias("sku"), _nav(F.col("nav")).alias("nav"), statement_name(F.col("variation")).alias("variation"), F.col("unit_price").alias("price")).alias("thing"))
+    complete = counted & F.when(_promoted(), filled("promotion") & F.col("group_total").isNotNull()).otherwise(F.col("subtotal").isNotNull())
+    facts = keyed(items).select("order_id", "item_index", _promoted().alias("promoted"), complete.alias("complete"), F.struct("sku", "nav", F.col("variation_key").alias("variation"), F.col("unit_price").alias("price")).alias("thing"))
     own = family.join(facts, ["order_id", "item_index"])
     one = F.first("thing")
     of_items = own.groupBy("order_id", "product_id").agg(
@@ -166,6 +178,7 @@ def identities(rows: DataFrame, items: DataFrame, families: DataFrame, tolerance
 
     Promotion groups come first, then preferred pairs, then the order's products by their id.
     """
+    rows, items, families = (x if "name_key" in x.columns else stored(keyed(x), "keyed") for x in (rows, items, families))
     family = stored(family_items(rows, items, families), "family-items")
     pairs = stored(edges(rows, items, family, tolerance), "family-edges")
     groups = stored(promotion_groups(rows, items, family, pairs), "promotion-groups")
