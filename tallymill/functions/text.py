@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,16 +76,25 @@ def statement_name(text: Column) -> Column:
     return spaced(F.regexp_replace(plain_or(F.coalesce(text, F.lit("")), compatible), r"(?<!\w)&(?!\w)", " and "))
 
 
-#: Word breaks of the source layout and their repairs.
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """NFKC."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+#: Word breaks of the source layout and their repairs; the characters between which a gap is layout, too.
 BROKEN_WORDS = (("F ree", "Free"), ("Ba sed", "Based"), ("Be st", "Best"))
+UNSPACED = r"[\u3400-\u9fff]"
 
 
 def title(text: Column) -> Column:
-    """A product title for display: no pre-order mark, repaired word breaks, no gaps between CJK characters."""
-    out = F.regexp_replace(F.trim(text), r"(?i)^pre-order\s+", "")
-    for broken, whole in BROKEN_WORDS:
-        out = F.replace(out, F.lit(broken), F.lit(whole))
-    return spaced(F.regexp_replace(out, r"(?<=[\u3400-\u9fff])\s+(?=[\u3400-\u9fff])", ""))
+    """A product title for display, from its compatibility form: without a pre-order mark in front, broken words whole again, no
+    gap inside unspaced scripts, and single spaces elsewhere."""
+    ascii_only = text.rlike(r"^\p{ASCII}*$")
+    form = F.trim(F.when(ascii_only, text).otherwise(composed(F.when(~ascii_only, text))))
+    named = F.regexp_replace(form, r"^(?i:pre-order)\s+", "")
+    whole = reduce(lambda out, repair: F.replace(out, *map(F.lit, repair)), BROKEN_WORDS, named)
+    return spaced(F.regexp_replace(whole, rf"({UNSPACED})\s+(?={UNSPACED})", "$1"))
 
 
 #: The platforms by their display names.

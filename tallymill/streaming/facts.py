@@ -3,8 +3,8 @@
 A change names an order and the revision that changed it. Each revision recomputes only its orders
 and replaces their facts; an order without components loses its fact. ``publish`` is the body of a
 ``foreachBatch``: versions are written beside each other, and a batch reads the newest complete one
-before its own, so a batch that is run again has the same result. A feed whose revisions have gaps
-isn't published.
+before its own, so a batch that is run again has the same result. A feed whose revisions have gaps,
+inside a batch or since the version before, isn't published.
 """
 
 from __future__ import annotations
@@ -55,10 +55,20 @@ def newest(spark: SparkSession, folder: str, schema: str, below: int | None = No
     return spark.read.schema(schema).parquet(f"{folder}/{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
+def last_revision(spark: SparkSession, folder: str, below: int) -> int | None:
+    """The last revision of the newest version below a number that has taken in revisions; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/revisions")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    seen = spark.read.schema("number long, revision long").option("recursiveFileLookup", True).json(f"{folder}/revisions").where(F.col("number") < below)
+    return seen.agg(F.max("revision")).first()[0]
+
+
 def publish(components: DataFrame, folder: str, schema: str):  # noqa: ANN201
     """A foreachBatch function: batch n makes version n from the newest one below it.
 
-    Where the feed has revisions, those of a batch must follow on each other without a gap.
+    Where the feed has revisions, they must follow on those of the version before without a gap; revisions that have been
+    taken in before may come again. Each version's last revision is written beside it, before it.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -67,7 +77,12 @@ def publish(components: DataFrame, folder: str, schema: str):  # noqa: ANN201
         if "revision" in batch.columns:
             ends = batch.agg(F.min("revision").alias("first"), F.max("revision").alias("last")).first()
             if ends["first"] is not None:
-                require_none(missing_revisions=coverage_gaps(batch, ends["first"], ends["last"]))
+                before = last_revision(spark, folder, number)
+                start = ends["first"] if before is None else before + 1
+                if start <= ends["last"]:
+                    require_none(missing_revisions=coverage_gaps(batch, start, ends["last"]))
+                reached = max(ends["last"], before or ends["last"])
+                spark.createDataFrame([(number, reached)], "number long, revision long").coalesce(1).write.mode("overwrite").json(f"{folder}/revisions/n={number:012d}")
             batch = pending(batch)
         refreshed(facts, components, batch).write.mode("overwrite").parquet(f"{folder}/v={number:012d}")
 

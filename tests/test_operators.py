@@ -302,3 +302,26 @@ def test_assignment_of_a_long_chain():
 def test_identities_of_nothing(spark):
     assert _resolved(spark, [], [], []) == {}
     assert _resolved(spark, [("o", 0, "P", "A", None)], [], LISTED) == {("o", 0): ("UNRESOLVED", None, [], "NO_CANDIDATE")}
+
+
+def test_titles_in_compatibility_form(spark):
+    given = ["Ｆｒｅｅ　Gift", "PRE-ORDER  Be st tea", "茶 叶 x 茶  叶", "ﬁne tea", "pre-orders", None, " "]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in given], "t string").select(text.title(F.col("t"))).collect()]
+    assert got == ["Free Gift", "Best tea", "茶叶 x 茶叶", "fine tea", "pre-orders", "", ""]
+
+
+def test_revisions_follow_on_the_version_before(spark, tmp_path):
+    """A revision that no batch has brought is a gap, also between two batches; a batch may be run again."""
+    from tallymill.streaming import facts
+
+    parts = spark.createDataFrame([("a", "Fee", D(-1)), ("b", "Fee", D(-2))], COMPONENT)
+    empty = analysis.component_facts(parts.where("false"))
+    folder = (tmp_path / "facts").as_uri()
+    run = facts.publish(parts, folder, empty.schema.simpleString()[7:-1].replace(":", " "))
+    feed = lambda *rows: spark.createDataFrame(rows, "order_id string, revision long")
+    run(feed(("a", 1), ("a", 2)), 0)
+    with pytest.raises(guards.InvariantError):
+        run(feed(("b", 4)), 1)
+    run(feed(("b", 3), ("a", 2)), 1)
+    run(feed(("b", 3), ("a", 2)), 1)
+    assert facts.last_revision(spark, folder, 9) == 3 and facts.last_revision(spark, folder, 1) == 2 and facts.last_revision(spark, folder, 0) is None
