@@ -330,15 +330,18 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     if share < 1:
         ids = ids.where(F.xxhash64("id") < int((share - 0.5) * 2.0**64))
     ids = ids.distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "id", "left_semi")
+    sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "id", "left_semi").select(F.xxhash64("id").alias("place"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.string())
         for batch in batches:
-            found = [x for page in batch.column(1).to_pylist() for x in _labelled(page)]
+            found = [(place, n, *x) for place, page in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, x in enumerate(_labelled(page))]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.list_(pa.float64()), pa.list_(pa.string())), strict=True)], ["label", "x", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["place", "block", "label", "x", "names"])
 
-    rows = sample.mapInArrow(run, "label int, x array<double>, names array<string>").limit(SAMPLE_BLOCKS).collect()  # bounded, and numbers only
+    blocks = sample.mapInArrow(run, "place long, block int, label int, x array<double>, names array<string>")
+    # bounded, numbers only, and the same ones whatever the partitions
+    rows = blocks.orderBy("place", "block", "label", "x", "names").limit(SAMPLE_BLOCKS).select("label", "x", "names").collect()
     return fitted([(r["label"], tuple(r["x"]), r["names"]) for r in sorted(rows)])
 
 

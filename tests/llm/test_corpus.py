@@ -261,3 +261,18 @@ def test_scores_beyond_64_bits(spark):
     rows = [(9 * 10**12, 10**15, 10**13, 9 * 10**12 + 1), (10**15 + 7, 10**16 + 3, 10**15 + 9, 10**15 + 8), (100, 100, 100, 100)]
     got = spark.createDataFrame(rows, "a long, n long, l long, r long").select("*", collocations.cut_score(*map(F.col, "anlr")).alias("score")).collect()
     assert all(r["score"] == 1000 * r["a"] * r["n"] // (r["l"] * r["r"]) for r in got)
+
+
+# HTML extraction's sample
+
+
+def test_the_blocks_that_teach_do_not_depend_on_partitions(spark, monkeypatch):
+    from tallymill.llm import html_text
+
+    monkeypatch.setattr(html_text, "SAMPLE_BLOCKS", 40)
+    pages = [(i, "<html><body><nav><p>Menu</p><p>Home</p></nav><article>" + "".join(f"<p>Sentence {j} of page {i}, long enough to be read, {'word ' * (j + i % 5)}</p>" for j in range(8)) + f"</article><footer class='f{i % 3}'><p>Imprint {i}</p></footer></body></html>") for i in range(40)]
+    seen = []
+    monkeypatch.setattr(html_text, "fitted", lambda rows: seen.append(rows))
+    for parts in (1, 7):
+        html_text.train(spark.createDataFrame(pages, "page_id long, html string").repartition(parts))
+    assert seen[0] == seen[1] and len(seen[0]) == 40
