@@ -110,3 +110,62 @@ def exception_queue(issues: DataFrame, key: str) -> DataFrame:
     out = issues.groupBy(key).agg(F.min_by("reason", "position").alias("reason"), F.count("*").alias("n_issues"), F.bool_or("blocking").alias("blocking"), F.array_join(F.array_sort(F.collect_set("action")), ", ").alias("actions"))
     more = F.when(F.col("n_issues") > 1, F.concat(F.col("reason"), F.lit(" +"), (F.col("n_issues") - 1).cast("string"), F.lit(" more"))).otherwise(F.col("reason"))
     return out.withColumn("reason", more)
+
+
+def work_queue(issues: DataFrame) -> DataFrame:
+    """Validation issues as work items: key, scope, title, summary, n_issues, blocking, source, actions, hint, position.
+
+    issues: position (their order), layer, reason, blocking, order_id, source, of_statement, actions (array of label, destructive,
+    allowed). All duplicates are one item; then each order is one, each row of a statement, each layer and source, and whatever has
+    none of these by itself. The first issue's reason, without the order in front, stands for all; actions that are allowed
+    keep the order in which they are first met. Counts are added up before the shuffle, so one item may hold most issues.
+    """
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    order, source = filled("order_id"), filled("source")
+    place = F.col("position").cast("string")
+    duplicate, statement = F.col("layer") == "duplicate", F.coalesce("of_statement", F.lit(False))
+    key = (
+        F.when(duplicate, "category:duplicate")
+        .when(order.isNotNull(), F.concat(F.lit("order:"), order))
+        .when(statement, F.concat(F.lit("statement:"), place))
+        .when(source.isNotNull(), F.concat(F.lit("source:"), "layer", F.lit(":"), source))
+        .otherwise(F.concat(F.lit("other:"), place))
+    )
+    scope = F.when(duplicate, "Source").when(order.isNotNull(), "Order").when(statement, "Statement").when(source.isNotNull(), "Source").otherwise("Other")
+    own = issues.select(key.alias("key"), scope.alias("scope"), order.alias("order_id"), source.alias("source"), "position", "layer", "reason", "blocking", "actions")
+    items = own.groupBy("key").agg(
+        F.min_by(F.struct("scope", "order_id", "source", "reason"), "position").alias("first"),
+        F.count("*").alias("n_issues"),
+        F.bool_or("blocking").alias("blocking"),
+        F.bool_or(F.col("layer") == "manual_review").alias("manual"),
+        F.min("source").alias("low"),
+        F.max("source").alias("high"),
+        F.min("position").alias("position"),
+    )
+    allowed = own.select("key", "position", F.posexplode("actions").alias("nth", "action")).where("action.allowed")
+    each = allowed.groupBy("key", "action.label").agg(F.min(F.struct("position", "nth")).alias("met"), F.min_by("action.destructive", F.struct("position", "nth")).alias("destructive"))
+    actions = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("met", "label", "destructive"))).alias("actions"))
+    out = items.join(actions, "key", "left")
+    labels = F.coalesce(F.transform("actions", lambda a: a["label"]), F.expr("cast(array() as array<string>)"))
+    destructive = F.get(F.filter("actions", lambda a: a["destructive"]), F.lit(0))["label"]
+    of_all = F.col("key") == "category:duplicate"
+    reason = F.when(F.startswith("first.reason", F.concat("first.order_id", F.lit(":"))), F.ltrim(F.substr("first.reason", F.length("first.order_id") + 2))).otherwise(F.col("first.reason"))
+    more = F.when(F.col("n_issues") > 1, F.concat(F.lit(" +"), (F.col("n_issues") - 1).cast("string"), F.lit(" more"))).otherwise("")
+    return out.select(
+        "key",
+        "first.scope",
+        F.when(of_all, "Duplicate sources").otherwise(F.coalesce("first.order_id", "first.source", F.lit("Current batch"))).alias("title"),
+        F.concat(reason, more).alias("summary"),
+        "n_issues",
+        "blocking",
+        F.when(~of_all, F.col("first.source")).when(F.col("low") == F.col("high"), F.col("low")).alias("source"),
+        labels.alias("actions"),
+        F.when(F.col("manual"), "Review form below").otherwise(F.coalesce(destructive, F.lit("View details"))).alias("hint"),
+        "position",
+    )
+
+
+def lost_issues(issues: DataFrame, queue: DataFrame) -> DataFrame:
+    """Empty unless the queue's items hold another number of issues than there are."""
+    counts = issues.agg(F.count("*").alias("n_issues")).join(F.broadcast(queue.agg(F.coalesce(F.sum("n_issues"), F.lit(0)).alias("n_held"))))  # one row each
+    return counts.where("n_issues <> n_held")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators import overlap, promotions
+from tallymill.operators import changes, overlap, promotions
 from tallymill.plans import relations as r
 from tallymill.plans.oracle import CANONICAL
 from tallymill.plans.queries import query
@@ -253,6 +253,25 @@ def statement_revisions(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("standing").agg(F.count("*").alias("n_files"), F.sum("n_orders").alias("n_orders"))
 
 
+@query
+def exception_work_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Events as validation issues, as work items: of duplicates, orders, statement rows, sources and others."""
+    n = F.col("event_id")
+    action = lambda label, destructive, allowed: F.struct(label.alias("label"), F.lit(destructive).alias("destructive"), allowed.alias("allowed"))
+    issues = c.adjustments(spark, d).select(
+        n.alias("position"),
+        F.when(n % 9 == 0, "duplicate").when(n % 9 == 1, "manual_review").otherwise(F.col("kind")).alias("layer"),
+        F.when(n % 2 == 0, F.concat("order_id", F.lit(":  bad "), "kind")).otherwise(F.concat(F.lit("bad "), "kind")).alias("reason"),
+        (F.col("amount") > 50).alias("blocking"),
+        F.when(n % 4 != 3, F.col("order_id")).alias("order_id"),
+        F.when(n % 6 != 5, F.concat(F.lit("file"), (n % 13).cast("string"))).otherwise(" ").alias("source"),
+        (n % 8 == 7).alias("of_statement"),
+        F.array(action(F.lit("Remove"), True, n % 3 == 0), action(F.lit("Details"), False, F.lit(True)), action(F.concat(F.lit("Fix "), "kind"), False, n % 5 != 0)).alias("actions"),
+    )
+    queue = changes.work_queue(issues)
+    return queue.withColumn("actions", F.array_join("actions", "; "))
+
+
 def _listed(names: list[str]) -> str:
     return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
 
@@ -286,6 +305,18 @@ ev AS (SELECT i.no, i.order_id, k IS NOT NULL AND (k > 1 OR i.payout IS DISTINCT
 st AS (SELECT no, count(*) AS n_orders, count(*) FILTER (dup) AS n_duplicate, count(*) FILTER (conflict) AS n_conflict FROM ev GROUP BY no)
 """
 BODIES = {
+    "exception_work_queue": """
+, e AS (SELECT event_id AS position, CASE event_id % 9 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'manual_review' ELSE kind END AS layer, kind, amount_c > 5000 AS blocking, order_id AS o, CASE WHEN event_id % 4 <> 3 THEN order_id END AS order_id, CASE WHEN event_id % 6 <> 5 THEN 'file' || (event_id % 13) END AS source FROM adjustments_c),
+k AS (SELECT *, CASE WHEN layer = 'duplicate' THEN 'category:duplicate' WHEN order_id IS NOT NULL THEN 'order:' || order_id WHEN position % 8 = 7 THEN 'statement:' || position WHEN source IS NOT NULL THEN 'source:' || layer || ':' || source ELSE 'other:' || position END AS key,
+             CASE WHEN layer = 'duplicate' THEN 'Source' WHEN order_id IS NOT NULL THEN 'Order' WHEN position % 8 = 7 THEN 'Statement' WHEN source IS NOT NULL THEN 'Source' ELSE 'Other' END AS scope,
+             CASE WHEN position % 2 = 0 AND order_id IS NULL THEN o || ':  bad ' || kind ELSE 'bad ' || kind END AS reason FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY position) AS nth FROM k),
+a AS (SELECT key, label, min(position * 3 + i) AS met FROM (SELECT key, position, 0 AS i, 'Remove' AS label FROM k WHERE position % 3 = 0 UNION ALL SELECT key, position, 1, 'Details' FROM k UNION ALL SELECT key, position, 2, 'Fix ' || kind FROM k WHERE position % 5 <> 0) GROUP BY ALL),
+al AS (SELECT key, string_agg(label, '; ' ORDER BY met) AS actions, bool_or(label = 'Remove') AS destructive FROM a GROUP BY key),
+g AS (SELECT key, count(*) AS n_issues, bool_or(blocking) AS blocking, bool_or(layer = 'manual_review') AS manual, min(source) AS low, max(source) AS high, min(position) AS position FROM k GROUP BY key)
+SELECT g.key, scope, CASE WHEN g.key = 'category:duplicate' THEN 'Duplicate sources' ELSE coalesce(order_id, source, 'Current batch') END AS title, reason || CASE WHEN n_issues > 1 THEN ' +' || (n_issues - 1) || ' more' ELSE '' END AS summary, n_issues, g.blocking,
+       CASE WHEN g.key <> 'category:duplicate' THEN source WHEN low = high THEN low END AS source, actions, CASE WHEN manual THEN 'Review form below' WHEN destructive THEN 'Remove' ELSE 'View details' END AS hint, g.position
+FROM g JOIN f ON f.key = g.key AND nth = 1 JOIN al ON al.key = g.key""",
     "period_overlaps": """
 , lg AS (SELECT sums.payout FROM sums JOIN statements_c USING (order_id)),
 p AS (SELECT DISTINCT 'w' AS kind, date_trunc('week', payout)::DATE AS f, date_trunc('week', payout)::DATE + 6 AS t FROM lg UNION ALL SELECT DISTINCT 'm', date_trunc('month', payout)::DATE, last_day(payout) FROM lg

@@ -325,3 +325,23 @@ def test_revisions_follow_on_the_version_before(spark, tmp_path):
     run(feed(("b", 3), ("a", 2)), 1)
     run(feed(("b", 3), ("a", 2)), 1)
     assert facts.last_revision(spark, folder, 9) == 3 and facts.last_revision(spark, folder, 1) == 2 and facts.last_revision(spark, folder, 0) is None
+
+
+def test_work_items_keep_all_issues(spark):
+    schema = "position long, layer string, reason string, blocking boolean, order_id string, source string, of_statement boolean, actions array<struct<label:string,destructive:boolean,allowed:boolean>>"
+    look, drop = ("Look", False, True), ("Drop", True, True)
+    rows = [(1, "price", "o1: too low", False, " o1 ", "a", False, [look, ("No", True, False)]), (2, "duplicate", "seen", False, "o1", "a", False, [drop]), (0, "price", "x", True, "", None, None, None), (3, "manual_review", "o1:again", True, "o1", "b", True, [look])]
+    rows += [(4, "price", "row", False, None, "a", True, [look, drop]), (5, "price", "row", False, None, "a", True, []), (6, "name", "bad", False, None, "a", False, []), (7, "name", "bad", False, None, "a", None, []), (8, "duplicate", "seen", None, None, "b", False, [drop, look])]
+    issues = spark.createDataFrame(rows, schema)
+    queue = changes.work_queue(issues)
+    got = {r["key"]: (r["scope"], r["title"], r["summary"], r["n_issues"], r["blocking"], r["source"], r["actions"], r["hint"]) for r in queue.collect()}
+    assert got == {
+        "order:o1": ("Order", "o1", "too low +1 more", 2, True, "a", ["Look"], "Review form below"),
+        "category:duplicate": ("Source", "Duplicate sources", "seen +1 more", 2, False, None, ["Drop", "Look"], "Drop"),
+        "other:0": ("Other", "Current batch", "x", 1, True, None, [], "View details"),
+        "statement:4": ("Statement", "a", "row", 1, False, "a", ["Look", "Drop"], "Drop"),
+        "statement:5": ("Statement", "a", "row", 1, False, "a", [], "View details"),
+        "source:name:a": ("Source", "a", "bad +1 more", 2, False, "a", [], "View details"),
+    }
+    assert changes.lost_issues(issues, queue).count() == 0 and changes.lost_issues(issues, queue.where("n_issues > 1")).count() == 1
+    assert changes.lost_issues(issues.where("false"), changes.work_queue(issues.where("false"))).count() == 0
