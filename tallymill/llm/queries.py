@@ -140,6 +140,48 @@ FROM keyed WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+def _merkle_sql(levels: int = 6, group_levels: int = 4) -> str:
+    """Trees of up to 16 ** levels rows a source and 16 ** group_levels sources, level by level."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    before = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [1000 + ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}::BIGINT[]), lambda a, x: CASE WHEN x >= 1000 THEN xor(a, x - 1000) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+
+    def tree(t: str, leaves: str, top: int) -> list[str]:
+        """{t}0 .. {t}top: the nodes of each level; {t}r0 ..: its runs as lists."""
+        out = [f"{t}0 AS ({leaves})"]
+        for k in range(top):
+            out += [
+                f"{t}r{k} AS (SELECT s, pos // 16 AS pos, n, list(h ORDER BY pos) AS run FROM {t}{k} GROUP BY s, pos // 16, n)",
+                f"{t}{k + 1} AS (SELECT s, pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {t}r{k})",
+            ]
+        return out
+
+    def fold(f: str, rows: str, t: str, top: int, at: str) -> list[str]:
+        """{f}0 .. {f}top: rows with d folded up and the siblings met, proof."""
+        out = [f"{f}0 AS ({rows})"]
+        for k in range(top):
+            nth = f"x.{at} // {16**k} % 16"
+            left, right = f"array_to_string(run[1:{nth}], '')", f"array_to_string(run[{nth} + 2:], '')"
+            out.append(f"{f}{k + 1} AS (SELECT x.* REPLACE (CASE WHEN r.n > 1 THEN sha256({left} || d || {right}) ELSE d END AS d, CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof) FROM {f}{k} x JOIN {t}r{k} r ON r.s = x.{'s' if t == 't' else 'whole'} AND r.pos = x.{at} // {16 ** (k + 1)})")
+        return out
+
+    docs = f"SELECT doc_id, coalesce(':' || source, '-') AS s, sha256({before} || {field('text')}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({before} || {field(lower)}) END AS altered FROM documents"
+    ctes = [
+        f"d AS ({docs})",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY s) AS n FROM d)",
+        *tree("t", "SELECT s, pos, n, leaf AS h FROM placed", levels),
+        f"tops AS (SELECT s, h AS subroot, row_number() OVER (ORDER BY s) - 1 AS place, count(*) OVER () AS n FROM t{levels})",
+        *tree("g", "SELECT '' AS s, place AS pos, n, subroot AS h FROM tops", group_levels),
+        *fold("f", "SELECT p.*, coalesce(altered, leaf) AS d, '' AS proof, subroot, place, '' AS whole FROM placed p JOIN tops USING (s)", "t", levels, "pos"),
+        *fold("u", f"SELECT * FROM f{levels}", "g", group_levels, "place"),
+    ]
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, d AS folded_root, d = h AS verified FROM u{group_levels}, g{group_levels}"
+
+
+OP11_SQL = _merkle_sql()
+
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
@@ -171,4 +213,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op13_collocations": OP13_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_collocations": OP13_SQL}
