@@ -28,10 +28,15 @@ def strict_price(text: Column) -> Column:
 
 
 def statement_money(text: Column) -> Column:
-    """Commas and a leading rm are dropped, parentheses mean negative; NULL if no number is left."""
+    """Commas and a leading rm are dropped, parentheses mean negative; NULL if no number is left.
+
+    Texts of digits, points and signs only, most of a statement, are cast as they are.
+    """
+    bare = F.translate(text, "0123456789.-", "") == ""
     plain = F.regexp_replace(F.trim(text), r"(?i)^\(?rm ?|,", "")
     number = F.regexp_replace(plain, r"[()]", "").try_cast(MONEY)
-    return F.when(F.trim(text).startswith("(") & F.trim(text).endswith(")"), -number).otherwise(number).cast(MONEY)
+    read = F.when(F.trim(text).startswith("(") & F.trim(text).endswith(")"), -number).otherwise(number)
+    return F.when(text.isNull(), F.lit(None)).when(bare, text.try_cast(MONEY)).otherwise(read).cast(MONEY)
 
 
 def exact_money(value: Column) -> Column:

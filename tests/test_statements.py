@@ -214,3 +214,22 @@ def test_statement_standing(spark):
     ways = [{r["batch_id"]: r["standing"] for r in overlap.statement_standing(spark.createDataFrame(incoming, row), committed, files, known, ["released"], by_evidence=e).collect()} for e in (True, False)]
     assert ways[0] == {"all": "ALREADY_IMPORTED", "same": "ALREADY_IMPORTED", "off": "SETTLEMENT_EVIDENCE_CONFLICT", "two": "SETTLEMENT_EVIDENCE_CONFLICT", "both": "SETTLEMENT_EVIDENCE_CONFLICT", "some": "PARTIAL_DUPLICATE", "new": "NEW", "blank": "NEW", "empty": "NEW"}
     assert ways[1] == {b: "ALREADY_IMPORTED" if b == "same" else "NEW" if b == "new" else "POSSIBLE_REVISION" for b in ways[0]}
+
+
+def test_rows_that_hold_their_cells_are_read_where_they_lie(spark):
+    """The same as from single cells, but without a shuffle or window of rows; two orders on one row number both stay."""
+    sheet = lambda name, *rows: [("p", "h", name, n, c, v, None) for n, values in rows for c, v in enumerate(values) if v is not None]
+    fees = sheet("Service Fee Details", (1, ["Sequence No.", "order  ID", "Service Fee"]), (2, ["1", "o1", "RM 2.50"]), (3, ["2", None, "free"]))
+    ends = sheet("Adjustment", (1, statement.ADJUSTMENT_KEYS), (2, ["1", "2024-05-01", "Kind", "Why", "-3", "o1", "soon"]), (4, ["TOTAL amount"]), (5, ["2", "2024-05-01", "Kind", "Why", "1", "o2"]))
+    found = spark.createDataFrame(fees + ends, "path string, file_hash string, sheet string, row int, col int, value string, error string")
+    held = found.groupBy("path", "file_hash", "sheet", "row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    plain = lambda df: sorted((r.asDict(recursive=True) for r in df.collect()), key=str)
+    for read in (statement.service_fee_rows, lambda x: statement.adjustment_rows(x, "MY")):
+        assert [plain(x) for x in read(held)] == [plain(x) for x in read(found)] and plain(read(held)[0])
+    twice = held.unionByName(held.where("row = 2"))
+    rows, issues, _ = statement.service_fee_rows(twice)
+    assert rows.where("order_id = 'o1'").count() == 2
+    plan = statement.adjustment_rows(statement.stored(held, "held"), "MY")[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    parts = statement.components(rows, F.lit("F")).groupBy("name").agg(F.count("amount"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(map_from_arrays" not in parts
