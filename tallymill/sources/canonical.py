@@ -38,15 +38,19 @@ ITEM_RANK = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extended
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_id, item_index, sku, quantity, original, subtotal, fee, flag, shipped."""
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_RANK)) - 1
+    """order_id, item_index, sku, quantity, original, subtotal, fee, flag, shipped.
+
+    Ranked within order_id, as it is called from here on, so that what follows by order needs no further shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy("order_id").orderBy(*ITEM_RANK)) - 1
     original = money(F.col("l_extendedprice"))
     percent = F.floor(F.col("l_discount") * 100 + 0.5).cast("decimal(3,0)")
     tax = F.floor(F.col("l_tax") * 100 + 0.5).cast("decimal(3,0)")
     part = lambda amount, share: F.bround(amount * share / 100, 2).cast(MONEY)
     return (
         table(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").cast("string").alias("order_id"), rank.alias("item_index"), F.col("l_partkey").cast("string").alias("sku"), F.col("l_quantity").cast("int").alias("quantity"), original.alias("original"), part(original, 100 - percent).alias("subtotal"), tax.alias("_tax"), F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("shipped"))
+        .withColumn("order_id", F.col("l_orderkey").cast("string"))
+        .select("order_id", rank.alias("item_index"), F.col("l_partkey").cast("string").alias("sku"), F.col("l_quantity").cast("int").alias("quantity"), original.alias("original"), part(original, 100 - percent).alias("subtotal"), tax.alias("_tax"), F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("shipped"))
         .withColumn("fee", part(F.col("subtotal"), F.col("_tax")))
         .drop("_tax")
     )
