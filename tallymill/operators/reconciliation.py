@@ -44,6 +44,11 @@ def keyed(side: DataFrame) -> DataFrame:
     return out.withColumns({c: f(F.col(c)) for c, f in (("sku", sku_text), ("parent_sku", sku_text), ("nav", _nav)) if c in side.columns})
 
 
+def stored_keys(*sides: DataFrame) -> tuple[DataFrame, ...]:
+    """The sides with their keys; those that come without are stored."""
+    return tuple(x if "name_key" in x.columns else stored(keyed(x), "keyed") for x in sides)
+
+
 def _promoted() -> Column:
     """Has an item any mark of a promotion?"""
     return F.coalesce(F.greatest(*(F.length(F.col(c).cast("string")) for c in ("promotion", "label", "group_total"))) > 0, F.lit(False))
@@ -66,7 +71,9 @@ def family_items(rows: DataFrame, items: DataFrame, families: DataFrame) -> Data
         found = ours.join(listed, tie).withColumn("tier", F.lit(tier))
         every = found if every is None else every.unionByName(found)
     agrees = F.coalesce((F.col("family_nav") == F.col("nav")) & (F.col("family_variation") == F.col("variation_key")) & (F.col("price") == F.col("unit_price")), F.lit(False))
-    linked = every.join(rows.select("order_id", "product_id").distinct(), ["order_id", "product_id"]).groupBy("order_id", "product_id", "item_index", "tier").agg(F.collect_set("family_name").alias("family_names"), F.bool_and(agrees).alias("agrees"))
+    # joined by order alone, so that the groups and both windows lie as the join leaves them
+    stated = rows.groupBy("order_id").agg(F.collect_set("product_id").alias("stated"))
+    linked = every.join(stated, "order_id").where(F.array_contains("stated", F.col("product_id"))).groupBy("order_id", "product_id", "item_index", "tier").agg(F.collect_set("family_name").alias("family_names"), F.bool_and(agrees).alias("agrees"))
     first = F.min("tier").over(Window.partitionBy("order_id", "product_id"))
     claims = F.size(F.collect_set("product_id").over(Window.partitionBy("order_id", "item_index")))
     method = F.element_at(F.array(*map(F.lit, METHODS)), F.col("tier") + 1)
@@ -178,7 +185,7 @@ def identities(rows: DataFrame, items: DataFrame, families: DataFrame, tolerance
 
     Promotion groups come first, then preferred pairs, then the order's products by their id.
     """
-    rows, items, families = (x if "name_key" in x.columns else stored(keyed(x), "keyed") for x in (rows, items, families))
+    rows, items, families = stored_keys(rows, items, families)
     family = stored(family_items(rows, items, families), "family-items")
     pairs = stored(edges(rows, items, family, tolerance), "family-edges")
     groups = stored(promotion_groups(rows, items, family, pairs), "promotion-groups")

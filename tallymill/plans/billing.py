@@ -163,7 +163,7 @@ def statement_components(spark: SparkSession, d: str) -> DataFrame:
 def _identities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statement rows, order items, the rows' identities), each computed once."""
     find_library(spark)
-    rows, items, families = (stored(reconciliation.keyed(x), "keyed") for x in r.family_rows(spark, d))
+    rows, items, families = reconciliation.stored_keys(*r.family_rows(spark, d))
     return rows, items, stored(reconciliation.identities(rows, items, families), "identities")
 
 
@@ -178,7 +178,7 @@ def family_matching(spark: SparkSession, d: str) -> DataFrame:
 def promotion_product_groups(spark: SparkSession, d: str) -> DataFrame:
     """The product groups that their source proves as a whole: order, product, members, ways to pair them off."""
     find_library(spark)
-    rows, items, families = (stored(reconciliation.keyed(x), "keyed") for x in r.family_rows(spark, d))
+    rows, items, families = reconciliation.stored_keys(*r.family_rows(spark, d))
     family = stored(reconciliation.family_items(rows, items, families), "family-items")
     pairs = stored(reconciliation.edges(rows, items, family), "family-edges")
     found = reconciliation.promotion_groups(rows, items, family, pairs)

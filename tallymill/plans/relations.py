@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions.text import statement_name
+from tallymill.operators.reconciliation import keyed
 from tallymill.sources import canonical as c
 from tallymill.sources.stored import stored
 
@@ -147,7 +149,8 @@ def statement_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statement rows, order items, product families) as `operators.reconciliation` takes them; the items are read once.
+    """(statement rows, order items, product families) as `operators.reconciliation` takes them, rows and items with their keys; both
+    are views of one stored table, so the items are read, keyed and written once.
 
     40 listings in twelve families stand for the parts. Some items have no SKU, some listings only a parent SKU, some
     belong to two families, some don't agree with their items' NAV; names on the statement are as in the order, in
@@ -174,12 +177,13 @@ def family_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
         text("P", family).alias("product_id"),
         F.when((key + line) % 7 == 0, text("other Item ", family)).when((key + line) % 3 == 0, text("ITEM  ", family)).otherwise(text("Item ", family)).alias("stated"),
     )
-    both = stored(both, "family-rows")
+    both = stored(keyed(both).withColumn("stated_key", statement_name(F.col("stated"))), "family-rows")
     rows = both.where((key % 12 != 5) | (line != 0)).select(
         "order_id",
         F.col("item_index").alias("row_no"),
         F.when((key % 17 == 0) & (line == 1), "PX").otherwise(F.col("product_id")).alias("product_id"),
         F.col("stated").alias("name"),
+        F.col("stated_key").alias("name_key"),
         (F.col("subtotal") + F.when(key % 10 == 3, cents(3)).otherwise(cents(0))).cast(MONEY).alias("price"),
     )
     listed = c.master(spark, d).select(listing.alias("listing")).distinct()
@@ -194,4 +198,4 @@ def family_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
         F.when(n % 13 == 5, "X").otherwise(text("N", n)).alias("nav"),
         (n + 10).cast(MONEY).alias("price"),
     )
-    return rows, both.drop("product_id", "stated"), families
+    return rows, both.drop("product_id", "stated", "stated_key"), families

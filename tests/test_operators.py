@@ -345,3 +345,20 @@ def test_work_items_keep_all_issues(spark):
     }
     assert changes.lost_issues(issues, queue).count() == 0 and changes.lost_issues(issues, queue.where("n_issues > 1")).count() == 1
     assert changes.lost_issues(issues.where("false"), changes.work_queue(issues.where("false"))).count() == 0
+
+
+def test_family_rows_are_keyed_and_shuffled_by_order_once(spark, tmp_path):
+    from tallymill.plans import relations
+
+    rows, items, families = relations.family_rows(spark, "/root/testdata/sf0.001")
+    assert {"name_key"} <= set(rows.columns) and {"name_key", "variation_key"} <= set(items.columns)
+    assert sorted(rows.inputFiles()) == sorted(items.inputFiles())  # one stored table
+    (listed,) = reconciliation.stored_keys(families)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more orders than are broadcast
+    try:
+        plan = reconciliation.family_items(rows, items, listed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [x.split("hashpartitioning(")[1].split("]")[0] for x in plan.splitlines() if "hashpartitioning(" in x]
+    by_order = [x for x in shuffles if "order_id" in x]
+    assert by_order and all(x.startswith("order_id") and "product_id" not in x and "item_index" not in x for x in by_order)
