@@ -45,8 +45,9 @@ def keyed(side: DataFrame) -> DataFrame:
 
 
 def stored_keys(*sides: DataFrame) -> tuple[DataFrame, ...]:
-    """The sides with their keys; those that come without are stored."""
-    return tuple(x if "name_key" in x.columns else stored(keyed(x), "keyed") for x in sides)
+    """The sides with their keys; those that come without are stored, by order if they have one."""
+    by = lambda x: "order_id" if "order_id" in x.columns else None
+    return tuple(x if "name_key" in x.columns else stored(keyed(x.repartition(by(x)) if by(x) else x), "keyed", by(x)) for x in sides)
 
 
 def _promoted() -> Column:
@@ -64,16 +65,19 @@ def family_items(rows: DataFrame, items: DataFrame, families: DataFrame) -> Data
     """
     ours = keyed(items).select("order_id", "item_index", "sku", "name_key", "variation_key", "nav", "unit_price")
     listed = keyed(families).select("product_id", F.col("sku").alias("own_sku"), "parent_sku", F.col("name_key").alias("family_name"), F.col("variation_key").alias("family_variation"), F.col("nav").alias("family_nav"), "price").distinct()
-    has_sku = F.col("sku") != ""
-    ties = (has_sku & (F.col("sku") == F.col("own_sku")), has_sku & (F.col("sku") == F.col("parent_sku")), (F.col("name_key") == F.col("family_name")) & (F.col("variation_key") == F.col("family_variation")))
-    every = None
-    for tier, tie in enumerate(ties):
-        found = ours.join(listed, tie).withColumn("tier", F.lit(tier))
-        every = found if every is None else every.unionByName(found)
-    agrees = F.coalesce((F.col("family_nav") == F.col("nav")) & (F.col("family_variation") == F.col("variation_key")) & (F.col("price") == F.col("unit_price")), F.lit(False))
-    # joined by order alone, so that the groups and both windows lie as the join leaves them
+    # a product's listings that share a key are one row, so an item meets each of its products once a tier and needs no grouping
+    link = lambda tier, key, further: F.struct(F.lit(tier).alias("tier"), key.alias("key"), further.alias("further"))
+    none = F.lit("")
+    theirs = F.array(link(0, F.col("own_sku"), none), link(1, F.col("parent_sku"), none), link(2, F.col("family_name"), F.col("family_variation")))
+    like = F.collect_set(F.struct("family_nav", F.col("family_variation").alias("variation"), "price")).alias("like")
+    listed = listed.select("*", F.inline(theirs)).groupBy("tier", "key", "further", "product_id").agg(F.collect_set("family_name").alias("family_names"), like)
+    by_sku = lambda tier: F.when(F.col("sku") != "", link(tier, F.col("sku"), none))
+    own = F.array_compact(F.array(by_sku(0), by_sku(1), link(2, F.col("name_key"), F.col("variation_key"))))
+    agrees = F.forall("like", lambda x: F.coalesce((x["family_nav"] == F.col("nav")) & (x["variation"] == F.col("variation_key")) & (x["price"] == F.col("unit_price")), F.lit(False)))
+    every = ours.select("order_id", "item_index", "variation_key", "nav", "unit_price", F.inline(own)).join(listed, ["tier", "key", "further"]).select("order_id", "product_id", "item_index", "tier", "family_names", agrees.alias("agrees"))
+    # joined by order alone, so that both windows lie as the join leaves them
     stated = rows.groupBy("order_id").agg(F.collect_set("product_id").alias("stated"))
-    linked = every.join(stated, "order_id").where(F.array_contains("stated", F.col("product_id"))).groupBy("order_id", "product_id", "item_index", "tier").agg(F.collect_set("family_name").alias("family_names"), F.bool_and(agrees).alias("agrees"))
+    linked = every.join(stated, "order_id").where(F.array_contains("stated", F.col("product_id"))).drop("stated")
     first = F.min("tier").over(Window.partitionBy("order_id", "product_id"))
     claims = F.size(F.collect_set("product_id").over(Window.partitionBy("order_id", "item_index")))
     method = F.element_at(F.array(*map(F.lit, METHODS)), F.col("tier") + 1)
@@ -117,17 +121,19 @@ def promotion_groups(rows: DataFrame, items: DataFrame, family: DataFrame, pairs
     counted = F.coalesce(F.col("quantity") > 0, F.lit(False))
     complete = counted & F.when(_promoted(), filled("promotion") & F.col("group_total").isNotNull()).otherwise(F.col("subtotal").isNotNull())
     facts = keyed(items).select("order_id", "item_index", _promoted().alias("promoted"), complete.alias("complete"), F.struct("sku", "nav", F.col("variation_key").alias("variation"), F.col("unit_price").alias("price")).alias("thing"))
-    own = family.join(facts, ["order_id", "item_index"])
+    marked = facts.where("promoted").select("order_id").distinct()  # only orders with a promotion have such products
+    own = family.join(marked, "order_id", "left_semi").join(facts, ["order_id", "item_index"])
     one = F.first("thing")
     of_items = own.groupBy("order_id", "product_id").agg(
         F.sort_array(F.collect_set("item_index")).alias("members"),
         (F.bool_or("promoted") & F.bool_and(F.col("complete") & F.col("agrees") & (F.col("n_products") == 1))).alias("proven"),
         ((F.min("thing") == F.max("thing")) & (one["sku"] != "") & (one["nav"] != "") & one["price"].isNotNull()).alias("same"),
     )
-    of_items = of_items.where("proven AND same AND size(members) > 1").select("order_id", "product_id", "members")
-    good = pairs.where("compatible")
+    of_items = stored(of_items.where("proven AND same AND size(members) > 1").select("order_id", "product_id", "members"), "proven-products", "order_id")
+    theirs = of_items.select("order_id", "product_id")
+    good = pairs.where("compatible").join(theirs, ["order_id", "product_id"], "left_semi")
     own_edges = good.groupBy("order_id", "product_id", "row_no").agg(F.collect_set("item_index").alias("near"), F.collect_list(F.when(F.col("preferred"), F.col("item_index"))).alias("chosen"))
-    n_rows = rows.groupBy("order_id", "product_id").agg(F.count("*").alias("n_rows"))
+    n_rows = rows.join(theirs, ["order_id", "product_id"], "left_semi").groupBy("order_id", "product_id").agg(F.count("*").alias("n_rows"))
     of_rows = own_edges.groupBy("order_id", "product_id").agg(F.collect_list("near").alias("near"), F.flatten(F.collect_list("chosen")).alias("chosen"))
     both = of_items.join(of_rows, ["order_id", "product_id"]).join(n_rows, ["order_id", "product_id"]).where("n_rows = size(near)")
     n, chosen = F.size("members"), F.col("chosen")
@@ -186,22 +192,25 @@ def identities(rows: DataFrame, items: DataFrame, families: DataFrame, tolerance
     Promotion groups come first, then preferred pairs, then the order's products by their id.
     """
     rows, items, families = stored_keys(rows, items, families)
-    family = stored(family_items(rows, items, families), "family-items")
-    pairs = stored(edges(rows, items, family, tolerance), "family-edges")
-    groups = stored(promotion_groups(rows, items, family, pairs), "promotion-groups")
+    family = stored(family_items(rows, items, families), "family-items", "order_id")
+    pairs = stored(edges(rows, items, family, tolerance), "family-edges", "order_id")
+    groups = stored(promotion_groups(rows, items, family, pairs), "promotion-groups", "order_id")
     by_group = rows.select("order_id", "product_id", "row_no").join(groups, ["order_id", "product_id"]).select("order_id", "row_no", F.lit("GROUP").alias("scope"), F.lit(None).cast("int").alias("item_index"), "members", "n_matchings", F.lit("PROMOTION_GROUP").alias("diagnostic"))
     rest = pairs.join(groups, ["order_id", "product_id"], "left_anti")
     by_pair = rest.where("preferred").select("order_id", "row_no", F.lit("ITEM").alias("scope"), "item_index", F.array("item_index").alias("members"), F.lit(1).cast("long").alias("n_matchings"), F.lit("PREFERRED").alias("diagnostic"))
-    gone = groups.select("order_id", F.explode("members").alias("item_index")).unionByName(by_pair.select("order_id", "item_index")).groupBy("order_id").agg(F.collect_set("item_index").alias("gone"))
+    by_groups = groups.groupBy("order_id").agg(F.flatten(F.collect_list("members")).alias("in_groups"))
+    by_pairs = by_pair.groupBy("order_id").agg(F.collect_set("item_index").alias("in_pairs"))
     per_row = rest.groupBy("order_id", "product_id", "row_no").agg(F.bool_or("preferred").alias("decided"), F.collect_set(F.when(F.col("compatible"), F.col("item_index"))).alias("near"))
-    waiting = per_row.where("NOT decided AND size(near) > 0").join(gone, "order_id", "left")
-    free = F.when(F.col("gone").isNull(), F.col("near")).otherwise(F.array_except("near", "gone"))
-    taken = _taken_in_order(waiting.select("order_id", "product_id", "row_no", free.alias("near")))
+    waiting = per_row.where("NOT decided AND size(near) > 0").join(by_groups, "order_id", "left").join(by_pairs, "order_id", "left")
+    free = F.col("near")
+    for taken_by in ("in_groups", "in_pairs"):
+        free = F.when(F.col(taken_by).isNull(), free).otherwise(F.array_except(free, taken_by))
+    taken = stored(_taken_in_order(waiting.select("order_id", "product_id", "row_no", free.alias("near"))), "taken", "order_id")
     why = F.when(F.col("outcome") == "ITEM", "ONE_ALLOCATION").when(F.col("outcome") == "GROUP", "SEVERAL_ALLOCATIONS").otherwise("NO_ALLOCATION")
     by_graph = taken.select("order_id", "row_no", F.col("outcome").alias("scope"), "item_index", "members", "n_matchings", why.alias("diagnostic"))
     nothing = F.lit(None).cast("int").alias("item_index"), F.expr("cast(array() as array<int>)").alias("members"), F.lit(0).cast("long").alias("n_matchings")
     in_conflict = per_row.where("size(near) = 0").select("order_id", "row_no", F.lit("UNRESOLVED").alias("scope"), *nothing, F.lit("NAME_CONFLICT").alias("diagnostic"))
-    found = by_group.unionByName(by_pair).unionByName(by_graph).unionByName(in_conflict)
+    found = stored(by_group.unionByName(by_pair).unionByName(by_graph).unionByName(in_conflict), "found", "order_id")
     every = rows.select("order_id", "product_id", "row_no").join(found, ["order_id", "row_no"], "left")
     return every.withColumns({"scope": F.coalesce("scope", F.lit("UNRESOLVED")), "diagnostic": F.coalesce("diagnostic", F.lit("NO_CANDIDATE")), "members": F.coalesce("members", nothing[1]), "n_matchings": F.coalesce("n_matchings", F.lit(0))})
 

@@ -164,7 +164,7 @@ def _identities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     """(statement rows, order items, the rows' identities), each computed once."""
     find_library(spark)
     rows, items, families = reconciliation.stored_keys(*r.family_rows(spark, d))
-    return rows, items, stored(reconciliation.identities(rows, items, families), "identities")
+    return rows, items, stored(reconciliation.identities(rows, items, families), "identities", "order_id")
 
 
 @query
@@ -179,8 +179,8 @@ def promotion_product_groups(spark: SparkSession, d: str) -> DataFrame:
     """The product groups that their source proves as a whole: order, product, members, ways to pair them off."""
     find_library(spark)
     rows, items, families = reconciliation.stored_keys(*r.family_rows(spark, d))
-    family = stored(reconciliation.family_items(rows, items, families), "family-items")
-    pairs = stored(reconciliation.edges(rows, items, family), "family-edges")
+    family = stored(reconciliation.family_items(rows, items, families), "family-items", "order_id")
+    pairs = stored(reconciliation.edges(rows, items, family), "family-edges", "order_id")
     found = reconciliation.promotion_groups(rows, items, family, pairs)
     return found.select("order_id", "product_id", F.array_join("members", ",").alias("members"), "n_matchings")
 

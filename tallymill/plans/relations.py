@@ -173,11 +173,11 @@ def family_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
         "subtotal",
         F.when(promoted, F.concat("order_id", F.lit("/R"))).alias("promotion"),
         F.when(promoted, "Buy more").alias("label"),
-        F.when(promoted & (key % 16 != 6), F.sum("subtotal").over(Window.partitionBy("order_id", "flag"))).cast(MONEY).alias("group_total"),
+        F.when(promoted & (key % 16 != 6), F.sum(F.when(F.col("flag") == "R", F.col("subtotal"))).over(Window.partitionBy("order_id"))).cast(MONEY).alias("group_total"),
         text("P", family).alias("product_id"),
         F.when((key + line) % 7 == 0, text("other Item ", family)).when((key + line) % 3 == 0, text("ITEM  ", family)).otherwise(text("Item ", family)).alias("stated"),
     )
-    both = stored(keyed(both).withColumn("stated_key", statement_name(F.col("stated"))), "family-rows")
+    both = stored(keyed(both).withColumn("stated_key", statement_name(F.col("stated"))), "family-rows", "order_id")
     rows = both.where((key % 12 != 5) | (line != 0)).select(
         "order_id",
         F.col("item_index").alias("row_no"),

@@ -362,3 +362,34 @@ def test_family_rows_are_keyed_and_shuffled_by_order_once(spark, tmp_path):
     shuffles = [x.split("hashpartitioning(")[1].split("]")[0] for x in plan.splitlines() if "hashpartitioning(" in x]
     by_order = [x for x in shuffles if "order_id" in x]
     assert by_order and all(x.startswith("order_id") and "product_id" not in x and "item_index" not in x for x in by_order)
+
+
+def test_tables_by_order_are_joined_and_grouped_without_a_shuffle(spark):
+    from tallymill.sources.stored import ALL_KEYS, stored
+
+    before = spark.conf.get(ALL_KEYS)
+    rows = spark.range(400).select((F.col("id") % 50).cast("string").alias("order_id"), (F.col("id") % 7).alias("line"), "id")
+    a, b = (stored(rows.repartition("order_id"), "by-order-test", "order_id") for _ in range(2))
+    assert spark.conf.get(ALL_KEYS) == before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b.select("order_id", F.col("line").alias("theirs")), "order_id").groupBy("order_id", "line").count()
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+        both = stored(a.join(b.withColumnRenamed("id", "other"), ["order_id", "line"]), "by-order-test", "order_id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert both.count() == rows.join(rows.withColumnRenamed("id", "other"), ["order_id", "line"]).count()
+    assert sorted(a.collect()) == sorted(rows.collect())
+
+
+def test_an_item_meets_each_product_once_a_tier(spark):
+    item = ("o1", 0, "S1", "Bag", "Red", "n1", 1, 10, 10, None, None, None)
+    listed = [("P1", "S1", "K", "Bag", "Red", "n1", 10), ("P1", "S1", "K", "Bag two", "Red", "n2", 10), ("P2", "X", "S1", "Other", "Red", "n1", 10)]
+    items = spark.createDataFrame([(*item[:7], *(D(x) for x in item[7:9]), *item[9:])], ITEM)
+    families = spark.createDataFrame([(*x[:6], D(x[6])) for x in listed], FAMILY)
+    rows = spark.createDataFrame([("o1", 0, "P1", "Bag", D(10)), ("o1", 1, "P2", "Other", D(10))], ROW)
+    found = {x["product_id"]: x for x in reconciliation.family_items(rows, items, families).collect()}
+    assert {k: (x["method"], sorted(x["family_names"]), x["agrees"], x["n_products"]) for k, x in found.items()} == {
+        "P1": ("PRODUCT_MASTER_SKU", ["bag", "bag two"], False, 2),
+        "P2": ("PRODUCT_MASTER_PARENT_SKU", ["other"], True, 2),
+    }
