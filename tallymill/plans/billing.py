@@ -98,16 +98,20 @@ def event_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bundle_verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Component rows of a statement and their verdicts against the committed ones, zeros of unknown fees aside."""
+    """Component rows of a statement and their verdicts against the committed ones, zeros of unknown fees aside.
+
+    Both sides are views of one ledger that is stored by order, and so are the verdicts: nothing is shuffled after the ledger.
+    """
     key = F.col("order_id").cast("long")
     batch = F.concat(F.lit("b"), (key % 4).cast("string"))
-    fee = c.ledger(spark, d).select("order_id", F.lit("Optional Fee").alias("name"), F.lit("0.00").cast(r.MONEY).alias("amount"))
-    rows = c.components(spark, d).unionByName(fee).withColumn("batch_id", batch)
+    ledger = stored(c.ledger(spark, d).select("order_id", "components"), "bundle-ledger", "order_id")
+    fee = F.array(F.struct(F.lit("Optional Fee").alias("name"), F.lit("0.00").cast(r.MONEY).alias("amount")))
+    rows = ledger.select("order_id", F.inline(F.concat("components", fee))).withColumn("batch_id", batch)
     headers = spark.createDataFrame([("b0", ["Transaction Fee"]), ("b1", ["Transaction Fee"]), ("b2", ["Transaction Fee", "Optional Fee"])], "batch_id string, names array<string>")
-    rows = changes.without_absent_zeros(rows, headers, F.col("name") == "Optional Fee")
+    rows = changes.without_absent_zeros(rows, F.broadcast(headers), F.col("name") == "Optional Fee")
     changed = F.when((key % 6 == 1) & (F.col("name") == "Discount"), F.col("amount") - 1).otherwise(F.col("amount")).cast(r.MONEY)
-    old = c.components(spark, d).withColumn("batch_id", batch).where((key % 6 != 2) & ~((key % 6 == 3) & (F.col("name") == "Transaction Fee"))).withColumn("amount", changed)
-    return rows, changes.classify_bundles(old, rows, "order_id", ["name", "amount"], ["name"])
+    old = ledger.select("order_id", F.inline("components")).withColumn("batch_id", batch).where((key % 6 != 2) & ~((key % 6 == 3) & (F.col("name") == "Transaction Fee"))).withColumn("amount", changed)
+    return rows, stored(changes.classify_bundles(old, rows, "order_id", ["name", "amount"], ["name"]), "bundle-verdicts", "order_id")
 
 
 @query

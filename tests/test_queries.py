@@ -59,3 +59,14 @@ def test_percentiles_window_over_distinct_amounts(spark, monkeypatch):
     assert got == {"few": (5, 2.0, 3.0, 8.0), "one": (1, 7.0, 7.0, 7.0), "none": (1, None, None, None), "many": (1000, 4.0, 9.0, 4500.0)}
     below = df._jdf.queryExecution().optimizedPlan().toString().split("Window [")[-1]
     assert "Aggregate [kind" in below
+
+
+def test_bundles_are_read_from_their_stored_ledger(spark):
+    """Neither the items again nor a shuffle, whoever uses rows and verdicts."""
+    from tallymill.operators import changes
+    from tallymill.plans import billing
+
+    made, verdicts = billing._bundle_verdicts(spark, FOLDER)
+    for df in (made, verdicts, changes.write_plan(made, verdicts, "order_id")):
+        assert df.inputFiles() and not any("lineitem" in f for f in df.inputFiles())
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
