@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import postings
-from tallymill.llm.links import linked_components
-from tallymill.llm.storage import written
+from tallymill.llm.links import linked_components, named_by
+from tallymill.llm.storage import joined, written
 
 WORDS, THRESHOLD = 5, (75, 100)
-#: Ids that are broadcast to pick documents (16 bytes each, so 16 MB); beyond it a shuffle does.
+#: Ids that are broadcast to pick documents (84 MB in a hash table at most); beyond it a shuffle does.
 FEW_IDS = 1_000_000
 #: Bytes of text for each posting, about a word; documents whose counts are added up in one task.
 PER_POSTING, OWNERS = 6, 50_000
@@ -298,15 +298,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     The end with more pairs is the query. Its pairs are spread over as many tasks as they make blocks.
     """
+    sets = named_by(pairs, sets)
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("n"))
     ends = written(ends, "ends")
     degree = lambda s: ends.select(F.col("a").alias(s), F.col("n").alias(f"{s}_n"))
     swap = F.col("b_n") > F.col("a_n")
-    asked = pairs.join(degree("a"), "a").join(degree("b"), "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("q"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("id"), F.greatest("a_n", "b_n").alias("n_pairs"))
+    asked = joined(joined(pairs, degree("a"), "a"), degree("b"), "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("q"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("id"), F.greatest("a_n", "b_n").alias("n_pairs"))
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n_pairs") / BLOCK)).cast("int")
     asked = written(asked.select("q", "id", block.alias("block")), "asked")
-    theirs = asked.join(sets, "id").select("q", "block", F.lit(1).alias("part"), "id", "n", "keys")
-    own = asked.select("q", "block").distinct().join(sets.withColumnRenamed("id", "q"), "q").select("q", "block", F.lit(0).alias("part"), F.col("q").alias("id"), "n", "keys")
+    theirs = joined(asked, sets, "id").select("q", "block", F.lit(1).alias("part"), "id", "n", "keys")
+    own = joined(asked.select("q", "block").distinct(), sets.withColumnRenamed("id", "q"), "q").select("q", "block", F.lit(0).alias("part"), F.col("q").alias("id"), "n", "keys")
     grouped = own.unionByName(theirs).repartition("q", "block").sortWithinPartitions("q", "block", "part")
     share, whole = THRESHOLD
 
@@ -372,12 +373,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound = f"({through_hub}) * {whole} >= (a_size + b_size - ({through_hub})) * {share}"
     labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, sets), bound)
     first = twins.where("first < last").select("same", "first")
-    rows = counted.join(first, "same", "left").withColumn("id", F.coalesce("first", "doc_id"))
-    out = rows.join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    rows = joined(counted, first, "same", "left").withColumn("id", F.coalesce("first", "doc_id"))
+    out = joined(rows, labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.unionByName(_sizes(every.where("doc_id IS NULL"), words))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay: of each component the one with the smallest id; rows without an id stay."""
-    gone = jaccard_components(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = written(jaccard_components(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)), "gone")
+    if gone.count() <= FEW_IDS:
+        return docs.join(F.broadcast(gone), id_col, "left_anti")
+    return joined(docs, gone, id_col, "left_anti")

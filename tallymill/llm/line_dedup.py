@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import postings
-from tallymill.llm.links import linked_components
-from tallymill.llm.storage import free_name, written
+from tallymill.llm.links import linked_components, named_by
+from tallymill.llm.storage import free_name, joined, written
 
 TAU, PER_EDIT = 2, 12
 #: Bytes of text for each key of a line.
@@ -45,7 +45,7 @@ HOT = 1 / 2000
 WHITE = " \t\n\r\x0b\x0c"
 #: Spark's xxhash64 has this seed; lines have the same id here and there.
 SEED = 42
-#: Ids that are broadcast to pick lines (16 bytes each, so 16 MB); beyond it a shuffle does.
+#: Ids that are broadcast to pick lines (84 MB in a hash table at most); beyond it a shuffle does.
 FEW_IDS = 1_000_000
 STORED, PROBED = 1, 2
 
@@ -217,8 +217,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
             near = [within(x, y, allowed(min(len(x), len(y)), tau)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(near), pa.int64()), pa.array(near, pa.bool_())], ["a", "b", "overlap", "linked"])
 
+    texts = named_by(pairs, texts)
     side = lambda s: texts.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long, overlap long, linked boolean")
+    return joined(joined(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "a_line", "b_line").mapInArrow(run, "a long, b long, overlap long, linked boolean")
 
 
 def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU) -> DataFrame:
@@ -236,13 +237,13 @@ def line_classes(docs: DataFrame, text_col: str = "text", tau: int = TAU) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["id", "line", "mark"])
 
     texts = written(texts.mapInArrow(sign, "id long, line string, mark long"), "line-texts")
-    lists = written(lists.drop("shared").join(texts.select("id", F.col("mark").alias("shared")), "id").select("key", "id", "rank", "size", "shared"), "line-lists")
+    lists = written(joined(lists.drop("shared"), texts.select("id", F.col("mark").alias("shared")), "id").select("key", "id", "rank", "size", "shared"), "line-lists")
     edits = f"least({tau}, least(a_size, b_size) div {PER_EDIT})"
     possible = f"abs(a_size - b_size) <= {edits} AND bit_count(a_shared ^ b_shared) <= 4 * {edits}"
     labels, _ = linked_components(lists, possible, lambda pairs: _verified(pairs, texts, tau))
     checks = texts.select("id", F.xxhash64("line", F.lit(1)).alias("check"))
     of_class = checks.select(F.col("id").alias("component"), F.col("check").alias("class_check"))
-    return labels.join(checks, "id").join(of_class, "component").select(F.col("id").alias("line_id"), "check", F.col("component").alias("class_id"), "class_check")
+    return joined(joined(labels, checks, "id"), of_class, "component").select(F.col("id").alias("line_id"), "check", F.col("component").alias("class_id"), "class_check")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
@@ -255,12 +256,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = written(occurrences(docs, id_col, text_col), "lines")
     line, own = ["line_id", "check"], ["class_id", "class_check"]
     counted = at.groupBy(*line).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    counted = counted.join(classes, line, "left").withColumns({"class_id": F.coalesce("class_id", "line_id"), "class_check": F.coalesce("class_check", "check")})
+    counted = joined(counted, classes, line, "left").withColumns({"class_id": F.coalesce("class_id", "line_id"), "class_check": F.coalesce("class_check", "check")})
     counted = written(counted, "counted-lines")
     firsts = counted.groupBy(*own).agg(F.min("first").alias("first"), F.sum("n").alias("n_class")).where("n_class > 1")
-    repeated = written(counted.select(*line, *own, "n").join(firsts, own).select(*line, "class_id", "first", "n"), "first-lines")
+    repeated = written(joined(counted.select(*line, *own, "n"), firsts, own).select(*line, "class_id", "first", "n"), "first-lines")
     hot = repeated.where(F.col("n") >= HOT * (at.count() + 1))
-    found = at.join(F.broadcast(hot), line).unionByName(at.join(F.broadcast(hot.select(*line)), line, "left_anti").join(repeated, line))
+    found = at.join(F.broadcast(hot), line).unionByName(at.join(F.broadcast(hot.select(*line)), line, "left_anti").transform(joined, repeated, line))
     again = found.where("doc_id != first.doc_id OR line_no != first.line_no")
     return again.select("doc_id", "line_no", "line_id", "class_id", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
 

@@ -26,9 +26,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.storage import written
+from tallymill.llm.storage import joined, written
 
 SMALL, HUBS, SQUARE = 24, 2, 4096
+#: Pairs whose ends are broadcast to pick rows (21 MB in a hash table at most); beyond it all rows are shuffled.
+FEW_PAIRS = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,10 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("before"), F.least("component", "m").alias("l"))
+        near = joined(both, labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        step = joined(labels, near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("before"), F.least("component", "m").alias("l"))
         jump = labels.select(F.col("id").alias("l"), F.col("component").alias("of_l"))
-        after = written(step.join(jump, "l", "left").select("id", "before", F.least("l", "of_l").alias("component")), "labels")
+        after = written(joined(step, jump, "l", "left").select("id", "before", F.least("l", "of_l").alias("component")), "labels")
         changed = after.where("component != before").limit(1).count()
         labels = after.drop("before")
         if not changed:
@@ -53,7 +55,15 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
     """Of the lists with equal members one, told by their number and 128 bits of their ids' hashes."""
     members = lists.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     kept = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return lists.join(kept, "key", "left_semi")
+    return joined(lists, kept, "key", "left_semi")
+
+
+def named_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``table``, by id, that the pairs are of, so that a round of few pairs doesn't shuffle them all; with many pairs, all."""
+    if pairs.count() > FEW_PAIRS:
+        return table
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return table.join(F.broadcast(ends), "id", "left_semi")
 
 
 def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFrame], DataFrame], bound: str = "true") -> tuple[DataFrame, DataFrame]:
@@ -74,11 +84,11 @@ def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFra
     side = lambda s, of: [F.col(of + c).alias(f"{s}{suffix}") for c, suffix in sides]
     step = 0
     while True:
-        at = lists.join(labels, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("c"))
+        at = joined(lists, labels, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("c"))
         rank = F.xxhash64("id", F.lit(step)) if step else F.col("rank")
         hub = F.min(F.struct(rank.alias("r"), "id", "size", "shared", "overlap", "c")).alias("hub")
         heads = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high").select("key", "n", "hub")
-        left = written(at.join(heads, "key"), "lists")
+        left = written(joined(at, heads, "key"), "lists")
         if not left.limit(1).count():
             break
         whole = F.lit(step > HUBS) | ((F.col("n") <= SMALL) & F.lit(step > 0))
@@ -87,7 +97,7 @@ def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFra
             worth = f"a_c != b_c AND ({possible}) AND coalesce({bound}, true)"
             short = left.where(whole)
             if step > HUBS:  # of the long lists that hold both, a pair is taken from one; no member has more than its short lists
-                short = short.join(short.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+                short = joined(short, short.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
             else:
                 short = short.withColumn("keys", F.array("key"))
             # a long list is dealt in squares of SQUARE by SQUARE members, each a join key of its own
@@ -95,16 +105,16 @@ def linked_components(lists: DataFrame, possible: str, verify: Callable[[DataFra
             short = short.withColumns({"place": F.pmod(F.xxhash64("id"), sides_of).cast("int"), "other": F.explode(F.sequence(F.lit(0), sides_of - 1))})
             cell = {"a": ("place", "other"), "b": ("other", "place")}
             x, y = (short.select("key", F.col(cell[s][0]).alias("row"), F.col(cell[s][1]).alias("column"), *side(s, ""), F.col("keys").alias(f"{s}_keys")) for s in "ab")
-            every = x.join(y, ["key", "row", "column"]).where(f"a < b AND {worth} AND array_min(array_intersect(a_keys, b_keys)) = key")
+            every = joined(x, y, ["key", "row", "column"]).where(f"a < b AND {worth} AND array_min(array_intersect(a_keys, b_keys)) = key")
             pairs = pairs.where(worth).unionByName(every.drop("key", "row", "column", "a_keys", "b_keys"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(joined(pairs.distinct(), tested, ["a", "b"], "left_anti"), "pairs")
         scored = written(verify(pairs), "scored")
         # a list is done with when every pair of its members has been compared, ruled out or connected
         rest = left.where(~whole)
         if not step:
             met = scored.select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("overlap").alias("met"))
-            rest = rest.withColumns({"low": F.least("id", "hub.id"), "high": F.greatest("id", "hub.id")}).join(met, ["low", "high"], "left")
+            rest = joined(rest.withColumns({"low": F.least("id", "hub.id"), "high": F.greatest("id", "hub.id")}), met, ["low", "high"], "left")
             rest = rest.withColumn("overlap", F.when(F.col("id") == F.col("hub.id"), F.col("shared")).otherwise(F.col("met")))
         lists = written(rest.select(*lists.columns), "lists")
         tested = tested.unionByName(pairs)

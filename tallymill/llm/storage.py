@@ -40,6 +40,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input: both are shuffled, none is broadcast.
+
+    Spark sends a table through the driver if its files are small, but rows in a hash table there take many times their
+    bytes in compressed columns.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def workers_can_import(spark: SparkSession) -> None:
     """Adds the library's parent folder to the Python workers' path.
 

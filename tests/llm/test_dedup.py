@@ -248,3 +248,17 @@ def test_repeats_do_not_depend_on_batches(make, words, monkeypatch, batch):
         assert sorted((r["doc_id"], r["start"], r["n_bytes"], r["sources"]) for r in other_layout) == rows
     inner = passage[80:-80]
     assert inner in cut[0] and all(inner not in cut[i] for i in range(1, 12))
+
+
+def test_links_send_no_table_through_the_driver(make, words, monkeypatch):
+    """However small the files of lists, pairs and labels are: their rows in memory are many times as large."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], links.written
+    monkeypatch.setattr(links, "FEW_PAIRS", -1, raising=False)
+    monkeypatch.setattr(links, "written", lambda df, *a, **b: plans.append(plan(df)) or write(df, *a, **b))
+    one = words(1, 60)
+    texts = [" ".join(one), " ".join(one[:-2]), " ".join([*one, "more"]), " ".join(words(2, 40))]
+    found = jaccard_join.jaccard_components(make(texts))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert sum("SortMergeJoin" in p for p in [*plans, plan(found)]) > 5
+    assert not any("Broadcast" in p for p in [*plans, plan(found)])
