@@ -16,7 +16,7 @@ fills the toxic dictionary with the ordinary text that toxic documents mostly co
 
 The fit reads a bounded sample: of each label at most ``SAMPLE`` rows with texts of up to ``LONGEST``
 characters, by a hash of their id. Toxic rows weigh ``TOXIC_WEIGHT`` times as much in the calibration.
-Scoring reads every whole text and shuffles nothing.
+One task fits; the driver gets the model, never a text. Scoring reads every whole text and shuffles nothing.
 
 Cases: null and empty texts get the score of a text without windows; with fewer labelled rows of
 either kind than folds every score is the share of toxic ones, or 0; labels of unknown documents and null labels are
@@ -26,6 +26,7 @@ result; columns other than id and text are ignored, label columns among them.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
@@ -193,8 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = short.where(F.col("y") == label).orderBy(*order).limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
     rows = texts.where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = sorted(rows.collect(), key=lambda r: r["doc_id"])  # at most the SAMPLE rows, of LONGEST characters
-    return fit([r["text"] for r in sample], [r["y"] for r in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
+        model = fit([r["text"] for r in sample], [r["y"] for r in sample])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # at most the SAMPLE rows, of LONGEST characters: they go to one task, and only the model comes to the driver
+    found = rows.select("doc_id", "text", "y").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], [])
 
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -269,6 +269,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert (toxic >= toxicity.LEAST).mean() > 0.6 and (clean >= toxicity.LEAST).mean() < 0.02
 
 
+def test_toxicity_is_fitted_by_a_task(spark, make, monkeypatch):
+    texts = [f"awful{i % 7} nasty{i % 5} words {i}" if i % 3 == 0 else f"plain{i % 7} kind{i % 5} words {i}" for i in range(120)]
+    docs, labels = make(texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    known = sorted(r["doc_id"] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).collect())
+    expected = toxicity.fit([texts[i] for i in known], [int(i % 3 == 0) for i in known])
+    monkeypatch.setattr(toxicity, "dictionaries", None)  # in this process: the driver must not fit
+    model = toxicity.train(docs, labels)
+    assert (model.ordinary, model.toxic) == (expected.ordinary, expected.toxic)
+    assert all(np.allclose(getattr(model, x), getattr(expected, x)) for x in ("middle", "scale", "weights"))
+
+
 def test_toxicity_without_labels_and_of_odd_texts(spark, make, odd_texts):
     docs = make(odd_texts)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
